@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprint import op3_fingerprints
+from .ngram_join import op9_ngram_join
+from .packing import op7_packing
+from .quality import op1_quality
 from .secret_scan import op8_secret_scan, op8_sql
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op3_fingerprints": op3_fingerprints,
+        "op7_packing": op7_packing,
+        "op9_ngram_join": op9_ngram_join,
+        "op10_toxicity": op10_toxicity,
         "op8_secret_scan": op8_secret_scan,
     }
 
