@@ -118,13 +118,13 @@ def op5_sql() -> str:
     sizes AS (SELECT source, greatest(1, {PERIOD} * r // CAST((SELECT sum(r) FROM roots) AS BIGINT)) AS w FROM roots),
     fixed AS (SELECT list(source ORDER BY source) AS names, list(w ORDER BY source) AS ws, CAST(sum(w) AS BIGINT) AS total FROM sizes),
     plan(slot, given, chosen) AS (
-      SELECT CAST(-1 AS BIGINT), list_transform((SELECT ws FROM fixed), x -> CAST(0 AS BIGINT)), CAST(0 AS BIGINT)
+      SELECT CAST(-1 AS BIGINT), list_transform((SELECT ws FROM fixed), lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT)
       UNION ALL
-      SELECT slot, list_transform(given, (g, i) -> CASE WHEN i = chosen THEN g + 1 ELSE g END), chosen
+      SELECT slot, list_transform(given, lambda g, i: CASE WHEN i = chosen THEN g + 1 ELSE g END), chosen
       FROM (
-        SELECT slot + 1 AS slot, given, list_min(list_filter(list_transform(ws, (w, i) ->
+        SELECT slot + 1 AS slot, given, list_min(list_filter(list_transform(ws, lambda w, i:
             CASE WHEN given[i] * total // w <= slot + 1 AND given[i] < w
-                 THEN ((given[i] + 1) * total + w - 1) // w * 100000 + i END), x -> x IS NOT NULL)) % 100000 AS chosen
+                 THEN ((given[i] + 1) * total + w - 1) // w * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS chosen
         FROM plan, fixed WHERE slot + 1 < total)),
     turns AS (
       SELECT names[chosen] AS source, slot, row_number() OVER (PARTITION BY chosen ORDER BY slot) - 1 AS turn

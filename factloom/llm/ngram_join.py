@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
@@ -252,10 +252,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of docs but for those whose component has a smaller doc_id; of repeated ids one row stays."""
-    labels = jaccard_components(docs, width, num, den).where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(labels, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """The rows of docs but for those whose component has a smaller doc_id.
+
+    Of rows that repeat an id the one with the least hash of its text stays; rows without id all stay.
+    """
+    gone = jaccard_components(docs, width, num, den).where("component_id < doc_id").select("doc_id").distinct()
+    kept = docs.select(F.struct(*docs.columns).alias("row"), "doc_id").join(gone, "doc_id", "left_anti")
+    own = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("row.text"))
+    return kept.withColumn("k", F.row_number().over(own)).where("k = 1").select("row.*")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

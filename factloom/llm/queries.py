@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bm25 import op4_bm25
 from .fingerprint import op3_fingerprints
+from .html_text import op2_html_text
+from .line_dedup import op6_line_dedup
+from .mixing import op5_mixing, op5_sql
 from .ngram_join import op9_ngram_join
 from .packing import op7_packing
 from .quality import op1_quality
@@ -17,6 +21,10 @@ from .toxicity import op10_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_html_text": op2_html_text,
+        "op4_bm25": op4_bm25,
+        "op5_mixing": op5_mixing,
+        "op6_line_dedup": op6_line_dedup,
         "op3_fingerprints": op3_fingerprints,
         "op7_packing": op7_packing,
         "op9_ngram_join": op9_ngram_join,
@@ -26,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secret_scan": op8_sql()}
+    return {"op5_mixing": op5_sql(), "op8_secret_scan": op8_sql()}

@@ -87,6 +87,29 @@ def words(group: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
     return hashes, counts
 
 
+#: Letters and digits, and every byte from 0x80.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def terms(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of letters and digits of each document (A-Z lowered), and how many each has."""
+    buf = LOWER[np.frombuffer(b"\n".join([*group, b""]), dtype=np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], ALNUM[buf]]).view(np.int8)))
+    start, end = edge[0::2], edge[1::2]
+    hashes = range_hash(prefix_hash(buf), start, end) if len(start) else np.empty(0, dtype=np.uint64)
+    bounds = np.cumsum([len(x) + 1 for x in group])
+    return hashes, np.diff(np.searchsorted(start, bounds, "left"), prepend=0)
+
+
+def term_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each document its sorted distinct terms and how often each occurs."""
+    for _, group in buffers(texts):
+        hashes, counts = terms(group)
+        for end, n in zip(np.cumsum(counts), counts, strict=True):
+            yield np.unique(hashes[end - n : end], return_counts=True)
+
+
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     """For each document its sorted distinct shingle hashes.
 
