@@ -54,6 +54,10 @@ SCOPES = {
     "rp": (("rt", "rp"), ("ruby",)),
 }
 SCOPES["thead"] = SCOPES["tfoot"] = SCOPES["tbody"]
+#: Where only rows and cells may stand, what may stand there, and what holds anything again.
+ROWS = frozenset("table tbody thead tfoot tr".split())
+IN_TABLE = frozenset("tbody thead tfoot tr td th caption colgroup col script style template".split())
+CELLS = frozenset("td th caption".split())
 DEEPEST = 200
 
 TOKEN = re.compile(
@@ -83,6 +87,7 @@ class Builder:
         self.root.children = [self.head, self.body]
         self.open = [self.root, self.head]
         self.in_body = False
+        self.beyond = 0  # elements that are open beyond the deepest level
 
     def parse(self, markup: str) -> Node:
         at = 0
@@ -124,7 +129,7 @@ class Builder:
                     return
                 self.into_body()
                 top = self.open[-1]
-        if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and text.strip():
+        if top.tag in ROWS and text.strip():
             self.before_table(text)
             return
         top.children.append(text)
@@ -160,7 +165,23 @@ class Builder:
             self.close(("p",), ("button", "table", "td", "th", "caption", "object"))
         if tag in SCOPES:
             self.close(*SCOPES[tag])
+        if tag in IN_TABLE:
+            # elements that stand before a table end where it goes on
+            last = max((i for i, n in enumerate(self.open) if n.tag in ROWS or n.tag in CELLS), default=0)
+            if self.open[last].tag in ROWS:
+                del self.open[last + 1 :]
         top = self.open[-1].tag
+        if top in ROWS and tag not in IN_TABLE:
+            if tag == "table":
+                self.end("table")
+            else:
+                node = Node(tag, attrs)
+                self.before_table(node)
+                if tag not in VOID and len(self.open) < DEEPEST:
+                    self.open.append(node)
+                elif tag not in VOID:
+                    self.beyond += 1
+                return
         if tag in ("td", "th") and top in ("table", "tbody", "thead", "tfoot"):
             if top == "table":
                 self.push(Node("tbody", {}))
@@ -179,8 +200,8 @@ class Builder:
         self.open[-1].children.append(node)
         if len(self.open) < DEEPEST:
             self.open.append(node)
-        else:  # flattened: what follows stands beside it
-            self.open[-1] = node if self.open[-1].tag == node.tag else self.open[-1]
+        else:  # flattened: what it holds stands beside it
+            self.beyond += 1
 
     def end(self, tag: str) -> None:
         if tag == "head":
@@ -189,6 +210,9 @@ class Builder:
             return
         if tag in ("html", "body"):
             return
+        if self.beyond:
+            self.beyond -= 1
+            return
         if tag == "br":
             self.start("br", {}, True)
             return
@@ -261,6 +285,15 @@ class Layout:
             self.lines.append(self.line)
             self.line = piece
 
+    def rows(self, lines: list[str]) -> None:
+        """Ready lines, each on its own."""
+        for line in lines:
+            if line:
+                self.exact(line)
+                self.block(1)
+            else:
+                self.block(2)
+
     def result(self) -> list[str]:
         lines = [*self.lines, self.line.rstrip(" ")] if self.line else [*self.lines]
         while lines and not lines[0].strip():
@@ -292,7 +325,7 @@ def render(node: Node, out: Layout, seen: bool = True, pre: bool = False) -> Non
     first_summary = True
     for child in node.children:
         if isinstance(child, str):
-            if seen:
+            if seen and not (node.tag == "details" and "open" not in node.attrs):
                 out.exact(child) if pre else out.inline(child)
             continue
         style = style_of(child)
@@ -319,9 +352,7 @@ def render(node: Node, out: Layout, seen: bool = True, pre: bool = False) -> Non
                 out.inline(shown)
         elif tag == "table":
             out.block(2)
-            for line in table_lines(child, visible):
-                out.exact(line)
-                out.block(1)
+            out.rows(table_lines(child, visible))
             out.block(2)
         elif tag == "li":
             ordered += 1
@@ -329,14 +360,10 @@ def render(node: Node, out: Layout, seen: bool = True, pre: bool = False) -> Non
             number = child.attrs.get("value") or str(ordered + (int(node.attrs.get("start", "1")) if node.attrs.get("start", "1").lstrip("-").isdigit() else 1) - 1)
             mark = f"{number}. " if node.tag == "ol" else "- "
             lines = sub_lines(child, visible, kept)
-            for k, line in enumerate(lines):
-                out.exact((mark if not k else " " * len(mark) if line else "") + line)
-                out.block(1)
+            out.rows([(" " * len(mark) if k else mark) + line if line else "" for k, line in enumerate(lines)])
         elif tag in ("blockquote", "dd"):
             out.block(2 if tag == "blockquote" else 1)
-            for line in sub_lines(child, visible, kept):
-                out.exact("  " + line if line else "")
-                out.block(1)
+            out.rows(["  " + line if line else "" for line in sub_lines(child, visible, kept)])
             out.block(2 if tag == "blockquote" else 1)
         elif tag == "option":
             out.block(1)
