@@ -1,0 +1,31 @@
+"""Parsers of source code, one for each language. None of them fails on broken code."""
+
+from __future__ import annotations
+
+from . import ecma_facts, elixir_facts, go_facts, prolog_facts, python_facts, ruby_facts, rust_facts
+from .facts import COLUMNS, Facts
+from .registry import LANGUAGES, language_of
+
+EXTRACT = {
+    "python": python_facts.extract,
+    "rust": rust_facts.extract,
+    "typescript": ecma_facts.extract,
+    "javascript": ecma_facts.extract,
+    "go": go_facts.extract,
+    "elixir": elixir_facts.extract,
+    "ruby": ruby_facts.extract,
+    "prolog": prolog_facts.extract,
+}
+
+
+def file_facts(code: str, language: str, path: str) -> list[dict]:
+    """The facts of one file; where a parser gives up, those found so far and one of predicate `error`."""
+    facts = Facts(path, language)
+    try:
+        EXTRACT[language](code, facts)
+    except Exception as e:  # noqa: BLE001  the facts found so far stand
+        facts.add("error", name=f"{type(e).__name__}: {e}"[:200], line=1)
+    return facts.rows
+
+
+__all__ = ["COLUMNS", "LANGUAGES", "file_facts", "language_of"]
