@@ -95,7 +95,7 @@ class Extractor:
         if opener < 0:
             return at, -1, kind, found
         close = source.end(opener)
-        after = re.compile(r"\s*(?::[^;={}()]*(?:\{[^{}]*\}[^;={}()]*)?(?:\([^()]*\)[^;={}()]*)?)?\s*(?=\{)").match(mask, close, b)
+        after = re.compile(r"\s*(?::\s*(?:\{[^{}]*\}|[^;={}()]*(?:\([^()]*\)[^;={}()]*)?))?\s*(?=\{)").match(mask, close, b)
         if not after:
             return at, -1, kind, found
         return at, source.end(after.end()), kind, found

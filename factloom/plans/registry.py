@@ -463,7 +463,7 @@ def facts_common(spark, sf):
     return _shape(commit(spark, sf, "c0")).intersectAll(_shape(commit(spark, sf, "c3")))
 
 
-@query("""SELECT doc_id, CAST(coalesce(len(list_intersect(words, ['is', 'fix', 'the', 'er'])) / 4.0, 0) AS DOUBLE) AS alignment_score FROM (
+@query("""SELECT doc_id, CAST(coalesce(len(list_intersect(words, ['fix', 'the', 'er'])) / 3.0, 0) AS DOUBLE) AS alignment_score FROM (
   SELECT doc_id, list_distinct(list_filter(list_transform(string_split_regex(lower(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'),
     lambda w: regexp_replace(w, '(ing|ed|es|s)$', '')), lambda w: length(w) >= 2)) AS words FROM documents)""")
 def alignment_score(spark, sf):
