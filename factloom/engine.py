@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,10 @@ class Engine:
         git.register(spark)
 
     def files(self, paths: list[str], language: str | None = None, ignore: list[str] | None = None) -> DataFrame:
-        repo, sha = git.repo_context(paths[0] if paths else ".")
-        read = self.spark.read.format("source_tree").option("path", ",".join(paths or ["."])).option("repo_id", repo).option("commit_sha", sha)
+        first = paths[0] if paths else "."
+        repo, sha = git.repo_context(os.path.dirname(first) or "." if os.path.isfile(first) else first)
+        read = self.spark.read.format("source_tree").option("path", ",".join(paths or ["."])).option("cwd", os.getcwd())
+        read = read.option("repo_id", repo).option("commit_sha", sha)
         files = read.option("ignore_patterns", ",".join(ignore or [])).load()
         return files.where(F.col("language") == language.lower()) if language else files
 
@@ -65,7 +68,7 @@ class Engine:
 
             found = self.spark.createDataFrame([(pair[0], language_of(pair[0]), "modified", pair[1], pair[2])], git.SCHEMA)
         else:
-            read = self.spark.read.format("git_diff").option("path", repo)
+            read = self.spark.read.format("git_diff").option("path", os.path.abspath(repo))
             found = (read.option("spec", spec) if spec else read).load()
         if only:
             found = found.where(F.exists(F.array(*map(F.lit, only)), lambda p: F.contains(F.col("path"), p)))

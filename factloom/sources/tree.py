@@ -49,6 +49,10 @@ class TreeReader(DataSourceReader):
         self.languages: list[str] = []
         self.parts: list[str] = []
 
+    def real(self, path: str) -> str:
+        """Paths are relative to the caller's folder, and are kept as they were given in results."""
+        return os.path.join(self.options.get("cwd", ""), path)
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("language",):
@@ -62,15 +66,16 @@ class TreeReader(DataSourceReader):
         ignored = [p for p in self.options.get("ignore_patterns", "").split(",") if p]
         found: list[tuple[int, str, str | None]] = []
         for top in (self.options.get("path") or ".").split(","):
-            if os.path.isfile(top):  # a file that is named is kept whatever its extension
+            real = self.real(top)
+            if os.path.isfile(real):  # a file that is named is kept whatever its extension
                 paths = [top]
             else:
-                paths = [p for p in walk(top) if language_of(p)]
+                paths = [os.path.join(top, os.path.relpath(p, real)) for p in walk(real) if language_of(p)]
             for path in paths:
                 language = language_of(path)
                 if any(fnmatch(path, p) or p in path for p in ignored) or any(x != language for x in self.languages) or not all(x in path for x in self.parts):
                     continue
-                found.append((os.path.getsize(path), path, language))
+                found.append((os.path.getsize(self.real(path)), path, language))
         n = max(1, min(len(found), int(self.options.get("partitions", "8"))))
         heap: list[tuple[int, int, list]] = [(0, k, []) for k in range(n)]
         for size, path, language in sorted(found, reverse=True, key=lambda x: x[:2]):
@@ -83,7 +88,7 @@ class TreeReader(DataSourceReader):
         repo, sha = self.options.get("repo_id", "unknown"), self.options.get("commit_sha", "HEAD")
         for path, language in partition.files:
             try:
-                with open(path, "rb") as f:
+                with open(self.real(path), "rb") as f:
                     raw = f.read()
                 yield repo, sha, path, language, raw.decode("utf-8"), len(raw), None
             except (OSError, UnicodeDecodeError) as e:
@@ -103,4 +108,6 @@ class SourceTree(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Also turns on pushdown into data sources, which Spark leaves off and this source needs."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SourceTree)
