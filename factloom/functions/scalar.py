@@ -120,6 +120,12 @@ def repo_id(url: str | Column) -> Column:
     return F.when(cleaned != "", cleaned)
 
 
+def unwrap_result(v: str | Column) -> Column:
+    """A variant's field `text` as a variant where it is JSON, else the variant itself."""
+    v = _col(v)
+    return F.coalesce(F.try_parse_json(F.try_variant_get(v, "$.text", "string")), v)
+
+
 #: Temporary SQL functions: name, parameters, result, body.
 SQL_FUNCTIONS = (
     ("fl_normalize_id", "s STRING", "STRING", r"lower(regexp_replace(s, '[^\\p{IsAlphabetic}\\p{N}_]', '_'))"),

@@ -146,6 +146,15 @@ def line_spans(r: Relations) -> DataFrame:
     return r.function.withColumn("span", following - F.col("line"))
 
 
+def enclosing_functions(r: Relations, lines: DataFrame) -> DataFrame:
+    """lines (repo_id, commit_sha, file_path, line) with the function that each stands in: the last that
+    starts at or above it, by one sweep over each file."""
+    starts = r.function.select(*PROVENANCE, "line", "func_id", F.lit(0).alias("kind"))
+    asked = lines.select(*PROVENANCE, "line", F.lit(None).cast("string").alias("func_id"), F.lit(1).alias("kind"))
+    sweep = Window.partitionBy(*PROVENANCE).orderBy("line", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return starts.unionByName(asked).withColumn("func_id", F.last("func_id", ignorenulls=True).over(sweep)).where("kind = 1").drop("kind")
+
+
 def complexity(r: Relations) -> DataFrame:
     out = fan_out(r).withColumnRenamed("caller_id", "func_id")
     spans = line_spans(r).join(out, [*PROVENANCE, "func_id"], "left")

@@ -93,7 +93,8 @@ def imported(own: DataFrame, made: DataFrame) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of four commits: function k stands in commit i unless (k + i) is divisible by 5; every
-    seventh function has one parameter more from commit k mod 4 on."""
+    seventh function has one parameter more from commit k mod 4 on. Each file imports lib_n, where n is
+    half the sum of its size and i."""
     own = functions(table(spark, sf_dir, "part")).crossJoin(F.broadcast(spark.range(4).select(F.col("id").alias("i"))))
     own = own.where((F.col("key") + F.col("i")) % 5 != 0)
     arity = F.col("arity") + F.when((F.col("key") % 7 == 0) & (F.col("i") >= F.col("key") % 4), 1).otherwise(0)
@@ -101,7 +102,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.concat(_prefix(F.col("key") + 1), F.lit("fn_"), F.col("key") + 1)
     text = F.concat(F.lit("def "), F.col("name"), F.lit("("), params, F.lit("):\n    "), target, F.lit("()"))
     files = own.groupBy("i", "stem").agg(F.sort_array(F.collect_list(F.struct("key", text.alias("text")))).alias("parts"))
-    code = F.array_join(F.transform("parts", lambda z: z["text"]), "\n")
+    library = F.concat(F.lit("import lib_"), F.floor((F.regexp_extract("stem", r"s(\d+)\z", 1).cast("long") + F.col("i")) / 2))
+    code = F.concat_ws("\n", library, F.array_join(F.transform("parts", lambda z: z["text"]), "\n"))
     return files.select(F.lit(REPO).alias("repo_id"), F.concat(F.lit("c"), "i").alias("commit_sha"), F.concat("stem", F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), F.concat(code, F.lit("\n")).alias("code"))
 
 

@@ -439,6 +439,23 @@ def call_diff(spark, sf):
     return diff.edge_diff(*sides, ["file_path", "base"])
 
 
+LIBS = "lib AS (SELECT DISTINCT path, i, module_id, 'lib_' || ((CAST(regexp_extract(path, 's([0-9]+)[.]py$', 1) AS BIGINT) + i) // 2) AS dep FROM h)"
+
+
+@query(with_base("""SELECT path AS file_path, dep AS dep_name, CASE WHEN min(i) = 0 THEN 'deleted' ELSE 'added' END AS change FROM lib WHERE i IN (0, 3) GROUP BY path, dep HAVING min(i) = max(i)""", HIST + ", " + LIBS))
+def dep_diff(spark, sf):
+    sides = [commit(spark, sf, c).depends_on for c in ("c0", "c3")]
+    return diff.edge_diff(*sides, ["file_path", "dep_name"])
+
+
+@query(with_base("SELECT cl.path AS file_path, ln.line + i AS line, ln.func_id FROM cl JOIN ln ON ln.k = cl.k WHERE c % 10 = 7"))
+def changed_line_functions(spark, sf):
+    """Lines that call a function whose number ends in 7 stand for changed lines."""
+    r = facts(spark, sf)
+    lines = r.calls_external.where(F.endswith("called_func", F.lit("7"))).select("repo_id", "commit_sha", "file_path", "line")
+    return q.enclosing_functions(r, lines).select("file_path", "line", "func_id")
+
+
 @query(with_base("SELECT a.path AS file_path, a.name, 'high' AS severity, 'removed_but_called' AS type FROM h a WHERE a.i = 0 AND a.vis = 'public' AND NOT EXISTS (SELECT 1 FROM h b WHERE b.i = 3 AND b.k = a.k) AND EXISTS (SELECT 1 FROM h b WHERE b.i = 3 AND b.callee = a.name)", HIST))
 def diff_concerns(spark, sf):
     return diff.concerns(commit(spark, sf, "c0"), commit(spark, sf, "c3"))
@@ -471,6 +488,32 @@ def alignment_score(spark, sf):
     return diff.alignment(changes, "is fixing the er").select(F.col("file_path").alias("doc_id"), "alignment_score")
 
 
+@query("""SELECT band, count(*) AS files, round(avg(s), 6) AS mean FROM (SELECT s, CASE WHEN s >= 0.8 THEN 'aligned' WHEN s >= 0.5 THEN 'partial' ELSE 'poor' END AS band
+  FROM (SELECT (doc_id % 101) / 100.0 AS s FROM documents)) GROUP BY ROLLUP (band)""")
+def score_bands(spark, sf):
+    scored = table(spark, sf, "documents").select((F.col("doc_id") % 101 / 100.0).alias("s"))
+    banded = scored.withColumn("band", diff.score_band(F.col("s")))
+    return banded.rollup("band").agg(F.count("*").alias("files"), F.round(F.coalesce(F.avg("s"), F.lit(0.0)), 6).alias("mean"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS VARCHAR) ELSE event_type END AS value FROM (
+  SELECT event_id, event_type, json_object('k', CAST(user_id AS VARCHAR)) AS props FROM events)""")
+def unwrapped_results(spark, sf):
+    inner = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("user_id").cast("string").alias("k")))).otherwise(F.concat(F.lit("{not json "), "event_type"))
+    wrapped = table(spark, sf, "events").select("event_id", "event_type", F.parse_json(F.to_json(F.struct(inner.alias("text")))).alias("v"))
+    unwrapped = wrapped.withColumn("u", scalar.unwrap_result("v"))
+    value = F.coalesce(F.try_variant_get("u", "$.k", "string"), F.regexp_extract(F.try_variant_get("u", "$.text", "string"), r"^\{not json (.*)\z", 1))
+    return unwrapped.select("event_id", value.alias("value"))
+
+
+@query(with_base("SELECT p_partkey, visibility FROM (SELECT k AS p_partkey, CASE WHEN k % 4 = 3 THEN 'public' ELSE vis END AS visibility FROM fn)"))
+def visibility_rules(spark, sf):
+    key = F.col("p_partkey")
+    prefix = F.when(key % 3 == 0, "").when(key % 3 == 1, "_").otherwise("__")
+    name = F.concat(F.when(key % 4 == 3, F.lit("__")).otherwise(prefix), F.lit("fn_"), key, F.when(key % 4 == 3, F.lit("__")).otherwise(F.lit("")))
+    return table(spark, sf, "part").select("p_partkey", scalar.visibility(name, "python").alias("visibility"))
+
+
 @query(DIFF.replace("SELECT path AS file_path, module_id, name, CASE", "SELECT change, count(*) AS n FROM (SELECT path AS file_path, module_id, name, CASE", 1) + ") GROUP BY change")
 def review_bundle(spark, sf):
     sides = [history(spark, sf).where(F.col("commit_sha") == c) for c in ("c0", "c3")]
@@ -482,7 +525,7 @@ def review_bundle(spark, sf):
 # stores and patches
 
 
-@query(with_base("SELECT DISTINCT path AS file_path FROM h WHERE i = 1 AND path IN (SELECT path FROM h GROUP BY path HAVING string_agg(CASE WHEN i = 0 THEN k || ':' || arity END, ',' ORDER BY k) IS DISTINCT FROM string_agg(CASE WHEN i = 1 THEN k || ':' || arity END, ',' ORDER BY k))", HIST))
+@query(with_base("SELECT DISTINCT path AS file_path FROM h WHERE i = 1 AND path IN (SELECT path FROM h GROUP BY path HAVING string_agg(CASE WHEN i = 0 THEN k || ':' || arity END, ',' ORDER BY k) IS DISTINCT FROM string_agg(CASE WHEN i = 1 THEN k || ':' || arity END, ',' ORDER BY k) OR CAST(regexp_extract(path, 's([0-9]+)[.]py$', 1) AS INT) % 2 = 1)", HIST))
 def incremental_skip(spark, sf):
     files = history(spark, sf)
     known = store.manifest(files.where("commit_sha = 'c0'"))
