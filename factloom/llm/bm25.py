@@ -119,15 +119,28 @@ class Index:
             least, done, step = 0.0, 0, 8
             seen = np.empty(0)
             while done < len(order) and bound[order[done]] >= least and bound[order[done]] > 0:
-                now = order[done : done + step]
-                now = now[bound[now] >= least]
+                left = order[done:]
+                left = left[bound[left] >= least]
+                low, high = left.min(), left.max() + 1
+                if done and 3 * len(left) >= high - low:  # most of a stretch of blocks: row by row is faster
+                    rest = np.zeros((high - low) * DOCS)
+                    for r, w in zip(rows, weights, strict=True):
+                        rest += w * self.dense[r, low * DOCS : high * DOCS]
+                    rest = rest.reshape(-1, DOCS)
+                    rest[order[:done][(order[:done] >= low) & (order[:done] < high)] - low] = 0  # these have it
+                    score[low:high] += rest
+                    skipped = np.setdiff1d(order[done:], np.arange(low, high))
+                    score[skipped] = 0
+                    done = len(order)
+                    break
+                now = left[:step]
                 cells = (now[:, None] * DOCS + np.arange(DOCS)).ravel()
                 score[now] += (weights @ self.dense[rows[:, None], cells]).reshape(-1, DOCS)
                 seen = np.concatenate([seen, score[now].ravel()])
                 if len(seen) >= k:
                     seen = np.partition(seen, len(seen) - k)[-k:]
                     least = max(seen.min(), 0.0)
-                done += step
+                done += len(now)
                 step *= 2
             if done < len(order):
                 score[order[done:]] = 0  # partial scores, under the bound
