@@ -7,10 +7,11 @@ Each of `ORDERS` global orders ranks shingles by how often their hashed cell occ
 of at least num/den must share a token among the first |x| - ceil(|x| num/den) + 1 tokens under
 every order, so a pair is verified only if it passes the filters of all orders.
 
-Candidates meet under the first order. A token in few prefixes yields its pairs by a join. A token
-in many prefixes (a large group of near copies) never yields pairs as rows: its sets go to tiles of
-bounded size, every two blocks meet in one tile, and a tile returns only the links that join parts
-not yet joined in it. No candidate is capped or dropped; components equal those of all links.
+Candidates meet under the first order: tokens in few prefixes yield pairs, of which those stay that
+share so much of their prefixes that the sizes' least overlap can be reached; a token in many prefixes
+(a large group of near copies) yields none. Candidates are then compared in tiles of bounded size (see tiles()): a tile applies the filters
+of all orders, counts overlaps exactly and returns only links that join parts not yet joined in it.
+No candidate is capped or dropped; components equal those of all links.
 
 Defined cases: null or blank texts have the empty set, are linked with nothing and are their own
 component; null ids can't be reached by others, have component null and are otherwise counted;
@@ -36,9 +37,9 @@ ORDERS = 3
 CELLS = 1 << 20
 CHUNKS = 32
 #: A token in more prefixes than this goes to tiles.
-FEW = 48
-#: Representatives in a block of a tile.
-BLOCK = 2048
+FEW = 64
+#: Tokens of all sets in a tile, or in each of its two sides.
+BLOCK = 2_000_000
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], dtype=np.uint64)
 
 
@@ -118,53 +119,56 @@ def rarity_classes(docs: DataFrame, width: int) -> np.ndarray:
     return np.minimum(np.floor(np.log2(seen + 1)), 63).astype(np.uint8)
 
 
-def _tile(rows: pd.DataFrame, token: int, cross: bool, classes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links among rows (id, block, tokens) that share `token`: a spanning set of them.
-
-    cross: only pairs of different blocks. Pairs that share a token ranked before `token` meet in
-    that token's tiles and are left out.
-    """
+class Postings:
+    """Which of a list of token arrays hold a token; tokens of one array only are left out."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        sizes = [len(x) for x in arrays]
+        tokens = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(arrays)), sizes)
+        _, name, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        again = count[name] > 1
+        name, owner = name[again], owner[again]
+        order = np.argsort(name, kind="stable")
+        self.holders = owner[order]
+        self.start = np.zeros(len(count) + 1, dtype=np.int64)
+        np.cumsum(np.bincount(name, minlength=len(count)), out=self.start[1:])
+        self.names = name
+        self.edges = np.searchsorted(owner, np.arange(len(arrays) + 1))
+
+    def sharing(self, i: int) -> np.ndarray:
+        """The arrays that share a token with array i, once for each token, i among them."""
+        names = self.names[self.edges[i] : self.edges[i + 1]]
+        first, size = self.start[names], self.start[names + 1] - self.start[names]
+        skip = np.repeat(first - (np.cumsum(size) - size), size)
+        return self.holders[skip + np.arange(len(skip))]
+
+
+def _tile(rows: pd.DataFrame, cross: bool, classes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links among rows (id, side, tokens): a spanning set of them; cross: only pairs of both sides."""
     rows = rows.sort_values("id", ignore_index=True)
     sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["tokens"]]
-    ids, block = rows["id"].to_numpy(), rows["block"].to_numpy()
+    ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
     n = len(sets)
     sizes = np.array([len(x) for x in sets])
-    postings: list[dict[int, list[int]]] = [{} for _ in range(ORDERS + 1)]
-    firsts: list[list[list[int]]] = []
-    for i, tokens in enumerate(sets):
-        head = prefix(tokens, classes, 0, num, den)
-        at = np.flatnonzero(head == np.uint64(token))
-        own = [head[: at[0]].tolist() if len(at) else []]  # what ranks before this token
-        own += [np.frombuffer(rows[f"p{k}"].iloc[i], dtype=np.uint64).tolist() for k in range(1, ORDERS)]
-        for k in range(ORDERS):
-            for x in own[k]:
-                postings[k].setdefault(x, []).append(i)
-        for x in tokens.tolist():
-            postings[ORDERS].setdefault(x, []).append(i)
-        firsts.append(own)
-    arrays = [{x: np.array(v) for x, v in p.items() if len(v) > 1} for p in postings]
+    heads = [Postings([prefix(x, classes, k, num, den) for x in sets]) for k in range(ORDERS)]
+    whole = Postings(sets)
     root = np.arange(n)
     links = []
     for i in range(n):
-        open_ = np.zeros(n, dtype=bool)
-        open_[i + 1 :] = True
+        open_ = (np.minimum(sizes, sizes[i]) * den >= np.maximum(sizes, sizes[i]) * num) & (root != root[i])
+        open_[: i + 1] = False
         if cross:
-            open_ &= block != block[i]
-        open_ &= (np.minimum(sizes, sizes[i]) * den >= np.maximum(sizes, sizes[i]) * num) & (root != root[i])
-        for x in firsts[i][0]:
-            if x in arrays[0]:
-                open_[arrays[0][x]] = False
-        for k in range(1, ORDERS):
+            open_ &= side != side[i]
+        for head in heads:  # a shared token in the prefixes of every order
             if not open_.any():
                 break
             share = np.zeros(n, dtype=bool)
-            for x in firsts[i][k]:
-                if x in arrays[k]:
-                    share[arrays[k][x]] = True
+            share[head.sharing(i)] = True
             open_ &= share
         if not open_.any():
             continue
-        both = np.bincount(np.concatenate([arrays[ORDERS][x] for x in sets[i].tolist() if x in arrays[ORDERS]]), minlength=n)
+        both = np.bincount(whole.sharing(i), minlength=n)
         for j in np.flatnonzero(open_ & (both * den >= num * (sizes + sizes[i] - both))):
             if root[j] != root[i]:
                 links.append((int(ids[i]), int(ids[j])))
@@ -172,19 +176,55 @@ def _tile(rows: pd.DataFrame, token: int, cross: bool, classes: np.ndarray, num:
     return links
 
 
+def tiles(pairs: DataFrame, often: DataFrame, sizes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles (x, y, id, side) of sets to be compared, and the pairs (a, b) that stand in none.
+
+    pairs: candidates (a, b). often: crowded tokens (token, id). sizes: id, n. Pairs and shared crowded
+    tokens lead from set to set; a cluster of sets with at most `block` tokens in all is one tile, so a
+    set travels once however many partners it has. Of larger clusters, the pairs are left as pairs, and
+    the sets of crowded tokens are cut into units of the same first token (and by hash, where these are
+    over `block`), of which those that share a token meet. x = y: a unit with itself.
+    """
+    often = written(often.select("token", "id").distinct(), "often")
+    stars = often.join(often.groupBy("token").agg(F.min("id").alias("a")), "token").select("a", F.col("id").alias("b"))
+    labels = components(pairs.unionByName(stars))
+    weighed = labels.join(sizes.withColumnRenamed("id", "v"), "v")
+    clusters = weighed.groupBy("component").agg(F.sum("n").alias("weight"))
+    of = written(weighed.join(clusters, "component").select(F.col("v").alias("id"), "component", "n", "weight"), "clusters")
+    small = of.where(F.col("weight") <= block).select(F.struct(F.col("component").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("x"), "id")
+    small = small.select("x", F.col("x").alias("y"), "id", F.lit(0).alias("side"))
+    big = of.where(F.col("weight") > block)
+    left_pairs = pairs.join(big.select(F.col("id").alias("a")), "a", "left_semi")
+    large = often.join(big, "id")
+    firsts = large.groupBy("id", "component", "n").agg(F.min("token").alias("first"))
+    counts = firsts.groupBy("first").agg(F.ceil(F.sum("n") / block).alias("parts"))
+    units = firsts.join(counts, "first").select("id", F.struct(F.col("component").alias("a"), F.col("first").alias("b"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("c")).alias("u"))
+    units = written(units, "units")
+    by_token = large.select("token", "id").join(units, "id").select("token", "u").distinct()
+    meet = by_token.select("token", F.col("u").alias("x")).join(by_token.select("token", F.col("u").alias("y")), "token").where("x <= y").select("x", "y").distinct()
+    meet = written(meet, "meet")
+    left = meet.join(units.withColumnRenamed("u", "x"), "x").select("x", "y", "id", F.lit(0).alias("side"))
+    right = meet.where("x <> y").join(units.withColumnRenamed("u", "y"), "y").select("x", "y", "id", F.lit(1).alias("side"))
+    return small.unionByName(left).unionByName(right), left_pairs
+
+
 def links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int, classes, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """Links (a, b) whose components are those of all pairs with Jaccard at least num/den.
 
     docs: doc_id, text. sets: rep (a doc_id), n_shingles, head, one row for each different set.
     """
-    rows = sets.select(F.explode("head").alias("token"), F.col("rep").alias("id"), F.col("n_shingles").alias("n"))
+    rows = sets.select(F.explode("head").alias("token"), F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.size("head").cast("long").alias("p"))
     counts = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     rows = written(rows.join(counts, "token"), "shared")
-    seldom = rows.where(F.col("c") <= few).drop("c")
-    other = seldom.select("token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    fits = (F.least("n", "nb") * den >= F.greatest("n", "nb") * num) & (F.col("id") < F.col("b"))
-    pairs = written(seldom.join(other, "token").where(fits).select(F.col("id").alias("a"), "b").distinct(), "pairs")
     often = rows.where(F.col("c") > few)
+    crowded = often.groupBy("id").agg(F.count("*").alias("o"))
+    seldom = rows.where(F.col("c") <= few).join(crowded, "id", "left").select("token", F.struct("id", "n", F.coalesce("o", F.lit(0)).alias("o"), (F.col("n") - F.col("p")).alias("rest")).alias("a"))
+    fits = (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num) & (F.col("a.id") < F.col("b.id"))
+    met = seldom.join(seldom.withColumnRenamed("a", "b"), "token").where(fits).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    # what the prefixes share, crowded tokens at most, and all that follows one of them must reach the
+    # overlap that the two sizes ask for
+    most = F.col("shared") + F.least("a.o", "b.o") + F.greatest("a.rest", "b.rest")
+    pairs = written(met.where(most * (num + den) >= (F.col("a.n") + F.col("b.n")) * num).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(often.select(F.col("id").alias("doc_id"))).distinct()
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +238,9 @@ def links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int, clas
 
     others = [f"p{k}" for k in range(1, ORDERS)]
     schema = "id long, tokens binary" + "".join(f", {p} binary" for p in others)
-    wanted = docs.join(needed, "doc_id", "left_semi").mapInArrow(tokens_of, schema)
-    wanted = written(wanted.dropDuplicates(["id", "tokens"]), "sets")
+    # rows of an id are in one partition after the join, so equal ones go without another shuffle
+    wanted = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    wanted = written(wanted.mapInArrow(tokens_of, schema), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,21 +253,16 @@ def links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int, clas
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(passed))
 
     sides = [wanted.select(F.col("id").alias(s), *(F.col(x).alias(f"{s}_{x}") for x in ["tokens", *others])) for s in "ab"]
-    near = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(verify, "a long, b long")
-
-    # blocks of a token: every two meet in one tile, and each with itself
-    blocks = F.ceil(F.col("c") / block).cast("int")
-    mine = often.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiles = mine.select("token", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select("token", "id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).join(wanted, "id")
+    sizes = sets.groupBy(F.col("rep").alias("id")).agg(F.sum("n_shingles").alias("n"))
+    dealt, apart = tiles(pairs, often, sizes, block)
+    near = apart.join(sides[0], "a").join(sides[1], "b").mapInArrow(verify, "a long, b long")
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        cross = pdf["x"].iloc[0] != pdf["y"].iloc[0]
-        token = int(pdf["token"].iloc[0]) & (1 << 64) - 1
-        return pd.DataFrame(_tile(pdf, token, bool(cross), classes.value, num, den), columns=["a", "b"], dtype="int64")
+        cross = pdf["side"].nunique() > 1
+        return pd.DataFrame(_tile(pdf, cross, classes.value, num, den), columns=["a", "b"], dtype="int64")
 
-    crowded = tiles.groupBy("token", "x", "y").applyInPandas(tile, "a long, b long")
-    return near.unionByName(crowded)
+    dealt = dealt.join(wanted.select("id", "tokens"), "id")
+    return near.unionByName(dealt.groupBy("x", "y").applyInPandas(tile, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
