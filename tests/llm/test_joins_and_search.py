@@ -39,7 +39,7 @@ def brute(rows, width, num, den):
     return sorted(((i, len(s), find(i) if i is not None and s else i) for i, s in sets), key=str)
 
 
-@pytest.mark.parametrize(("width", "num", "den", "few", "block"), [(3, 9, 10, 64, 64), (3, 9, 10, 2, 64), (5, 8, 10, 1, 7), (1, 5, 10, 2, 5)])
+@pytest.mark.parametrize(("width", "num", "den", "few", "block"), [(3, 9, 10, 64, 10**6), (3, 9, 10, 64, 1), (3, 9, 10, 2, 10**6), (5, 8, 10, 1, 700), (1, 5, 10, 2, 500)])
 def test_components_match_brute_force(spark, docs, rows, width, num, den, few, block, monkeypatch):
     monkeypatch.setattr(ngram_join.links, "__defaults__", (few, block))
     found = jaccard_components(docs, width, num, den).collect()

@@ -14,7 +14,7 @@ import pytest
 from factloom.llm import fingerprint, packing
 from factloom.llm.fingerprint import digest, edited_pairs, fit_rarity, levels, likeness, of_text, op3_fingerprints
 from factloom.llm.html_text import extract, op2_html_text
-from factloom.llm.line_dedup import FIELD, dedup_lines, op6_line_dedup, parse
+from factloom.llm.line_dedup import FIELD, Lines, dedup_lines, op6_line_dedup, parse
 from factloom.llm.mixing import mix, mixed, op5_mixing, schedule
 from factloom.llm.packing import best_fit, encoder, op7_packing, pack, packed, tokenizer_path
 from factloom.llm.secret_scan import BASE, KINDS, REACH, link_credentials, op8_secret_scan
@@ -209,8 +209,25 @@ def test_secret_query(spark, sf, rows):
 
 
 def test_template_tree():
-    lines = [x.split() for x in ("a b c d e f g h i j", "a b c d e f g h i X", "a b c Y e f g h i j", "a b c q r s t u v w")]
-    assert parse(lines, [3, 1, 1, 1]) == [0, 0, 0, 1]
+    lines = [np.array([ord(c) for c in x.split()]) for x in ("a b c d e f g h i j", "a b c d e f g h i X", "a b c Y e f g h i j", "a b c q r s t u v w")]
+    assert parse(lines, [3, 1, 1, 1], [1, 2, 3, 4]) == [0, 0, 0, 1]
+
+
+def test_lines_match_line_by_line(rows):
+    texts = [r[1] or "" for r in rows] + ["", "\n\n", "a b c d e\n\n x1 b c d e \nshort", "x2 b c d e"]
+    whole = Lines([t.encode() for t in texts])
+    seen = {}
+    want = []
+    for d, text in enumerate(texts):
+        for k, line in enumerate(text.split("\n")):
+            words = re.findall(r"[^ \t-\r]+", line)
+            if len(words) >= 5:
+                want.append((d, k, len(words), tuple("<*>" if re.search("[0-9]", w) else w for w in words)))
+    assert [(d, k, n) for d, k, n, _ in want] == list(zip(whole.doc.tolist(), whole.place.tolist(), whole.size.tolist(), strict=True))
+    for masked, leaf, (_, _, n, words) in zip(whole.masked.tolist(), whole.leaf.tolist(), want, strict=True):
+        assert seen.setdefault(words, masked) == masked
+        assert seen.setdefault((n, words[:3]), leaf) == leaf
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_recurring_lines_go(spark):
@@ -252,7 +269,7 @@ def test_similar_lines_share_a_template_across_shares(spark, monkeypatch):
 def test_line_query(spark, sf, rows, empty):
     assert op6_line_dedup(spark, sf).count() == len(rows)
     assert dedup_lines(empty).collect() == []
-    assert FIELD == "<*>"
+    assert FIELD == -1
 
 
 # mixing
