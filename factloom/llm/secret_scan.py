@@ -63,13 +63,15 @@ def link_credentials(docs: DataFrame, reach: int = REACH) -> DataFrame:
     kind is the place in KINDS; start and end count code points, end exclusive.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.concat(*(_parts(text, k) for k in range(len(KINDS)))).alias("parts"))
+    # an entry without kind stands for the document itself, whatever its matches
+    itself = F.array(F.lit(None)).cast(PART)
+    found = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.concat(itself, *(_parts(text, k) for k in range(len(KINDS)))).alias("parts"))
     parts = found.select("doc_id", "row", F.explode_outer("parts").alias("p")).select("doc_id", "row", "p.*").repartition("row")
 
     by_kind = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = parts.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(by_kind))
     placed = placed.withColumn("start", F.col("end") - F.col("size"))
-    # the last gap of a kind has no match after it; one row stays for documents without any match
+    # matches that fail their test go, and the last gap of a kind, which has no match after it
     placed = placed.where("kind is null or ok")
 
     names = F.array(*(F.lit(k[5]) for k in KINDS))

@@ -198,6 +198,16 @@ def test_secrets_match_brute_force(spark):
     assert sum(len(x[2]) for x in want) > 300 and any(s[1] == 5 for x in want for s in x[2])
 
 
+#: every match of these fails its test
+UNMET = ["my token=abc ok", "AKIA123 x", "g" * 40, "password: x AKIA1 https://h " + "A" * 32, "token=a token=b", "nothing"]
+
+
+def test_documents_with_failed_matches_only_stay(spark):
+    docs = spark.createDataFrame([*enumerate(UNMET), (None, UNMET[0]), (0, UNMET[0])], "doc_id long, text string").repartition(2)
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["spans"]) for r in link_credentials(docs).collect())
+    assert found == sorted([(False, i, []) for i in range(len(UNMET))] + [(True, 0, []), (False, 0, [])])
+
+
 def test_secret_query(spark, sf, rows):
     found = op8_secret_scan(spark, sf).collect()
     assert len(found) == len(rows)
