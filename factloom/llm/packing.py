@@ -7,6 +7,9 @@ others become items of their own, are dealt to `FAN_IN` times fewer partitions a
 until one partition is left. Rounds move bins (id, length), never pieces or texts; in the end every
 piece learns its sequence and its place there through the chain of merges.
 
+`packed_along` keeps an order of documents instead: each stretch of `STRETCH` documents is packed for
+itself and sequences are numbered along the order, so that their prefixes hold what its prefixes hold.
+
 Defined cases: null texts count as empty, and an empty text is the one token END; repeated ids and
 rows are packed each; an empty `documents` gives an empty result; no piece is dropped.
 """
@@ -19,6 +22,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,10 @@ END = 2
 #: A bin with at most so much room left is done.
 NEARLY = 8
 FAN_IN = 8
+#: Documents that are packed together where their order counts.
+STRETCH = 2_048
+#: Bits of an item's number for its piece, where items are numbered by places of documents.
+PIECE_BITS = 24
 VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -82,8 +90,11 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, ids: bool = False) -> DataFrame:
-    """Per piece: item (unique), doc_id, piece, start, length, ids_crc32, and the ids if asked for."""
+def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, ids: bool = False, position: str | None = None) -> DataFrame:
+    """Per piece: item (unique), doc_id, piece, start, length, ids_crc32, and the ids if asked for.
+
+    position: a column with the unique place of each document; items are then numbered along it.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = (encoder(path, None) if path else encoder(tokenizer_path(), tokenizer_path(RANKS))).encode
@@ -93,7 +104,9 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, ids:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 rows = []
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                places = batch["position"].to_pylist() if position else repeat(None)
+                for doc_id, text, place in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), places):
+                    item = item if place is None else place << PIECE_BITS
                     raw = encode(text or "") + end
                     n = len(raw) // 4
                     first = n % size or size
@@ -104,7 +117,8 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, ids:
                         item += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    place = [F.col(position).cast("long").alias("position")] if position else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *place)
     found = rows.mapInArrow(cut, "item long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     return found if ids else found.drop("ids")
 
@@ -190,6 +204,56 @@ def packed(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Da
     return whole.unionByName(partial.join(pack(partial, size), "item"))
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and position: the place of each row in the order in which docs was written.
+
+    A table's order is that of its files' names and of the rows in each, however reads are split.
+    What isn't a table yet is written first.
+    """
+    spark = docs.sparkSession
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.children().isEmpty() or "_metadata" not in [a.name() for a in _listed(plan.metadataOutput())]:
+        docs = written(docs.select("doc_id", "text"), "ordered")
+    at = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", "text", at["file_path"].alias("file"), at["row_index"].alias("place"))
+    # one row for each file
+    sizes = {r["file"]: r["n"] for r in rows.groupBy("file").agg((F.max("place") + 1).alias("n")).collect()}
+    starts, start = [], 0
+    for file in sorted(sizes, key=lambda f: (len(f), f)):
+        starts.append((file, start))
+        start += sizes[file]
+    starts = spark.createDataFrame(starts, "file string, start long")
+    return rows.join(F.broadcast(starts), "file").select("doc_id", "text", (F.col("start") + F.col("place")).alias("position"))
+
+
+def _listed(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def packed_along(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, stretch: int = STRETCH) -> DataFrame:
+    """Every piece of every document with sequence_id and offset, along the order of docs as written.
+
+    A sequence holds pieces of one stretch of documents, in their order; its id is that of its first
+    piece, so ids ascend along the order.
+    """
+    cut = written(pieces(in_order(docs), path, size, position="position"), "pieces")
+    whole = cut.where(F.col("length") == size).withColumns({"sequence_id": F.col("item"), "offset": F.lit(0).cast("long")})
+
+    columns = whole.columns
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["length", "item"], ascending=[False, True], ignore_index=True)
+        pdf["bin"] = best_fit(pdf["length"].to_numpy(), size)
+        pdf = pdf.sort_values(["bin", "item"], ignore_index=True)
+        grouped = pdf.groupby("bin")
+        pdf["sequence_id"] = grouped["item"].transform("first")
+        pdf["offset"] = grouped["length"].cumsum() - pdf["length"]
+        return pdf[columns]
+
+    partial = cut.where(F.col("length") < size).withColumn("stretch", F.floor(F.shiftright("item", PIECE_BITS) / stretch))
+    return whole.unionByName(partial.groupBy("stretch").applyInPandas(fit, whole.schema))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packed(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

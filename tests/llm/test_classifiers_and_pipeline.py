@@ -5,10 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import quality, toxicity
-from factloom.llm.common import bounded_sample, pack_arrays, shared_dir, tree_sum
+from factloom.llm.common import bounded_sample, pack_arrays, shared_dir, tree_sum, written
+from factloom.llm.mixing import mixed
+from factloom.llm.packing import in_order, packed_along
 from factloom.llm.quality import fit_quality, op1_quality, pool, tokens
 from factloom.llm.toxicity import _present, drop_toxic, fit_toxicity, op10_toxicity
 
@@ -148,3 +151,33 @@ def test_pipeline_on_an_empty_table(spark, empty, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.collect() == []
+
+
+def test_sequences_follow_the_mix(spark):
+    # a hot source with the small ids: by weight a third of each prefix while the others last
+    sources = ["hot"] * 4000 + ["a"] * 400 + ["b"] * 400
+    rows = [(i, f"document number {i} " * 12, "en", s, 1) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(7)
+    weights = {"hot": 1, "a": 1, "b": 1}
+    found = packed_along(written(mixed(docs, weights), "mix"), stretch=64)
+    found = sorted((r["sequence_id"], r["offset"], r["doc_id"], r["length"]) for r in found.collect())
+    assert sorted(r[2] for r in found) == [*range(len(rows))]
+    filled = Counter()
+    for sequence, offset, _, length in found:
+        assert offset == filled[sequence]
+        filled[sequence] += length
+    assert max(filled.values()) <= 1024
+    # the others last for 1,200 documents: a stretch and a block of each source are off at most
+    for n in range(150, 1200, 50):
+        seen = Counter(sources[r[2]] for r in found[:n])
+        assert all(abs(seen[s] - n / 3) <= 64 + 16 for s in weights), (n, seen)
+    assert {sources[r[2]] for r in found[1400:]} == {"hot"}
+
+
+def test_packing_reads_the_order_as_written(spark, docs):
+    table = written(docs.orderBy("text", "doc_id"), "sorted")
+    ids = [r["doc_id"] for r in in_order(table).orderBy("position").collect()]
+    assert ids == [r["doc_id"] for r in docs.orderBy("text", "doc_id").collect()]
+    # a plan that isn't a table keeps the order of its own rows, not that of the files below
+    turned = [r["doc_id"] for r in in_order(table.orderBy(F.desc("doc_id"))).orderBy("position").collect()]
+    assert turned == [r["doc_id"] for r in table.orderBy(F.desc("doc_id")).collect()]
