@@ -5,6 +5,8 @@ Intent, security and architecture checks are rules, not judgements of a language
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,11 +112,11 @@ def dependency_cycles(r: Relations, most: int = 6) -> DataFrame:
     return found.select(*REPO, F.size("path").cast("long").alias("length"), F.array_join("path", " > ").alias("cycle"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
-    """node, depth: what seeds lead to in at most `most` steps along edges (src, dst); semi-naive."""
+def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """node, depth: all that seeds lead to along edges (src, dst), or in at most `most` steps; semi-naive."""
     frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "reach")
     seen, step = frontier, cut(edges.select("src", "dst").distinct(), "edges")
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         nodes = frontier.join(step, frontier["node"] == step["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut(nodes.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")), "reach")
         if frontier.isEmpty():
@@ -123,7 +125,7 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def blast_radius(r: Relations, changed: DataFrame, most: int = 6) -> DataFrame:
+def blast_radius(r: Relations, changed: DataFrame, most: int | None = None) -> DataFrame:
     """name, depth: functions that, by name, call the changed ones (name) directly or through others."""
     names = r.function.select(*PROVENANCE, F.col("func_id").alias("caller_id"), F.col("name").alias("caller")).distinct()
     edges = calls(r).join(names, [*PROVENANCE, "caller_id"]).select(F.col("base").alias("src"), F.col("caller").alias("dst"))

@@ -380,6 +380,20 @@ def blast_radius(spark, sf):
     return q.blast_radius(r, changed, 4)
 
 
+@query()
+def dependency_closure(spark, sf):
+    """All that the first module depends on, however far; in SQL, depths in cycles never end."""
+    edges = q.module_edges(facts(spark, sf)).select("src", "dst")
+    return q.reach(edges, edges.agg(F.min("src").alias("node")))
+
+
+@query()
+def blast_radius_of_changes(spark, sf):
+    """All callers, however far, of the functions that differ between the first and the last commit."""
+    after = commit(spark, sf, "c3")
+    return q.blast_radius(after, diff.function_diff(commit(spark, sf, "c0"), after))
+
+
 @query(with_base("SELECT path AS file_path, func_id, name, CAST(ncalls + arity + coalesce(lead(line) OVER (PARTITION BY path ORDER BY line) - line, 0) AS BIGINT) AS complexity FROM ln"))
 def complexity(spark, sf):
     return q.complexity(facts(spark, sf)).select("file_path", "func_id", "name", "complexity")

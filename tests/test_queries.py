@@ -5,7 +5,8 @@ import decimal
 import duckdb
 import pytest
 
-from factloom.plans.registry import QUERIES, SQL
+from factloom.operators import queries as q
+from factloom.plans.registry import HIST, QUERIES, SQL, with_base
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,3 +35,28 @@ def test_query(spark, duck, name):
         assert sorted(want.columns) == columns
         at = [want.columns.index(c) for c in columns]
         assert found == sorted(repr(tuple(plain(r[i]) for i in at)) for r in want.fetchall())
+
+
+def closure(edges, seeds):
+    depth, frontier = dict.fromkeys(seeds, 0), set(seeds)
+    while frontier:
+        frontier = {b for a, b in edges if a in frontier} - depth.keys()
+        depth |= dict.fromkeys(frontier, max(depth.values()) + 1)
+    return depth
+
+
+def test_reach_has_no_end_by_default(spark):
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(10)] + [("n10", "n0"), ("x", "y")]
+    found = q.reach(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("n0",)], "node string"))
+    assert {r["node"]: r["depth"] for r in found.collect()} == {f"n{i}": i for i in range(11)}
+
+
+def test_closures_are_whole(spark, duck):
+    edges = duck.sql(SQL["module_edges"]).fetchall()
+    want = closure(edges, [min(a for a, _ in edges)])
+    assert {r["node"]: r["depth"] for r in QUERIES["dependency_closure"](spark, SF).collect()} == want
+    assert max(want.values()) > 6
+    at = "SELECT k, name, arity, vis, callee FROM h WHERE i = "
+    before, after = (set(duck.sql(with_base(at + i, HIST)).fetchall()) for i in "03")
+    want = closure([(r[4], r[1]) for r in after], {r[1] for r in before ^ after})
+    assert {r["name"]: r["depth"] for r in QUERIES["blast_radius_of_changes"](spark, SF).collect()} == want
