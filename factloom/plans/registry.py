@@ -158,6 +158,11 @@ def normalize_ids(spark, sf):
     return table(spark, sf, "documents").select("doc_id", scalar.normalize_id(F.substring("text", 1, 200)).alias("id"))
 
 
+@query("SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}_]', '_', 'g')) AS id FROM documents")
+def normalize_whole_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", scalar.normalize_id("text").alias("id"))
+
+
 @query("""SELECT doc_id, CASE WHEN strlen(t) > 80 THEN left(t, 80) ELSE t END AS param FROM (
   SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '^[,()]+|[,()]+$', '', 'g') AS t FROM documents)""")
 def clean_tokens(spark, sf):

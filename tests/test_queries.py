@@ -60,3 +60,8 @@ def test_closures_are_whole(spark, duck):
     before, after = (set(duck.sql(with_base(at + i, HIST)).fetchall()) for i in "03")
     want = closure([(r[4], r[1]) for r in after], {r[1] for r in before ^ after})
     assert {r["name"]: r["depth"] for r in QUERIES["blast_radius_of_changes"](spark, SF).collect()} == want
+
+
+def test_ids_of_whole_texts(spark, duck):
+    found = {r["doc_id"]: len(r["id"]) for r in QUERIES["normalize_whole_ids"](spark, SF).collect()}
+    assert found == dict(duck.sql("select doc_id, length(text) from documents").fetchall()) and max(found.values()) > 200
