@@ -90,6 +90,11 @@ def module_edges(r: Relations) -> DataFrame:
     return wanted.join(by_id, [*REPO, "dst"]).join(own, list(PROVENANCE)).where("src <> dst").select(*REPO, "src", "dst").distinct()
 
 
+def id_collisions(r: Relations) -> DataFrame:
+    """func_ids that several functions of a repository's commit share, with the number of these."""
+    return r.function.groupBy(*REPO, "func_id").agg(F.count("*").alias("functions")).where("functions > 1")
+
+
 def paths(edges: DataFrame, most: int) -> DataFrame:
     """Simple paths that never go below their start, by length; a loop of joins, one for each step."""
     step = cut(edges, "edges")

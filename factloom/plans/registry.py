@@ -300,6 +300,13 @@ def id_collisions(spark, sf):
     return made.groupBy("base").agg(F.count("*").alias("callers")).where("callers > 20")
 
 
+@query(with_base("SELECT func_id, count(*) AS functions FROM (SELECT func_id FROM ln UNION ALL SELECT func_id FROM ln) GROUP BY func_id HAVING count(*) > 1"))
+def func_id_collisions(spark, sf):
+    """The same functions in two languages stand in one repository here, so their ids collide."""
+    both = stored_facts(spark, sf).unionByName(stored_facts(spark, sf, "javascript"))
+    return q.id_collisions(Relations(both)).select("func_id", "functions")
+
+
 # named queries
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from factloom.operators import queries as q
+from factloom.operators.extract import Relations, extract_facts
 from factloom.plans.registry import HIST, QUERIES, SQL, with_base
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +66,11 @@ def test_closures_are_whole(spark, duck):
 def test_ids_of_whole_texts(spark, duck):
     found = {r["doc_id"]: len(r["id"]) for r in QUERIES["normalize_whole_ids"](spark, SF).collect()}
     assert found == dict(duck.sql("select doc_id, length(text) from documents").fetchall()) and max(found.values()) > 200
+
+
+def test_methods_of_two_classes_collide(spark):
+    code = "class A:\n    def run(self, x):\n        pass\n\nclass B:\n    def run(self, x):\n        pass\n\n    def other(self):\n        pass\n"
+    rows = [("r", "c", "a.py", "python", code), ("r", "d", "b.py", "python", "def other(self):\n    pass\n")]
+    files = spark.createDataFrame(rows, "repo_id string, commit_sha string, file_path string, language string, code string")
+    found = q.id_collisions(Relations(extract_facts(files))).collect()
+    assert [(r["commit_sha"], r["functions"]) for r in found] == [("c", 2)] and found[0]["func_id"].startswith("run")
