@@ -1,23 +1,62 @@
-"""Shared plumbing: written tables, tree sums of fixed-size arrays, bounded label samples."""
+"""Shared plumbing: written tables, tree sums of fixed-size arrays, bounded label samples, bounded batches."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HELD_OUT_REMAINDER = 2
+#: Rows and bytes of an Arrow batch, at most (a longer row is a batch of its own).
+BATCH_ROWS = 2_000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches between the JVM and Python workers hold a few MB, as both keep several at a time."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def released() -> None:
+    """Gives memory that this worker has freed back to the system; workers live on between tasks."""
+    from . import textops
+
+    textops.forget()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def frugal(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, a function of a task's batches, that keeps no freed memory once the task is done."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            released()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; on a local master a temporary folder where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,21 +70,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Folders that written() made, oldest first.
+_made: list[str] = []
+
+
+def written(df: DataFrame, name: str, partition: str | None = None, **options: object) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd").options(**options)
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    _made.append(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_path = path
+    return found
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table made by written(), once nothing lazy reads them any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables made by written(), once nothing lazy reads them any more; others stay."""
+    for df in tables:
+        if path := getattr(df, "written_path", None):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows as a written table; tables that were written on the way to it are deleted."""
+    before = set(_made)
+    out = written(make(), name)
+    for path in [p for p in _made if p not in before and p != out.written_path]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -57,8 +118,9 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int)
     """At most `bound` labelled rows that aren't held out: (doc_id, text, label).
 
     The rows with the smallest hash of doc_id are taken, so the sample depends on the data alone.
-    Ids whose labels contradict each other, and null ids or labels, are left out. Only the ids
-    (at most `bound` of them) are broadcast.
+    Ids whose labels contradict each other, and null ids or labels, are left out. Of rows that repeat
+    an id the text with the least hash is taken, so there are at most `bound` rows whatever the ids.
+    Only the ids (at most `bound` of them) are broadcast.
     """
     ids = (
         labels.select("doc_id", F.col(target).cast("int").alias("label"))
@@ -72,7 +134,8 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int)
         .limit(bound)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id")
+    found = texts.join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def pack_arrays(part: int, array: np.ndarray, chunks: int) -> pd.DataFrame:

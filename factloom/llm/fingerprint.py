@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import ARRAYS, pack_arrays, table, tree_sum
+from .common import ARRAYS, frugal, pack_arrays, table, tree_sum
 
 WINDOW = 32
 SPAN = 32
@@ -46,6 +47,8 @@ _C = np.arange(WINDOW + 2)
 _CLOG = np.round(65536 * _C * np.log2(np.maximum(_C, 1))).astype(np.int32)
 _STEP = np.diff(_CLOG)
 _BLOCK = 1 << 17
+#: Bytes of text that a task sorts and compares, about.
+SLICE = 16 << 20
 
 
 def levels(buf: np.ndarray) -> np.ndarray:
@@ -139,6 +142,7 @@ def fit_rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     Levels of plain windows rank last.
     """
 
+    @frugal
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(LEVELS, dtype=np.int64)
         for pdf in batches:
@@ -157,34 +161,50 @@ def fit_rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
 def edited_pairs(docs: DataFrame, rank: np.ndarray, slices: int | None = None) -> DataFrame:
     """Each document's digest, that of its edited text, and how alike they and the next document are.
 
-    The order is by descending doc_id. Ids are cut into slices at approximate quantiles; each slice
-    is sorted in one task and gets the first document of the next slice too, so texts move once.
+    The order is by descending doc_id, then the text's hash. It is cut at approximate quantiles into
+    slices of about `SLICE` bytes, and where many rows share an id (or have none) by hash. A slice is
+    one task's, is sorted there and gets the first document of the next slice too, so texts move once.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    slices = slices or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / slices for i in range(1, slices)], 10_000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    # slice 0 holds the largest ids; null ids come after all others
-    above = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c >= F.col("doc_id")))
-    place = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(above).cast("int")
-    sliced = docs.withColumns({"slice": place, "o": F.coalesce(-F.col("doc_id"), F.lit(0)), "h": F.xxhash64("text")})
-    # the first document of each slice (largest id, least hash): as many as slices
-    heads = dict(sliced.groupBy("slice").agg(F.min(F.struct("o", "h")).alias("key")).collect())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.withColumns({"o": F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)), "nameless": F.col("doc_id").isNull(), "h": F.xxhash64("text")})
+    if not slices:
+        size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        slices = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SLICE))
+    found = keyed.agg(F.percentile_approx("o", [i / slices for i in range(1, slices)], max(10_000, 20 * slices))).first()[0]
+    # a quantile that comes again and again is an id of many rows, which get as many slices more
+    again = Counter(found or [])
+    cuts = sorted(again)
+    more = [again[c] - 1 for c in cuts]
+    starts = np.cumsum([0, *(m + 1 for m in more)]).tolist()
+    known, o = F.lit(cuts).cast("array<long>"), F.col("o")
+    # how many cuts are below, by steps of halved length
+    steps = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))]).cast("array<int>")
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(known, at + step - 1) < o, step).otherwise(0))
+    spread = F.get(F.lit(more).cast("array<int>"), F.col("below"))
+    part = F.least(F.floor((F.col("h") / float(1 << 64) + 0.5) * (spread + 1)), spread)
+    shares = (F.get(known, F.col("below")) == o) & (F.col("nameless") | (o < (1 << 63) - 1))
+    place = F.get(F.lit(starts).cast("array<int>"), F.col("below")) + F.when(shares, part).otherwise(0)
+    sliced = keyed.withColumn("below", below).withColumn("slice", place.cast("int")).drop("below")
+    # the first document of each slice: as many as slices
+    heads = dict(sliced.groupBy("slice").agg(F.min(F.struct("o", "nameless", "h")).alias("key")).collect())
     order = sorted(heads)
     before = {s: order[k - 1] for k, s in enumerate(order)}  # the first slice's head follows the last slice
 
     def of_slice(values: dict) -> Column:
-        return F.get(F.lit([values.get(s) for s in range(len(cuts) + 2)]).cast("array<long>"), F.col("slice"))
-
-    head = (F.col("o") == of_slice({s: k["o"] for s, k in heads.items()})) & (F.col("h") == of_slice({s: k["h"] for s, k in heads.items()}))
-    marked = sliced.withColumn("head", head).withColumn("goes", of_slice(before).cast("int"))
-    places = F.when(F.col("head"), F.array(F.struct(F.col("slice").alias("s"), F.lit(False).alias("extra")), F.struct(F.col("goes").alias("s"), F.lit(True).alias("extra"))))
-    places = places.otherwise(F.array(F.struct(F.col("slice").alias("s"), F.lit(False).alias("extra"))))
-    moved = marked.withColumn("at", F.explode(places)).select(F.col("at.s").alias("s"), F.col("at.extra").alias("extra"), "doc_id", "h", "text")
-    moved = moved.repartition(slices, "s").sortWithinPartitions("s", "extra", F.desc_nulls_last("doc_id"), "h")
+        return F.get(F.lit([values.get(s) for s in range(starts[-1] + 1)]).cast("array<long>"), F.col("slice"))
+
+    head = F.lit(True)
+    for c in ("o", "nameless", "h"):
+        head = head & (F.col(c).cast("long") == of_slice({s: int(k[c]) for s, k in heads.items()}))
+    own, extra = F.struct(F.col("slice").alias("s"), F.lit(False).alias("extra")), F.struct(of_slice(before).cast("int").alias("s"), F.lit(True).alias("extra"))
+    moved = sliced.withColumn("at", F.explode(F.when(head, F.array(own, extra)).otherwise(F.array(own))))
+    moved = moved.select("at.s", "at.extra", "o", "nameless", "h", "text")
+    moved = moved.repartitionById(starts[-1] + 1, F.col("s")).sortWithinPartitions("s", "extra", "o", "nameless", "h")
+    moved = moved.select("s", "extra", F.when(~F.col("nameless"), F.bitwise_not("o")).alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast(rank)
 
+    @frugal
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = shared.value
         held = None  # the document before: slice, id, text, digest

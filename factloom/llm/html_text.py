@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -464,8 +465,10 @@ def html_text(pages: DataFrame, markup: str = "html", out: str = "text") -> Data
     """pages with the column `out`, which replaces one of that name."""
 
     @F.pandas_udf("string")
-    def text(pages: pd.Series) -> pd.Series:
-        return pages.map(extract, na_action="ignore")
+    @frugal
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            yield pages.map(extract, na_action="ignore")
 
     return pages.withColumn(out, text(F.col(markup)))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import ARRAYS, pack_arrays, table, tree_sum, written
+from .common import ARRAYS, frugal, pack_arrays, table, tree_sum, written
 from .graph import components
 
 ORDERS = 3
@@ -79,6 +79,7 @@ HEADS = "doc_id long, n_shingles long, s1 long, s2 long, head array<bigint>"
 def heads(docs: DataFrame, width: int, num: int, den: int, classes) -> DataFrame:
     """Of each document's set: its size, a 128-bit signature, and its prefix under the first order."""
 
+    @frugal
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, s1, s2, parts = [], [], [], []
@@ -100,6 +101,7 @@ def heads(docs: DataFrame, width: int, num: int, den: int, classes) -> DataFrame
 def rarity_classes(docs: DataFrame, width: int) -> np.ndarray:
     """For each hashed cell, the magnitude (log2) of how many documents' sets hit it."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CELLS, dtype=np.int32)
         for batch in batches:
@@ -227,6 +229,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int, clas
     pairs = written(met.where(most * (num + den) >= (F.col("a.n") + F.col("b.n")) * num).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(often.select(F.col("id").alias("doc_id"))).distinct()
 
+    @frugal
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list[bytes]] = [[] for _ in range(ORDERS)]
@@ -242,6 +245,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int, clas
     wanted = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     wanted = written(wanted.mapInArrow(tokens_of, schema), "sets")
 
+    @frugal
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             passed = np.ones(batch.num_rows, dtype=bool)

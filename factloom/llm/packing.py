@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import frugal, table, written
 
 SEQUENCE = 1024
 END = 2
@@ -96,6 +96,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, ids:
     position: a column with the unique place of each document; items are then numbered along it.
     """
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = (encoder(path, None) if path else encoder(tokenizer_path(), tokenizer_path(RANKS))).encode
         end = array("I", [END]).tobytes()
@@ -159,6 +160,7 @@ def pack(items: DataFrame, size: int = SEQUENCE, partitions: int | None = None)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def round_of(least: int):
+        @frugal
         def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pdf = pd.concat([*batches, pd.DataFrame({"item": [], "length": []}, dtype="int64")])
             if not len(pdf):

@@ -14,6 +14,7 @@ and counts as not held out; repeated rows are each scored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import ARRAYS, bounded_sample, held_out, pack_arrays, table, tree_sum
+from .common import ARRAYS, bounded_sample, frugal, held_out, pack_arrays, table, tree_sum
 
 WORDS = 1 << 14
 WIDTH = 32
@@ -63,6 +64,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """One vector for each hashed word, from all documents."""
 
+    @frugal
     def count(batches):
         place, sign = index_vectors()
         total = np.zeros(WORDS * WIDTH, dtype=np.int64)
@@ -127,8 +129,10 @@ class QualityModel:
         shared = docs.sparkSession.sparkContext.broadcast(self)
 
         @F.pandas_udf("double")
-        def quality(texts: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.scores(texts.tolist()).astype(float))
+        @frugal
+        def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series(shared.value.scores(texts.tolist()).astype(float))
 
         return docs.withColumn(out, quality(F.coalesce(F.col(text), F.lit(""))))
 
@@ -167,6 +171,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Quali
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
+    @frugal
     def pooled(batches):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [v.tobytes() for v in pool(pdf["text"].tolist(), shared.value)]})

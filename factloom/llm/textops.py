@@ -33,6 +33,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
+def forget() -> None:
+    """Drops powers kept for long buffers."""
+    global _powers, _inverses
+    _powers, _inverses = _powers[:1].copy(), _inverses[:1].copy()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; x is uint64."""
     x = x ^ (x >> np.uint64(30))
@@ -43,7 +49,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def buffers(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def buffers(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """Groups of consecutive documents of about `most` bytes together; longer ones stand alone."""
     start, size, group = 0, 0, []
     for i, text in enumerate(texts):

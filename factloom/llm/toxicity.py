@@ -14,6 +14,7 @@ of toxic labels; a null doc_id is scored and counts as not held out; repeated ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARRAYS, bounded_sample, drop_written, held_out, pack_arrays, table, tree_sum, written
+from .common import ARRAYS, bounded_sample, drop_written, frugal, held_out, pack_arrays, table, tree_sum, written
 
 BITS = 21
 SIZES = (3, 4, 5, 6, 7)
@@ -31,7 +32,7 @@ BOUND = 12_000
 FEATURES = 4_000
 THRESHOLD = 0.3
 CHUNKS = 16
-_GROUP = 1 << 20
+_GROUP = 1 << 18
 
 
 def _lowered(texts: list[str | None]):
@@ -104,8 +105,10 @@ class ToxicityModel:
         shared = docs.sparkSession.sparkContext.broadcast(self)
 
         @F.pandas_udf("double")
-        def toxic(texts: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.scores(texts.tolist()))
+        @frugal
+        def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series(shared.value.scores(texts.tolist()))
 
         return docs.withColumn(out, toxic(F.coalesce(F.col(text), F.lit(""))))
 
@@ -130,6 +133,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, n_featu
     sample = written(bounded_sample(docs, labels, "toxic", bound), "toxic-sample")
     buckets = 1 << BITS
 
+    @frugal
     def counts(batches):
         total, everything = np.zeros((2, buckets), dtype=np.int32), np.arange(buckets, dtype=np.int32)
         for pdf in batches:
@@ -155,6 +159,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, n_featu
     ratio = ratio[best]
     shared = sample.sparkSession.sparkContext.broadcast(chosen)
 
+    @frugal
     def featured(batches):
         for pdf in batches:
             lists: list[list[np.ndarray]] = [[] for _ in range(len(pdf))]
@@ -175,9 +180,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, n_featu
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score under the threshold, with the columns of docs."""
-    scored = model.score(docs, out="_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).select(*docs.columns)
+    """The rows of docs that score under the threshold, with the columns of docs, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    return model.score(rows).where(F.col("score") < threshold).select("row.*")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

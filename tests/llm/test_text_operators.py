@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -89,6 +90,24 @@ def test_edited_texts(spark, sf, rows):
             assert prints.setdefault(text, by_id[doc_id]["fingerprint"]) == by_id[doc_id]["fingerprint"]
 
 
+@pytest.mark.parametrize("slices", [None, 3, 40])
+def test_edited_texts_of_repeated_ids(spark, slices):
+    """Ids that many rows share, null ids, the smallest and the largest id, equal rows."""
+    rng = random.Random(2)
+    least, most = -(1 << 63), (1 << 63) - 1
+    ids = [7] * 60 + [None] * 40 + [least] * 3 + [most] * 2 + list(range(30))
+    rows = [(i, "".join(rng.choices("abcd efgh", k=rng.randint(0, 60)))) for i in ids] + [(7, "equal"), (7, "equal"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = docs.selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").collect()
+    order = sorted(hashed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    want = Counter()
+    for r, after in zip(order, [*order[1:], order[0]], strict=True):
+        cut = len(r["text"]) // 3
+        want[r["doc_id"], len(r["text"]), hashlib.sha256((r["text"][: len(r["text"]) - cut] + after["text"][:cut]).encode()).hexdigest()] += 1
+    found = edited_pairs(docs, fit_rarity(docs), slices)
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found.collect()) == want
+
+
 def test_fingerprints_of_few_rows(spark, empty):
     assert edited_pairs(empty, fit_rarity(empty)).collect() == []
     one = spark.createDataFrame([(1, "only one text here, long enough for windows to be taken")], "doc_id long, text string")
