@@ -18,6 +18,8 @@ table gives an empty result; other columns, whatever their names, pass through `
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,18 @@ PERIOD = 2_048
 def schedule(weights: dict[str, int]) -> list[str]:
     """The source of each slot of one period, earliest deadline first among released blocks."""
     total = sum(weights.values())
-    names = sorted(weights)
-    given = dict.fromkeys(names, 0)
+    waiting = [(0, s, 0) for s in weights]  # release time, source, block
+    heapify(waiting)
+    ready: list[tuple[int, str, int]] = []  # deadline, source, block
     slots = []
     for slot in range(total):
-        ready = [s for s in names if given[s] * total // weights[s] <= slot and given[s] < weights[s]]
-        chosen = min(ready, key=lambda s: (-(-(given[s] + 1) * total // weights[s]), s))
-        given[chosen] += 1
-        slots.append(chosen)
+        while waiting and waiting[0][0] <= slot:
+            _, s, j = heappop(waiting)
+            heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
+        _, s, j = heappop(ready)
+        slots.append(s)
+        if j + 1 < weights[s]:
+            heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
     return slots
 
 
@@ -53,24 +59,36 @@ def root_weights(docs: DataFrame, period: int = PERIOD) -> dict[str, int]:
 def numbered(docs: DataFrame, span: int = 4_096) -> DataFrame:
     """docs as columns `row` (a struct) and source, with n: its place among its source's documents by id.
 
-    Ids are cut into ranges of `span`; each range is numbered for itself, and the counts of the ranges
-    before it in its source are added.
+    Ids are cut into ranges of `span` (rows without id by the hash that orders them); each range is
+    numbered for itself, and what stands before it in its source is added: counts of ranges are added
+    up in groups of `span`, those of groups in groups again, so sparse ids put no source in one task.
     """
     rows = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
-    rows = rows.withColumn("range", F.coalesce(F.floor(F.col("id") / span), F.lit(-(1 << 62))).cast("long"))
-    # many rows may share an id: they are told apart by a hash of the row, and equal rows by salt
+    nameless = F.shiftright(F.xxhash64("row"), 44) - (1 << 62)
+    rows = rows.withColumn("range", F.when(F.col("id").isNull(), nameless).otherwise(F.floor(F.col("id") / span)).cast("long"))
     counts = rows.groupBy("source", "range").agg(F.count("*").alias("c"))
-    tops = counts.withColumn("top", F.floor(F.col("range") / span))
-    inner = Window.partitionBy("source", "top").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    tops = written(tops.withColumn("before", F.coalesce(F.sum("c").over(inner), F.lit(0))), "ranges")
-    outer = Window.partitionBy("source").orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
-    upper = tops.groupBy("source", "top").agg(F.sum("c").alias("c")).withColumn("above", F.coalesce(F.sum("c").over(outer), F.lit(0)))
-    starts = tops.join(upper.drop("c"), ["source", "top"]).select("source", "range", (F.col("before") + F.col("above")).alias("start"))
+    starts = sums_before(counts, span).withColumnRenamed("before", "start")
+    # rows that share an id are told apart by a hash of the row; rows that are equal in all are the same in any order
     own = Window.partitionBy("source", "range").orderBy(F.asc_nulls_first("id"), F.xxhash64("row"))
     ranked = rows.withColumn("k", F.row_number().over(own) - 1)
     return ranked.join(starts, ["source", "range"]).select("source", "row", (F.col("k") + F.col("start")).alias("n"))
 
 
+def sums_before(counts: DataFrame, span: int) -> DataFrame:
+    """source, range, before: the sum of c over the smaller ranges of the source."""
+    counts = written(counts, "ranges")
+    most = counts.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    if most <= span:
+        w = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select("source", "range", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"))
+    grouped = counts.withColumn("top", F.floor(F.col("range") / span))
+    above = sums_before(grouped.groupBy("source", F.col("top").alias("range")).agg(F.sum("c").alias("c")), span)
+    w = Window.partitionBy("source", "top").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    inner = grouped.withColumn("inner", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    above = above.select("source", F.col("range").alias("top"), F.col("before").alias("above"))
+    return inner.join(above, ["source", "top"]).select("source", "range", (F.col("inner") + F.col("above")).alias("before"))
+
+
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
     """docs as `row`, with source, block (its number in its source), slot and place (in the block).
 
@@ -92,9 +110,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
     plan = spark.createDataFrame(slots, "source string, turn long, offset long, weight long")
     sizes = spark.createDataFrame([*weights.items()], "source string, weight long")
     rows = numbered(docs).withColumn("block", F.floor(F.col("n") / block)).withColumn("place", F.col("n") % block)
-    rows = rows.join(F.broadcast(sizes), "source")
+    rows = rows.join(sizes, "source")  # small tables, which Spark broadcasts up to its own limit
     rows = rows.withColumn("turn", F.col("block") % F.col("weight"))
-    rows = rows.join(F.broadcast(plan.drop("weight")), ["source", "turn"])
+    rows = rows.join(plan.drop("weight"), ["source", "turn"])
     slot: Column = F.floor(F.col("block") / F.col("weight")) * total + F.col("offset")
     return rows.select("row", "source", F.col("block").cast("long").alias("block"), slot.cast("long").alias("slot"), F.col("place").cast("int").alias("place"))
 
