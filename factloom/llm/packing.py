@@ -2,8 +2,8 @@
 
 Texts are tokenised where they are read. Documents longer than a sequence are cut; only the first
 piece may be shorter than a sequence. Pieces are dealt to partitions by hash and packed there by
-best fit, longest first. Bins that are nearly full, or that no bin left anywhere could still join, are done. The
-others become items of their own, are dealt to `FAN_IN` times fewer partitions and packed again,
+best fit, longest first. Bins that are nearly full, or that no bin left anywhere could still join, are
+done, and so are bins over half full beyond the number of those that could join them. The others become items of their own, are dealt to `FAN_IN` times fewer partitions and packed again,
 until one partition is left. Rounds move bins (id, length), never pieces or texts; in the end every
 piece learns its sequence and its place there through the chain of merges.
 
@@ -159,7 +159,7 @@ def pack(items: DataFrame, size: int = SEQUENCE, partitions: int | None = None)
     spark = items.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def round_of(least: int):
+    def round_of(fewer: np.ndarray):
         @frugal
         def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pdf = pd.concat([*batches, pd.DataFrame({"item": [], "length": []}, dtype="int64")])
@@ -172,17 +172,26 @@ def pack(items: DataFrame, size: int = SEQUENCE, partitions: int | None = None)
             pdf["offset"] = grouped["length"].cumsum() - pdf["length"]
             pdf["filled"] = grouped["length"].transform("sum")
             pdf["bin"] = grouped["item"].transform("first")
-            pdf["done"] = (size - pdf["filled"] <= NEARLY) | (size - pdf["filled"] < least)
+            rest = (size - pdf["filled"]).to_numpy()
+            pdf["done"] = (rest <= NEARLY) | (fewer[rest] == 0)
+            # of bins over half full, which can't join each other, as many stay as there are items that fit
+            half = pdf.loc[(rest < size / 2) & ~pdf["done"] & (pdf["item"] == pdf["bin"]), ["item", "filled"]].sort_values(["filled", "item"])
+            place = half.groupby("filled").cumcount().to_numpy()
+            over = half["item"][place >= fewer[size - half["filled"].to_numpy()]]
+            pdf["done"] |= pdf["bin"].isin(over)
             yield pdf[["item", "bin", "offset", "filled", "done"]]
 
         return fit
 
     chain, left = [], items.select("item", "length")
     while True:
-        # what is shorter than any item left can't be filled: known before the round, from all items
-        least = left.agg(F.min("length")).first()[0] or 1
+        # how many items are left of each length or less: what no item fits can't be filled any more
+        fewer = np.zeros(size + 1, dtype=np.int64)
+        for length, n in left.groupBy("length").count().collect():  # at most `size` rows
+            fewer[length] = n
+        fewer = np.cumsum(fewer)
         dealt = left.repartition(partitions, F.xxhash64("item", F.lit(partitions)))
-        merged = written(dealt.mapInPandas(round_of(least), "item long, bin long, offset long, filled long, done boolean"), "merged")
+        merged = written(dealt.mapInPandas(round_of(fewer), "item long, bin long, offset long, filled long, done boolean"), "merged")
         chain.append(merged)
         if partitions == 1:
             break
