@@ -63,7 +63,7 @@ DEEPEST = 200
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|</(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|</[^A-Za-z][^>]*>"
+    r"|</(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|</>|</[^A-Za-z>][^>]*(?:>|\Z)"
     r"""|<(?P<start>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*?)(?P<closed>/?)(?:>|\Z)""",
     re.S,
 )

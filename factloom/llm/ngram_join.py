@@ -298,7 +298,7 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     """
     gone = jaccard_components(docs, width, num, den).where("component_id < doc_id").select("doc_id").distinct()
     kept = docs.select(F.struct(*docs.columns).alias("row"), "doc_id").join(gone, "doc_id", "left_anti")
-    own = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("row.text"))
+    own = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("row.text"), F.xxhash64("row"))
     return kept.withColumn("k", F.row_number().over(own)).where("k = 1").select("row.*")
 
 
