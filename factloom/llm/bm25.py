@@ -1,173 +1,255 @@
 """Exact top-k search: BM25 by block-max WAND over shards, merged with global statistics.
 
-Documents are dealt to shards of about `SHARD` documents by hash. A shard's task builds an inverted
-index: rare terms as postings, common ones as rows over documents, with the largest impact of each
-common term in every block of `DOCS` documents. Documents stand in order of what common term they
-use most, so blocks are alike within. Queries stream through a task in batches. For each, postings
-of rare terms are added up first; then blocks are visited by falling upper bound (best partial score
-in the block plus the block maxima of the query's common terms), and the rest is skipped as soon as
-no bound reaches the k-th best score. Results are those of scoring every document.
+Documents are indexed where they are read, with no shuffle: each task cuts its documents into shards of
+at most `POSTINGS` postings and writes a shard as one row of flat arrays. Within a shard documents
+stand in order of the common term they use most, in blocks of `DOCS`, and every term, common or rare,
+has the largest impact of each block that it occurs in.
+
+Queries are evaluated in batches, block by block. The sum of a query's block maxima bounds what any
+document of a block can score. Blocks whose bound is under the query's threshold (the k-th best score
+that the task has seen, in any of its shards) are never pivots: their postings aren't touched. The
+best few blocks of each query are scored first, so that the threshold is high when the rest is asked.
+Common terms are scored as dense rows of live blocks, rare ones by the postings that stand in these.
+Results are those of scoring every document.
 
 Document frequencies, the number of documents and their mean length are counted over all documents
-before any score, so scores don't depend on shards and the shards' top k merge exactly. Queries are
-sent to every shard in blocks; documents move once; the index is never gathered.
+before any score, so scores don't depend on shards and the tasks' top k merge exactly. Queries are
+never shuffled to shards: blocks of at most about `ASKED` terms are broadcast one after another and
+each reads the written index.
 
-Defined cases: null or blank texts match nothing and, as queries, give no rows; equal scores are
-ordered by doc_id; repeated rows are results each, and texts of one id are one query; null ids can be results (they come last among equals) but not queries; an
-empty table gives an empty result.
+Defined cases: null or blank texts match nothing and, as queries, give no rows; equal scores (to nine
+digits) are ordered by doc_id; repeated rows are results each, and texts of one id are one query; null
+ids can be results (they come last among equals) but not queries; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import table, written
+from .common import bound_batches, drop_written, frugal, table, written
 
 K1, B = 1.2, 0.75
 K = 10
-SHARD = 16_384
+#: Postings and documents of a shard, at most (a longer document is a shard of its own).
+POSTINGS = 1 << 21
+MOST_DOCS = 1 << 13
 DOCS = 64
 #: A term in more than this share of a shard's documents is common.
 COMMON = 0.04
+#: Blocks of a query that are scored before its threshold is raised, round by round; then all that are left.
+ROUNDS = (8,)
+#: Queries that are evaluated together, and terms of queries that are broadcast together.
+TOGETHER = 256
+ASKED = 2_000_000
+#: Scores that differ by less may be equal.
+CLOSE = 1e-9
 EVERY = 50
 
+ARRAYS = {"ids": np.int64, "named": np.bool_, "lengths": np.int64, "terms": np.uint64, "df": np.int32, "docs": np.int32, "tf": np.int32}
+SHARDS = "n long, length long, " + ", ".join(f"{name} binary" for name in ARRAYS)
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term, df over all documents; each task counts in memory of bounded size before it sends."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
+def flat(ids: list[int | None], counts: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The arrays of a shard; postings are sorted by term, then by place."""
+    sizes = np.array([len(t) for t, _ in counts])
+    term, tf = np.concatenate([t for t, _ in counts]), np.concatenate([n for _, n in counts])
+    doc = np.repeat(np.arange(len(counts)), sizes)
+    terms, which, df = np.unique(term, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(df > max(8, COMMON * len(counts)))
+    # documents in order of their most used common term, the most common one first
+    rank = np.full(len(terms), len(terms), dtype=np.int64)
+    rank[common[np.argsort(-df[common], kind="stable")]] = np.arange(len(common))
+    usual = np.where(rank[which] < len(terms), tf * len(terms) - rank[which], -1)
+    best = np.lexsort((usual, doc))
+    key = np.full(len(counts), len(terms))
+    key[sizes > 0] = rank[which[best[np.cumsum(sizes)[sizes > 0] - 1]]]
+    new = np.argsort(key, kind="stable")
+    place = np.empty(len(counts), dtype=np.int64)
+    place[new] = np.arange(len(counts))
+    order = np.lexsort((place[doc], which))
+    lengths = np.array([n.sum() for _, n in counts])
+    named = np.array([x is not None for x in ids])
+    found = {"ids": np.array([x or 0 for x in ids])[new], "named": named[new], "lengths": lengths[new], "terms": terms, "df": df, "docs": place[doc][order], "tf": tf[order]}
+    return {name: np.ascontiguousarray(found[name], dtype=kind) for name, kind in ARRAYS.items()}
 
-        def flush() -> pa.RecordBatch:
-            term, n = np.unique(np.concatenate([*waiting, np.empty(0, dtype=np.uint64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "df"])
 
-        for batch in batches:
-            for term, _ in textops.term_counts(batch["text"].to_pylist()):
-                waiting.append(term)
-                size += len(term)
-                if size > 4_000_000:
-                    yield flush()
-                    waiting, size = [], 0
-        yield flush()
-
-    return docs.select("text").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-
-
-class Index:
-    """One shard. terms are uint64; impacts are BM25 without the idf."""
-
-    def __init__(self, ids: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], lengths: np.ndarray, mean: float):
-        sizes = np.array([len(t) for t, _ in counts])
-        term = np.concatenate([t for t, _ in counts])
-        tf = np.concatenate([n for _, n in counts]).astype(np.float64)
-        doc = np.repeat(np.arange(len(counts)), sizes)
-        order = np.argsort(term, kind="stable")
-        self.terms, first, df = np.unique(term[order], return_index=True, return_counts=True)
-        common = np.flatnonzero(df > max(8, COMMON * len(counts)))
-        # documents in order of their most used common term
-        rank = np.full(len(self.terms), len(self.terms), dtype=np.int64)
-        rank[common[np.argsort(-df[common], kind="stable")]] = np.arange(len(common))
-        which = np.empty(len(term), dtype=np.int64)
-        which[order] = np.repeat(np.arange(len(self.terms)), df)
-        usual = np.where(rank[which] < len(self.terms), tf * len(self.terms) - rank[which], -1.0)
-        best = np.lexsort((usual, doc))
-        key = np.full(len(counts), len(self.terms))
-        ends = np.cumsum(sizes)[sizes > 0] - 1
-        key[sizes > 0] = rank[which[best[ends]]]
-        place = np.empty(len(counts), dtype=np.int64)
-        new = np.argsort(key, kind="stable")
-        place[new] = np.arange(len(counts))
-        self.ids = ids[new]
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.repeat(lengths, sizes) / mean))
-        self.docs, self.impacts = place[doc[order]].astype(np.int32), impact[order]
-        self.start, self.stop = first, first + df
-        self.row = np.full(len(self.terms), -1, dtype=np.int64)
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges, one after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class Shard:
+    """A shard as it is searched. Impacts are BM25 without the idf."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], mean: float):
+        self.ids, self.named, self.terms, self.docs = (arrays[x] for x in ("ids", "named", "terms", "docs"))
+        tf, df = arrays["tf"].astype(float), arrays["df"]
+        self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["lengths"][self.docs] / mean))
+        first = np.cumsum(df) - df
+        self.blocks = -(-len(self.ids) // DOCS)
+        self.row = np.full(len(df), -1)
+        common = np.flatnonzero(df > max(8, COMMON * len(self.ids)))
         self.row[common] = np.arange(len(common))
-        self.blocks = -(-len(counts) // DOCS)
-        self.dense = np.zeros((len(common), self.blocks * DOCS))
+        self.dense = np.zeros((self.blocks, len(common), DOCS))
         for r, t in enumerate(common):
-            self.dense[r, self.docs[first[t] : first[t] + df[t]]] = self.impacts[first[t] : first[t] + df[t]]
-        self.most = self.dense.reshape(len(common), self.blocks, DOCS).max(axis=2)
+            at = self.docs[first[t] : first[t] + df[t]]
+            self.dense[at // DOCS, r, at % DOCS] = self.impacts[first[t] : first[t] + df[t]]
+        self.most = np.ascontiguousarray(self.dense.max(axis=2).T)
+        # of each term the blocks that it stands in, where its postings there begin, and the largest impact
+        term = np.repeat(np.arange(len(df)), df)
+        block = self.docs // DOCS
+        self.begin = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.size = np.diff(np.append(self.begin, len(term)))
+        self.block, self.top_impact = block[self.begin], np.maximum.reduceat(self.impacts, self.begin)
+        self.entry = np.searchsorted(term[self.begin], np.arange(len(df) + 1))
+        self.scored = self.possible = 0  # blocks
 
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents with a score over 0 (more where scores are equal)."""
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
+    def scores(self, owner: np.ndarray, terms: np.ndarray, idf: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some queries, the scores of all documents that may be among the best (0 for some others), and thresholds.
+
+        owner: the query of each of terms. best: of each query the k best scores so far, in any order.
+        """
+        n, k = best.shape
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         here = self.terms[at] == terms
-        at, idf = at[here], idf[here]
-        rows = self.row[at]
-        rare = np.flatnonzero(rows < 0)
-        score = np.zeros(self.blocks * DOCS)
-        if len(rare):
-            spans = [slice(self.start[t], self.stop[t]) for t in at[rare]]
-            docs = np.concatenate([self.docs[s] for s in spans])
-            worth = np.concatenate([self.impacts[s] for s in spans]) * np.repeat(idf[rare], self.stop[at[rare]] - self.start[at[rare]])
-            score = np.bincount(docs, weights=worth, minlength=len(score))
-        rows, weights = rows[rows >= 0], idf[rows >= 0]
-        score = score.reshape(self.blocks, DOCS)
-        if len(rows):
-            bound = (score.max(axis=1) + weights @ self.most[rows]) * (1 + 1e-12)
-            order = np.argsort(-bound, kind="stable")
-            least, done, step = 0.0, 0, 8
-            seen = np.empty(0)
-            while done < len(order) and bound[order[done]] >= least and bound[order[done]] > 0:
-                left = order[done:]
-                left = left[bound[left] >= least]
-                low, high = left.min(), left.max() + 1
-                if done and 3 * len(left) >= high - low:  # most of a stretch of blocks: row by row is faster
-                    rest = np.zeros((high - low) * DOCS)
-                    for r, w in zip(rows, weights, strict=True):
-                        rest += w * self.dense[r, low * DOCS : high * DOCS]
-                    rest = rest.reshape(-1, DOCS)
-                    rest[order[:done][(order[:done] >= low) & (order[:done] < high)] - low] = 0  # these have it
-                    score[low:high] += rest
-                    skipped = np.setdiff1d(order[done:], np.arange(low, high))
-                    score[skipped] = 0
-                    done = len(order)
-                    break
-                now = left[:step]
-                cells = (now[:, None] * DOCS + np.arange(DOCS)).ravel()
-                score[now] += (weights @ self.dense[rows[:, None], cells]).reshape(-1, DOCS)
-                seen = np.concatenate([seen, score[now].ravel()])
-                if len(seen) >= k:
-                    seen = np.partition(seen, len(seen) - k)[-k:]
-                    least = max(seen.min(), 0.0)
-                done += len(now)
-                step *= 2
-            if done < len(order):
-                score[order[done:]] = 0  # partial scores, under the bound
-        score = score.ravel()[: len(self.ids)]
-        n = min(k, len(score))
-        least = np.partition(score, len(score) - n)[len(score) - n]
-        found = np.flatnonzero((score >= least * (1 - 1e-12)) & (score > 0))
-        return self.ids[found], score[found]
-
-
-def search(docs: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
-    """query_id, rank, doc_id, score: the k best of docs (doc_id, text) for each of queries (query_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spark = docs.sparkSession
+        at, owner, idf = at[here], owner[here], idf[here]
+        dense = self.row[at] >= 0
+        weights = np.zeros((n, len(self.most)))
+        weights[owner[dense], self.row[at[dense]]] = idf[dense]
+        rare, own, worth = at[~dense], owner[~dense], idf[~dense]
+        size = self.entry[rare + 1] - self.entry[rare]
+        entry = spread(self.entry[rare], size)
+        own, worth = np.repeat(own, size), np.repeat(worth, size)
+        bound = np.bincount(own * self.blocks + self.block[entry], weights=worth * self.top_impact[entry], minlength=n * self.blocks).reshape(n, -1)
+        bound = (bound + weights @ self.most) * (1 + 1e-12)
+
+        score = np.zeros((n, self.blocks, DOCS))
+        done = np.zeros(bound.shape, dtype=bool)
+        least = best.min(axis=1)
+        for most in (*ROUNDS, self.blocks):
+            live = (bound >= least[:, None] - CLOSE) & (bound > 0) & ~done
+            if not live.any():
+                break
+            if most < self.blocks:
+                ahead = np.argpartition(np.where(live, -bound, 0), most, axis=1)[:, :most]
+                chosen = np.zeros_like(live)
+                np.put_along_axis(chosen, ahead, True, axis=1)
+                live &= chosen
+            for b in np.flatnonzero(live.any(axis=0)):
+                asking = np.flatnonzero(live[:, b])
+                score[asking, b] = weights[asking] @ self.dense[b]
+            touched = live[own, self.block[entry]]
+            hit, times = entry[touched], self.size[entry[touched]]
+            posting = spread(self.begin[hit], times)
+            cell = np.repeat(own[touched], times) * (self.blocks * DOCS) + self.docs[posting]
+            score += np.bincount(cell, weights=np.repeat(worth[touched], times) * self.impacts[posting], minlength=score.size).reshape(score.shape)
+            done |= live
+            if most >= self.blocks:
+                break
+            fresh = np.take_along_axis(score, ahead[:, :, None], axis=1) * np.take_along_axis(live, ahead, axis=1)[:, :, None]
+            seen = np.concatenate([best, fresh.reshape(n, -1)], axis=1)
+            best = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k :]
+            least = best[:, 0]
+        self.scored, self.possible = self.scored + int(done.sum()), self.possible + done.size
+        return score.reshape(n, -1)[:, : len(self.ids)], least
+
+
+class Asked:
+    """A block of queries, and the best documents of each so far."""
+
+    def __init__(self, queries: list[int], terms: list[np.ndarray], idf: list[np.ndarray], k: int):
+        self.queries, self.k = np.array(queries, dtype=np.int64), k
+        self.start = np.cumsum([0, *(len(t) for t in terms)])
+        self.terms = np.concatenate([np.empty(0, dtype=np.int64), *terms]).view(np.uint64)
+        self.idf = np.concatenate([np.empty(0), *idf])
+        self.score = np.zeros((len(queries), k))
+        self.ids, self.named = np.zeros((len(queries), k), dtype=np.int64), np.zeros((len(queries), k), dtype=bool)
+
+    def ask(self, shard: Shard) -> None:
+        for a in range(0, len(self.queries), TOGETHER):
+            b = min(a + TOGETHER, len(self.queries))
+            span = slice(self.start[a], self.start[b])
+            owner = np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1]))
+            score, least = shard.scores(owner, self.terms[span], self.idf[span], self.score[a:b])
+            row, doc = np.nonzero((score > 0) & (score >= least[:, None] - CLOSE))
+            edges = np.searchsorted(row, np.arange(b - a + 1))
+            for q in np.flatnonzero(np.diff(edges)):
+                found = doc[edges[q] : edges[q + 1]]
+                old = self.score[a + q] > 0
+                s = np.concatenate([self.score[a + q, old], np.round(score[q, found], 9)])
+                ids = np.concatenate([self.ids[a + q, old], shard.ids[found]])
+                named = np.concatenate([self.named[a + q, old], shard.named[found]])
+                keep = np.lexsort((ids, ~named, -s))[: self.k]  # equal scores: the smallest ids
+                for held, now in ((self.score, s), (self.ids, ids), (self.named, named)):
+                    held[a + q, : len(keep)] = now[keep]
+
+    def found(self) -> pa.RecordBatch:
+        """A row for each query with any: query_id and best, a list of (-score, without id, doc_id)."""
+        row, place = np.nonzero(self.score > 0)
+        named = self.named[row, place]
+        fields = [pa.array(-self.score[row, place]), pa.array(~named), pa.array(self.ids[row, place], mask=~named)]
+        some, first = np.unique(row, return_index=True)
+        best = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["less", "nameless", "doc_id"]))
+        return pa.RecordBatch.from_arrays([pa.array(self.queries[some]), best], names=["query_id", "best"])
+
+
+def indexed(docs: DataFrame, postings: int = POSTINGS) -> DataFrame:
+    """The written index of docs (doc_id, text): a row for each shard."""
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = length = 0
+    @frugal
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts, size = [], [], 0
+
+        def shard() -> pa.RecordBatch:
+            arrays = flat(ids, counts)
+            columns = [pa.array([len(ids)]), pa.array([int(arrays["lengths"].sum())]), *(pa.array([x.tobytes()], pa.binary()) for x in arrays.values())]
+            return pa.RecordBatch.from_arrays(columns, names=["n", "length", *ARRAYS])
+
+        for batch in batches:
+            for doc_id, (term, tf) in zip(batch["doc_id"].to_pylist(), textops.term_counts(batch["text"].to_pylist()), strict=True):
+                if ids and (size + len(term) > postings or len(ids) >= MOST_DOCS):
+                    yield shard()
+                    ids, counts, size = [], [], 0
+                ids.append(doc_id)
+                counts.append((term, tf.astype(np.int32)))
+                size += len(term)
+        if ids:
+            yield shard()
+
+    # a few shards to a row group, whatever their number: readers hold one at a time
+    small = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
+    return written(docs.mapInArrow(build, SHARDS), "index", **small)
+
+
+def document_frequencies(index: DataFrame) -> DataFrame:
+    """term, df over all documents."""
+
+    @frugal
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, group in textops.buffers(batch["text"].to_pylist()):
-                n += len(group)
-                length += len(textops.terms(group)[0])
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([length])], names=["n", "length"])
+            for terms, df in zip(batch["terms"], batch["df"], strict=True):
+                terms, df = np.frombuffer(terms.as_buffer(), dtype=np.int64), np.frombuffer(df.as_buffer(), dtype=np.int32)
+                for a in range(0, len(terms), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(terms[a : a + (1 << 16)]), pa.array(df[a : a + (1 << 16)].astype(np.int64))], names=["term", "df"])
+
+    return index.select("terms", "df").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
-    total = docs.select("text").mapInArrow(sizes, "n long, length long").agg(F.sum("n").alias("n"), F.sum("length").alias("l")).first()
+
+def search(docs: DataFrame, queries: DataFrame, k: int = K, postings: int = POSTINGS, asked_terms: int = ASKED) -> DataFrame:
+    """query_id, rank, doc_id, score: the k best of docs (doc_id, text) for each of queries (query_id, text)."""
+    bound_batches(docs.sparkSession)
+    index = indexed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), postings)
+    total = index.agg(F.sum("n").alias("n"), F.sum("length").alias("l")).first()
     n, mean = total["n"] or 0, max((total["l"] or 0) / max(1, total["n"] or 0), 1e-9)
-    shards = max(1, -(-n // shard))
 
+    @frugal
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for query, (term, _) in zip(batch["query_id"].to_pylist(), textops.term_counts(batch["text"].to_pylist()), strict=True):
@@ -177,52 +259,36 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD)
     asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
     asked = asked.mapInArrow(words, "query_id long, term long").distinct()
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(document_frequencies(docs), "term").select("query_id", "term", idf.alias("idf"))
-    weighed = written(weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "queries")
+    weighed = asked.join(document_frequencies(index), "term").select("query_id", "term", idf.alias("idf"))
+    weighed = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
+    weighed = written(weighed, "queries")
+    terms = weighed.agg(F.sum(F.size("terms"))).first()[0] or 0
+    parts = [found_by(index, weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), k, mean) for blocks in [max(1, -(-terms // asked_terms))] for i in range(blocks)]
+    drop_written(index, weighed)
+    best = reduce(DataFrame.unionByName, parts).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    ranked = best.select("query_id", F.posexplode("best").alias("at", "b"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "b.doc_id", (-F.col("b.less")).alias("score"))
 
-    everywhere = weighed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("string").alias("text"), "terms", "idf")
-    placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text", F.lit(None).cast("array<long>").alias("terms"), F.lit(None).cast("array<double>").alias("idf"))
-    together = placed.unionByName(everywhere).repartition(2 * shards if shards > 1 else 1, "shard").sortWithinPartitions("shard", "kind")
 
+def found_by(index: DataFrame, asked: DataFrame, k: int, mean: float) -> DataFrame:
+    """query_id, best, written: for one block of queries (query_id, terms, idf) the k best of each task's shards, in a row."""
+    block = asked.toArrow()  # about ASKED terms
+    held = [block["query_id"].to_pylist(), *([np.asarray(x.values) for x in block[c]] for c in ("terms", "idf"))]
+    shared = index.sparkSession.sparkContext.broadcast(held)
+
+    @frugal
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, index = None, None
-        ids, counts, lengths = [], [], []
-        schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-        for whole in batches:
-            edges = np.flatnonzero(np.diff(np.array(whole["shard"]) * 2 + np.array(whole["kind"]), prepend=-1, append=-1))
-            for a, b in zip(edges, edges[1:]):
-                batch = whole.slice(a, b - a)
-                if current != batch["shard"][0].as_py():
-                    current, index = batch["shard"][0].as_py(), None
-                    ids, counts, lengths = [], [], []
-                if batch["kind"][0].as_py() == 0:
-                    ids += [np.iinfo(np.int64).max if x is None else x for x in batch["id"].to_pylist()]
-                    for term, n in textops.term_counts(batch["text"].to_pylist()):
-                        counts.append((term, n.astype(np.int32)))
-                        lengths.append(n.sum())
-                    continue
-                if not ids:
+        asked = Asked(*shared.value, k)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if not batch["terms"][i].as_buffer().size:
                     continue
-                if index is None:
-                    index = Index(np.array(ids, dtype=np.int64), counts, np.array(lengths, dtype=float), mean)
-                    counts, lengths = [], []
-                out: list[list[np.ndarray]] = [[], [], []]
-                for query, terms, weights in zip(batch["id"].to_pylist(), batch["terms"], batch["idf"], strict=True):
-                    found, score = index.top(np.asarray(terms.values).view(np.uint64), np.asarray(weights.values), k)
-                    if len(found) > k:  # equal scores at the end: the smallest ids
-                        score = np.round(score, 9)
-                        keep = np.lexsort((found, -score))[:k]
-                        found, score = found[keep], score[keep]
-                    for column, x in zip(out, (np.full(len(found), query), found, np.round(score, 9)), strict=True):
-                        column.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=schema)
-
-    found = together.mapInArrow(evaluate, "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    unnamed = F.col("doc_id") == np.iinfo(np.int64).max
-    return best.select("query_id", "rank", F.when(~unnamed, F.col("doc_id")).alias("doc_id"), "score")
+                asked.ask(Shard({name: np.frombuffer(batch[name][i].as_buffer(), dtype=kind) for name, kind in ARRAYS.items()}, mean))
+        yield asked.found()
+
+    found = written(index.select(*ARRAYS).mapInArrow(evaluate, "query_id long, best array<struct<less: double, nameless: boolean, doc_id: long>>"), "found")
+    shared.destroy()
+    return found
 
 
 def op4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:

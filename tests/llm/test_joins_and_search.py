@@ -98,12 +98,11 @@ def ranking(rows, every, k):
     return out
 
 
-@pytest.mark.parametrize("shard", [16, 1000])
-def test_search_matches_scoring_everything(spark, docs, rows, shard, monkeypatch):
-    monkeypatch.setattr(bm25, "DOCS", 4)
+@pytest.mark.parametrize(("postings", "asked_terms"), [(1, 10**6), (900, 300), (10**6, 10**6)])
+def test_search_matches_scoring_everything(spark, docs, rows, postings, asked_terms):
     queries = docs.where("doc_id % 10 = 0").selectExpr("doc_id as query_id", "text")
     found = {}
-    for r in search(docs, queries, 5, shard).orderBy("query_id", "rank").collect():
+    for r in search(docs, queries, 5, postings, asked_terms).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append((-round(r["score"], 6), math.inf if r["doc_id"] is None else r["doc_id"]))
     want = ranking(rows, 10, 5)
     assert found.keys() == want.keys()
@@ -113,6 +112,37 @@ def test_search_matches_scoring_everything(spark, docs, rows, shard, monkeypatch
         assert found[q] == want[q] or sorted(x[1] for x in found[q]) == sorted(x[1] for x in want[q])
 
 
+def test_blocks_under_the_threshold_are_skipped(monkeypatch):
+    monkeypatch.setattr(bm25, "DOCS", 4)
+    rng = np.random.default_rng(3)
+    # 40 topics of 30 words, a word in every document, and words of one document only
+    counts = []
+    for i in range(2_000):
+        words = np.unique(np.concatenate([rng.integers(0, 30, 12) + 30 * (i % 40) + 10, [1], [100_000 + i]]))
+        counts.append((words.astype(np.uint64), rng.integers(1, 4, len(words))))
+    shard = bm25.Shard(bm25.flat(list(range(2_000)), counts), 20.0)
+    whole = np.zeros((2_000, 101_999 + 1))
+    for i, (words, tf) in enumerate(counts):
+        whole[i, words.astype(int)] = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * tf.sum() / 20.0))
+    queries = [counts[i][0] for i in (5, 800, 1999)]
+    idf = [np.where(q < 2, 0.01, np.where(q < 100_000, 3.0, 7.0)) for q in queries]
+    asked = bm25.Asked([5, 800, 1999], [q.view(np.int64) for q in queries], idf, 5)
+    asked.ask(shard)
+    assert 0 < shard.scored < shard.possible / 3
+    for k, q in enumerate(queries):
+        scores = np.round(whole[:, q.astype(int)] @ idf[k], 9)
+        want = np.lexsort((np.arange(2_000), -scores))[:5]
+        assert asked.ids[k].tolist() == want.tolist()
+        assert np.allclose(asked.score[k], scores[want])
+
+
+def test_largest_id_is_an_id(spark):
+    rows = [((1 << 63) - 1, "same words here"), (None, "same words here"), (50, "same words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = search(docs, docs.where("doc_id = 50").selectExpr("doc_id as query_id", "text"))
+    assert [(r["rank"], r["doc_id"]) for r in found.orderBy("rank").collect()] == [(1, 50), (2, (1 << 63) - 1), (3, None)]
+
+
 def test_search_query(spark, sf, empty):
     found = op4_bm25(spark, sf)
     assert found.columns == ["query_id", "rank", "doc_id", "score"]
