@@ -41,9 +41,10 @@ class Engine:
 
     def lens(self, paths: list[str], language: str | None = None, ignore: list[str] | None = None) -> DataFrame:
         """Facts of source trees; with a store, the facts of these files are replaced there."""
-        facts = extract_facts(self.files(paths, language, ignore))
+        files = self.files(paths, language, ignore)
+        facts = extract_facts(files)
         if self.store:
-            upsert(facts, self.store)
+            upsert(facts, self.store, files=files)
             return self.facts()
         return facts
 
@@ -51,7 +52,11 @@ class Engine:
         stored = self.spark.read.parquet(self.store).select(*FACTS.names)
         return stored.where(F.col("commit_sha") == commit) if commit else stored
 
-    def query(self, name: str, commit: str | None = None, facts: DataFrame | None = None) -> DataFrame:
+    def query(self, name: str, commit: str | None = None, facts: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
+        """history: the stored commits in order (commit_sha, ordinal), by which hotspots rates change;
+        without it they are rated by complexity alone."""
+        if name == "hotspots" and history is not None:
+            return q.hotspots(Relations(self.facts(commit) if facts is None else facts), Relations(self.facts()), history)
         if name not in QUERIES:
             raise ValueError(f"unknown query {name!r}; there are {sorted(QUERIES)}")
         return QUERIES[name](Relations(self.facts(commit) if facts is None else facts))
@@ -77,7 +82,7 @@ class Engine:
     def diff(self, diffs: DataFrame, goal: str = "", language: str | None = None) -> dict[str, DataFrame]:
         before, after = compare.diff_facts(diffs, language)
         changed = compare.function_diff(before, after)
-        return {"changes": changed, "alignment": compare.alignment(changed, goal), "concerns": compare.concerns(before, after)}
+        return {"changes": changed, "alignment": compare.alignment(changed, goal), "concerns": compare.concerns(before, after, goal)}
 
     def review(self, diffs: DataFrame, goal: str = "", queries: tuple[str, ...] = ("orphans", "test_gaps")) -> dict[str, DataFrame]:
         return compare.review(diffs, goal, queries)

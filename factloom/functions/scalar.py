@@ -108,6 +108,13 @@ def diff_mode(spec: str | Column) -> Column:
     return F.when(spec.isNull(), staged).when(F.contains(spec, F.lit("...")), cut("...")).when(F.contains(spec, F.lit("..")), cut("..")).otherwise(plain)
 
 
+def loc(code: str | Column) -> Column:
+    """Lines of a text; the last one counts without a line feed too."""
+    code = F.col(code) if isinstance(code, str) else code
+    feeds = F.char_length(code) - F.char_length(F.replace(code, F.lit("\n"), F.lit("")))
+    return (feeds + F.when((code != "") & ~F.endswith(code, F.lit("\n")), 1).otherwise(0)).cast("long")
+
+
 def repo_id(url: str | Column) -> Column:
     """owner/repo of a remote's URL (git@host:path, http, https, ssh); null if there is none."""
     url = _col(url)

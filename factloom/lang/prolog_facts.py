@@ -89,7 +89,7 @@ class Reader:
 
     def term(self, most: int) -> Term:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > 250:
             raise Malformed
         left, level = self.primary(most)
         while True:
@@ -100,6 +100,18 @@ class Reader:
             if precedence > most or level > precedence - (shape[0] == "x"):
                 break
             self.i += 1
+            if shape == "xfy" and precedence >= 1000:  # bodies are long: a loop, folded from the right
+                parts, names = [left, self.term(precedence - 1)], [text]
+                while self.peek()[0] in ("atom", "punct") and INFIX.get(self.peek()[1]) == (precedence, "xfy"):
+                    names.append(self.peek()[1])
+                    self.i += 1
+                    parts.append(self.term(precedence - 1))
+                left = parts.pop()
+                while parts:
+                    part = parts.pop()
+                    left = Term("infix", part.start, left.end, names.pop(), [part, left])
+                level = precedence
+                continue
             right = self.term(precedence - (shape[2] == "x"))
             left, level = Term("infix", left.start, right.end, text, [left, right]), precedence
         self.depth -= 1

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import callee_base
 from .extract import PROVENANCE, Relations, extract_facts
-from .queries import calls, orphans, test_gaps
+from .queries import SECURITY_RULES, calls, hits, orphans, test_gaps
 
-FUNCTION = ["file_path", "module_id", "name"]
+FUNCTION = ["repo_id", "file_path", "module_id", "name"]
 
 
 def described(r: Relations) -> DataFrame:
@@ -60,14 +60,23 @@ def score_band(score: Column) -> Column:
     return F.when(score >= 0.8, "aligned").when(score >= 0.5, "partial").otherwise("poor")
 
 
-def concerns(before: Relations, after: Relations) -> DataFrame:
-    """severity, type, message by function: removed but still called, or less visible than before."""
+def concerns(before: Relations, after: Relations, goal: str = "", rules=SECURITY_RULES) -> DataFrame:
+    """severity and type by file and name: functions removed but still called, or less visible than
+    before; callees that match a rule and that the file didn't call before; and, with a goal, changed
+    functions whose name shares no word with it."""
     changed = function_diff(before, after)
-    still = calls(after).select(F.col("base").alias("name")).distinct()
-    removed = changed.where("change = 'deleted' and visibility_before = 'public'").join(still, "name", "left_semi")
-    removed = removed.select("file_path", "name", F.lit("high").alias("severity"), F.lit("removed_but_called").alias("type"))
+    still = calls(after).select("repo_id", F.col("base").alias("name")).distinct()
+    columns = lambda severity, kind: ["file_path", "name", F.lit(severity).alias("severity"), F.lit(kind).alias("type")]
+    removed = changed.where("change = 'deleted' and visibility_before = 'public'").join(still, ["repo_id", "name"], "left_semi")
     narrowed = changed.where("change = 'modified' and visibility_before = 'public' and visibility_after <> 'public'")
-    return removed.unionByName(narrowed.select("file_path", "name", F.lit("medium").alias("severity"), F.lit("visibility_narrowed").alias("type")))
+    found = removed.select(*columns("high", "removed_but_called")).unionByName(narrowed.select(*columns("medium", "visibility_narrowed")))
+    made = edge_diff(calls(before), calls(after), ["repo_id", "file_path", "base"]).where("change = 'added'")
+    risky = made.select("file_path", F.col("base").alias("name"), hits(F.col("base"), rules))
+    found = found.unionByName(risky.select("file_path", "name", "hit.severity", F.concat(F.lit("new_"), "hit.type").alias("type")))
+    if goal:
+        unlike = ~F.arrays_overlap(tokens(F.col("name")), tokens(F.lit(goal)))
+        found = found.unionByName(changed.where(unlike).select(*columns("low", "unexpected_change")))
+    return found
 
 
 def diffable(diffs: DataFrame) -> DataFrame:
@@ -89,7 +98,7 @@ def review(diffs: DataFrame, goal: str = "", queries: tuple[str, ...] = ("orphan
         raise ValueError(f"unknown queries {sorted(unknown)}; there are {sorted(named)}")
     before, after = diff_facts(diffs)
     changes = function_diff(before, after)
-    return {"changes": changes, "alignment": alignment(changes, goal), "concerns": concerns(before, after)} | {q: named[q](after) for q in queries}
+    return {"changes": changes, "alignment": alignment(changes, goal), "concerns": concerns(before, after, goal)} | {q: named[q](after) for q in queries}
 
 
 __all__ = ["alignment", "callee_base", "concerns", "described", "diff_facts", "edge_diff", "function_diff", "review", "score_band", "tokens"]

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..lang import COLUMNS, file_facts
 from ..lang.registry import EXTENSIONS
-from ..functions.scalar import escape_text
+from ..functions.scalar import escape_text, loc
 
 PROVENANCE = ("repo_id", "commit_sha", "file_path")
 _LONGS = frozenset(("seq", "line", "arity", "position", "called_arity"))
@@ -95,9 +95,21 @@ def render(facts: DataFrame) -> DataFrame:
     return facts.withColumn("fact", fact)
 
 
-def file_summary(facts: DataFrame) -> DataFrame:
-    """Counts of each file; further clauses of a predicate aren't functions of their own."""
+def file_summary(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Counts of each file, with its lines if the files (their code) are given; further clauses of a
+    predicate aren't functions of their own."""
+    if files is not None:
+        return file_summary(facts).join(files.select(*PROVENANCE, loc("code").alias("loc")), list(PROVENANCE), "left")
     count = lambda p: F.count_if(F.col("predicate") == p)
     return facts.groupBy(*PROVENANCE, "language").agg(
         count("module").alias("modules"), count("function").alias("functions"), count("calls_external").alias("calls"), count("depends_on").alias("dependencies")
     )
+
+
+def run_totals(facts: DataFrame) -> DataFrame:
+    """One row: files, functions, facts and errors."""
+    error = F.col("predicate") == "error"
+    return facts.agg(
+        F.count_if((F.col("predicate") == "module") & (F.col("seq") == 0)).alias("files"), F.count_if(F.col("predicate") == "function").alias("functions"),
+        F.count_if(~error).alias("facts"), F.count_if(error).alias("errors"),
+    )

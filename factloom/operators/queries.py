@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import callee_base
@@ -33,6 +33,16 @@ SECURITY_RULES = (
     (r"^(loads|load)$", "medium", "deserialisation", "may build objects from untrusted data", "use a safe loader"),
     (r"^(innerHTML|dangerouslySetInnerHTML|html_safe)$", "high", "injection", "emits markup unescaped", "escape the value"),
     (r"^(md5|sha1)$", "low", "weak_hash", "a weak hash", "use a stronger one"),
+    (r"^(unsafe|transmute|from_raw_parts|unsafe_string)$", "medium", "unsafe_memory", "goes round memory safety", "use a checked way"),
+    (r"^(executescript|execute_raw|raw_query)$", "medium", "sql_text", "runs text as SQL", "bind parameters"),
+    (r"^(_create_unverified_context|disable_warnings)$", "high", "tls", "turns off checks of certificates", "keep them on"),
+)
+#: pattern of a dependency, severity, type, message, suggestion
+SECURITY_IMPORTS = (
+    (r"^(pickle|cPickle|marshal|shelve|dill)$", "medium", "deserialisation", "builds objects from untrusted data", "use a plain format"),
+    (r"^(subprocess|os/exec|child_process|open3)$", "medium", "command_execution", "starts processes", "pass arguments as a list"),
+    (r"^(telnetlib|ftplib|net/telnet)$", "medium", "clear_text", "sends clear text", "use an encrypted protocol"),
+    (r"^(unsafe|ctypes|ffi)$", "low", "unsafe_memory", "goes round memory safety", "keep it small and checked"),
 )
 
 
@@ -82,12 +92,71 @@ def resolve_calls(r: Relations) -> DataFrame:
 
 
 def module_edges(r: Relations) -> DataFrame:
-    """src, dst: files whose module a dependency names, by module id."""
+    """src, dst: files whose module a dependency names, by module id, or else by the end of one.
+
+    A name without a module of that id means the first module (by id) that ends with it after an
+    underscore: every id is cut at its underscores, so this is a join by equality too.
+    """
     files = r.files()
-    by_id = files.select(*REPO, F.col("module_id").alias("dst")).distinct()
+    ids = files.select(*REPO, "module_id").distinct()
     own = files.select(*PROVENANCE, F.col("module_id").alias("src"))
-    wanted = r.depends_on.select(*PROVENANCE, F.lower(F.regexp_replace("dep_name", r"[^\p{IsAlphabetic}\p{N}_]", "_")).alias("dst"))
-    return wanted.join(by_id, [*REPO, "dst"]).join(own, list(PROVENANCE)).where("src <> dst").select(*REPO, "src", "dst").distinct()
+    wanted = r.depends_on.select(*PROVENANCE, F.lower(F.regexp_replace("dep_name", r"[^\p{IsAlphabetic}\p{N}_]", "_")).alias("dep"))
+    words = F.split("module_id", "_")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))), lambda i: F.array_join(F.slice(words, i, F.size(words)), "_"))
+    by_end = ids.select(*REPO, "module_id", F.explode(F.array_distinct(ends)).alias("dep")).where("dep <> ''").groupBy(*REPO, "dep").agg(F.min("module_id").alias("by_end"))
+    by_id = ids.select(*REPO, F.col("module_id").alias("dep"), F.col("module_id").alias("by_id"))
+    found = wanted.join(by_id, [*REPO, "dep"], "left").join(by_end, [*REPO, "dep"], "left").withColumn("dst", F.coalesce("by_id", "by_end"))
+    return found.where("dst is not null").join(own, list(PROVENANCE)).where("src <> dst").select(*REPO, "src", "dst").distinct()
+
+
+def dependency_components(r: Relations) -> DataFrame:
+    """component, module: modules that depend on each other, directly or through others (two at least).
+
+    A component is named by its smallest module. Each round strips what lies on no cycle, gives every
+    module the smallest one that leads to it, and takes as components those that lead back to theirs.
+    """
+    node = lambda c: F.struct(*REPO, F.col(c).alias("module"))
+    edges = cut(module_edges(r).select(node("src").alias("src"), node("dst").alias("dst")), "edges")
+    found = None
+    while True:
+        while True:  # only what has edges in and out can be on a cycle
+            before = edges.count()
+            edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+            edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
+            if edges.count() == before:
+                break
+        if edges.isEmpty():
+            break
+        roots = cut(edges.select(F.col("src").alias("node")).distinct().withColumn("root", F.col("node")), "roots")
+        while True:
+            ahead = edges.join(roots.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("r"))
+            moved = cut(roots.join(ahead, "node").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")), "roots")
+            roots = moved.select("node", "root")
+            if moved.where("moved").isEmpty():
+                break
+        own = lambda c, to: roots.select(F.col("node").alias(c), F.col("root").alias(to))
+        inside = edges.join(own("src", "a"), "src").join(own("dst", "b"), "dst").where("a = b")
+        back = inside.select(F.struct("a", F.col("dst").alias("n")).alias("src"), F.struct("a", F.col("src").alias("n")).alias("dst"))
+        seeds = roots.where("node = root").select(F.struct(F.col("root").alias("a"), F.col("node").alias("n")).alias("node"))
+        members = cut(reach(back, seeds).select(F.col("node.a").alias("component"), F.col("node.n").alias("node")), "members")
+        found = members if found is None else found.unionByName(members)
+        edges = edges.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
+        edges = cut(edges.select("src", "dst"), "edges")
+    if found is None:
+        found = roots_of_none(edges)
+    several = found.groupBy("component").agg(F.count("*").alias("modules")).where("modules > 1")
+    return found.join(several, "component").select(*(F.col(f"component.{c}").alias(c) for c in REPO), F.col("component.module").alias("component"), F.col("node.module").alias("module"))
+
+
+def roots_of_none(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("component"), F.col("dst").alias("node")).limit(0)
+
+
+def first_of_each(r: Relations) -> DataFrame:
+    """Of functions of a file that share an id, the first by place."""
+    columns = [c for c in r.function.columns if c not in (*PROVENANCE, "func_id")]
+    first = r.function.groupBy(*PROVENANCE, "func_id").agg(F.min(F.struct("seq", *(c for c in columns if c != "seq"))).alias("first"))
+    return first.select(*PROVENANCE, "func_id", "first.*")
 
 
 def id_collisions(r: Relations) -> DataFrame:
@@ -131,10 +200,13 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
 
 
 def blast_radius(r: Relations, changed: DataFrame, most: int | None = None) -> DataFrame:
-    """name, depth: functions that, by name, call the changed ones (name) directly or through others."""
+    """repo_id, commit_sha, name, depth: functions that, by name, call the changed ones (repo_id, name)
+    directly or through others, in each commit of that repository."""
+    node = lambda c: F.struct(*REPO, F.col(c).alias("name"))
     names = r.function.select(*PROVENANCE, F.col("func_id").alias("caller_id"), F.col("name").alias("caller")).distinct()
-    edges = calls(r).join(names, [*PROVENANCE, "caller_id"]).select(F.col("base").alias("src"), F.col("caller").alias("dst"))
-    return reach(edges, changed.select(F.col("name").alias("node")), most).select(F.col("node").alias("name"), "depth")
+    edges = calls(r).join(names, [*PROVENANCE, "caller_id"]).select(node("base").alias("src"), node("caller").alias("dst"))
+    seeds = changed.select("repo_id", "name").distinct().join(r.files().select(*REPO).distinct(), "repo_id")
+    return reach(edges, seeds.select(node("name").alias("node")), most).select("node.*", "depth")
 
 
 def fan_out(r: Relations) -> DataFrame:
@@ -169,28 +241,36 @@ def complexity(r: Relations) -> DataFrame:
     return spans.select(*PROVENANCE, "func_id", "name", value.cast("long").alias("complexity"))
 
 
-def function_history(r: Relations, order: dict[str, int]) -> DataFrame:
-    """Every function name in every commit it stands in, with its arity there and the one before."""
-    spark = r.facts.sparkSession
-    commits = F.broadcast(spark.createDataFrame([*order.items()], "commit_sha string, ordinal long"))
-    own = r.function.join(commits, "commit_sha").select("repo_id", "file_path", "name", "commit_sha", "ordinal", "arity", "visibility")
+def function_history(r: Relations, order: dict[str, int] | DataFrame) -> DataFrame:
+    """Every function name in every commit it stands in, with its arity and signature there and before.
+
+    order: the place of each commit, as a dict or a table (commit_sha, ordinal). The signature is the
+    arity, the visibility and the parameters.
+    """
+    if isinstance(order, dict):
+        order = r.facts.sparkSession.createDataFrame([*order.items()], "commit_sha string, ordinal long")
+    named = F.struct("position", F.concat_ws(":", "name", "type").alias("t"))
+    params = r.function_param.groupBy(*PROVENANCE, "func_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set(named)), lambda z: z["t"]), ",").alias("params"))
+    own = r.function.join(order.select("commit_sha", "ordinal"), "commit_sha").join(params, [*PROVENANCE, "func_id"], "left")
+    own = own.withColumn("signature", F.concat_ws("|", "arity", "visibility", F.coalesce("params", F.lit(""))))
+    own = own.select("repo_id", "file_path", "name", "commit_sha", "ordinal", "arity", "visibility", "signature")
     w = Window.partitionBy("repo_id", "file_path", "name").orderBy("ordinal")
-    return own.withColumn("arity_before", F.lag("arity").over(w)).withColumn("ordinal_before", F.lag("ordinal").over(w))
+    return own.withColumns({f"{c}_before": F.lag(c).over(w) for c in ("arity", "ordinal", "signature")})
 
 
-def time_machine(r: Relations, order: dict[str, int]) -> DataFrame:
-    """First and last commit, number of commits and of changes of each function."""
+def time_machine(r: Relations, order: dict[str, int] | DataFrame) -> DataFrame:
+    """First and last commit, number of commits and of changes of the signature of each function."""
     h = function_history(r, order)
-    changed = F.count_if(F.col("arity_before").isNotNull() & (F.col("arity_before") != F.col("arity")))
+    changed = F.count_if(F.col("signature_before") != F.col("signature"))
     return h.groupBy("repo_id", "file_path", "name").agg(
         F.min("ordinal").alias("first_seen"), F.max("ordinal").alias("last_seen"), F.count("*").alias("commits"), changed.alias("changes")
     )
 
 
-def hotspots(now: Relations, past: Relations, order: dict[str, int], top: int = 20) -> DataFrame:
+def hotspots(now: Relations, past: Relations, order: dict[str, int] | DataFrame, top: int = 20) -> DataFrame:
     """Functions that are complex and often change: the product of both percent ranks, best first."""
-    changes = time_machine(past, order).groupBy("name").agg(F.sum("changes").alias("changes"))
-    rated = complexity(now).join(changes, "name", "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
+    changes = time_machine(past, order).select("repo_id", "file_path", "name", "changes")
+    rated = complexity(now).join(changes, ["repo_id", "file_path", "name"], "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
     # ranks from counts of distinct values, so no task sorts all functions
     for c in ("complexity", "changes"):
         counts = rated.groupBy(c).agg(F.count("*").alias("k"))
@@ -214,9 +294,20 @@ def intent_mismatches(r: Relations, rules=INTENT_RULES) -> DataFrame:
 
 
 def security_concerns(r: Relations, rules=SECURITY_RULES) -> DataFrame:
-    spark = r.facts.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(rules), "pattern string, severity string, type string, message string, suggestion string"))
-    return calls(r).join(table, F.expr("base rlike pattern")).select(*PROVENANCE, "caller_id", "called_func", "line", "severity", "type", "message", "suggestion")
+    """Calls whose callee's last name matches a rule; a call may match several."""
+    return calls(r).select("*", hits(F.col("base"), rules)).select(*PROVENANCE, "caller_id", "called_func", "line", "hit.*")
+
+
+def security_imports(r: Relations, rules=SECURITY_IMPORTS) -> DataFrame:
+    """Dependencies whose name matches a rule."""
+    return r.depends_on.select("*", hits(F.col("dep_name"), rules)).select(*PROVENANCE, "module_id", "dep_name", "line", "hit.*")
+
+
+def hits(name: Column, rules) -> Column:
+    """A row `hit` for each rule that name matches; the rules are constants of the plan, their patterns compiled once."""
+    named = ("severity", "type", "message", "suggestion")
+    matched = [F.when(name.rlike(pattern), F.struct(*(F.lit(v).alias(c) for c, v in zip(named, values, strict=True)))) for pattern, *values in rules]
+    return F.explode(F.array_compact(F.array(*matched))).alias("hit")
 
 
 def layer_violations(r: Relations, rules: list[tuple[str, str]]) -> DataFrame:

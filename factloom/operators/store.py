@@ -54,19 +54,25 @@ def replace_files(stored: DataFrame, fresh: DataFrame, files: DataFrame) -> Data
     return stored.join(files.select(*KEY).distinct(), KEY, "left_anti").unionByName(fresh)
 
 
-def upsert(fresh: DataFrame, path: str, buckets: int = 64) -> None:
+def upsert(fresh: DataFrame, path: str, buckets: int = 64, files: DataFrame | None = None) -> None:
     """Replaces the facts of all files in fresh in a table that is partitioned by a hash of the file.
 
-    Only the partitions that hold such files are read and written again.
+    files: those that were read (repo_id, file_path), if some may give no facts any more. fresh is
+    evaluated once; only the partitions that hold such files are read and written again.
     """
     spark = fresh.sparkSession
-    fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
+    fresh = cut(fresh.withColumn("bucket", bucket), "fresh")
+    files = fresh.select(*KEY, "bucket").distinct() if files is None else files.select(*KEY).distinct().withColumn("bucket", bucket)
     jvm = spark._jvm.org.apache.hadoop.fs
     folder = jvm.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         fresh.write.partitionBy("bucket").parquet(path)
         return
-    hit = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most `buckets`
+    hit = [r["bucket"] for r in files.select("bucket").distinct().collect()]  # at most `buckets`
     stored = spark.read.parquet(path).where(F.col("bucket").isin(hit))
-    merged = cut(replace_files(stored, fresh.select(*stored.columns), fresh), "upsert")
+    merged = cut(replace_files(stored, fresh.select(*stored.columns), files), "upsert")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for bucket in set(hit) - {r["bucket"] for r in merged.select("bucket").distinct().collect()}:  # an overwrite leaves these as they were
+        empty = jvm.Path(f"{path}/bucket={bucket}")
+        empty.getFileSystem(spark._jsc.hadoopConfiguration()).delete(empty, True)

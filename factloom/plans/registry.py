@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import diff, queries as q, store
-from ..operators.extract import Relations, file_summary, render
+from ..operators.extract import Relations, extract_facts, file_summary, render, run_totals
 from ..streaming import windows
 from ..sources import patch
 from .corpus import COMMITS, TEMPLATES, corpus, history, stored_facts, table
@@ -153,16 +153,12 @@ def lens_udtf_functions(spark, sf):
 # scalar functions over texts
 
 
-@query("SELECT doc_id, lower(regexp_replace(left(text, 200), '[^\\p{L}\\p{N}_]', '_', 'g')) AS id FROM documents")
-def normalize_ids(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", scalar.normalize_id(F.substring("text", 1, 200)).alias("id"))
-
-
 @query("SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}_]', '_', 'g')) AS id FROM documents")
-def normalize_whole_ids(spark, sf):
+def normalize_ids(spark, sf):
     return table(spark, sf, "documents").select("doc_id", scalar.normalize_id("text").alias("id"))
 
 
+
 @query("""SELECT doc_id, CASE WHEN strlen(t) > 80 THEN left(t, 80) ELSE t END AS param FROM (
   SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '^[,()]+|[,()]+$', '', 'g') AS t FROM documents)""")
 def clean_tokens(spark, sf):
@@ -252,15 +248,17 @@ def path_substring_filter(spark, sf):
 # aggregates
 
 
-@query(with_base("""SELECT path AS file_path, CAST(1 AS BIGINT) AS modules, count(*) AS functions, CAST(sum(ncalls) AS BIGINT) AS calls, CAST(max(nimports) AS BIGINT) AS dependencies FROM ln GROUP BY path"""))
+@query(with_base("""SELECT path AS file_path, CAST(1 AS BIGINT) AS modules, count(*) AS functions, CAST(sum(ncalls) AS BIGINT) AS calls, CAST(max(nimports) AS BIGINT) AS dependencies,
+  CAST(max(nimports) + sum(2 + ncalls) AS BIGINT) AS loc FROM ln GROUP BY path"""))
 def file_summaries(spark, sf):
-    return file_summary(stored_facts(spark, sf)).select("file_path", "modules", "functions", "calls", "dependencies")
+    return file_summary(stored_facts(spark, sf), corpus(spark, sf)).select("file_path", "modules", "functions", "calls", "dependencies", "loc")
 
 
-@query(with_base("SELECT count(*) AS functions, CAST(sum(ncalls) AS BIGINT) AS calls, count(DISTINCT path) AS files FROM ln"))
+@query(with_base("""SELECT count(*) AS functions, CAST(sum(ncalls) AS BIGINT) AS calls, count(DISTINCT path) AS files, CAST(0 AS BIGINT) AS errors,
+  CAST(count(DISTINCT path) + sum(3 + arity + ncalls) + (SELECT count(*) FROM im) AS BIGINT) AS facts FROM ln"""))
 def repo_summary(spark, sf):
-    s = file_summary(stored_facts(spark, sf))
-    return s.agg(F.sum("functions").alias("functions"), F.sum("calls").alias("calls"), F.count("*").alias("files"))
+    f = stored_facts(spark, sf)
+    return run_totals(f).crossJoin(f.agg(F.count_if(F.col("predicate") == "calls_external").alias("calls")))
 
 
 def _summary_sql(groups: str) -> str:
@@ -288,20 +286,17 @@ def signature_report(spark, sf):
     return q.signatures(facts(spark, sf)).select("file_path", "func_id", "line", "signature")
 
 
-@query(with_base("SELECT arity, name AS first_name FROM (SELECT arity, name, row_number() OVER (PARTITION BY arity ORDER BY path, line) AS r FROM ln) WHERE r = 1"))
+@query(with_base("SELECT path AS file_path, func_id, name, line FROM ln"))
 def dedup_predicates(spark, sf):
-    w = Window.partitionBy("arity").orderBy("file_path", "line")
-    return facts(spark, sf).function.withColumn("r", F.row_number().over(w)).where("r = 1").select("arity", F.col("name").alias("first_name"))
-
+    """Every function comes a second time, further below: the first stays."""
+    f = stored_facts(spark, sf).where("predicate = 'function'")
+    again = f.withColumns({"seq": F.col("seq") + 1_000_000, "line": F.col("line") + 1_000_000})
+    return q.first_of_each(Relations(again.unionByName(f))).select("file_path", "func_id", "name", "line")
 
-@query(with_base("SELECT callee AS base, count(*) AS callers FROM (SELECT DISTINCT callee, caller_id FROM cl) GROUP BY callee HAVING count(*) > 20"))
-def id_collisions(spark, sf):
-    made = q.calls(facts(spark, sf)).select("base", "caller_id").distinct()
-    return made.groupBy("base").agg(F.count("*").alias("callers")).where("callers > 20")
 
 
 @query(with_base("SELECT func_id, count(*) AS functions FROM (SELECT func_id FROM ln UNION ALL SELECT func_id FROM ln) GROUP BY func_id HAVING count(*) > 1"))
-def func_id_collisions(spark, sf):
+def id_collisions(spark, sf):
     """The same functions in two languages stand in one repository here, so their ids collide."""
     both = stored_facts(spark, sf).unionByName(stored_facts(spark, sf, "javascript"))
     return q.id_collisions(Relations(both)).select("func_id", "functions")
@@ -329,17 +324,12 @@ def orphans_ignoring_self(spark, sf):
     return q.orphans(facts(spark, sf), ignore_self=True).select("file_path", "func_id")
 
 
-@query(with_base("SELECT path AS file_path, func_id, name, line FROM ln WHERE vis = 'public' AND k NOT IN (SELECT c FROM cl0 JOIN fn t ON t.k = cl0.k WHERE t.stem LIKE '%/s7')", ""))
+@query(with_base("SELECT path AS file_path, func_id, name, line FROM ln WHERE vis = 'public' AND stem NOT LIKE '%/s7' AND k NOT IN (SELECT c FROM cl0 JOIN fn t ON t.k = cl0.k WHERE t.stem LIKE '%/s7')", ""))
 def test_gaps(spark, sf):
     """Files named s7 stand for the tests here."""
     r = stored_facts(spark, sf)
     path = F.when(F.endswith("file_path", F.lit("/s7.py")), F.replace("file_path", F.lit("src/"), F.lit("tests/"))).otherwise(F.col("file_path"))
-    found = q.test_gaps(Relations(r.withColumn("file_path", path)))
-    tests = Relations(r).function.where(F.endswith("file_path", F.lit("/s7.py")) & (F.col("visibility") == "public"))
-    called = q.calls(Relations(r)).where(F.endswith("file_path", F.lit("/s7.py"))).select(F.col("base").alias("name")).distinct()
-    own = tests.join(called, "name", "left_anti")
-    columns = ["file_path", "func_id", "name", "line"]
-    return found.select(*columns).unionByName(own.select(*columns))
+    return q.test_gaps(Relations(r.withColumn("file_path", path))).select("file_path", "func_id", "name", "line")
 
 
 @query(with_base("""SELECT path AS file_path, func_id, name, 'calls its own kind' AS message FROM ln WHERE starts_with(name, 'fn_1') AND k IN (SELECT k FROM cl WHERE regexp_matches(callee, '^fn_2'))
@@ -356,6 +346,28 @@ def security_concerns(spark, sf):
     return q.security_concerns(facts(spark, sf), rules).select("file_path", "caller_id", "called_func", "line", "severity", "type")
 
 
+def _risky(spark, sf) -> Relations:
+    """A file for each supplier, with one import and a function of one call, by its number."""
+    key = F.col("s_suppkey")
+    pick = lambda names: F.get(F.array(*map(F.lit, names)), (key % len(names)).cast("int"))
+    code = F.concat(F.lit("import "), pick(["pickle", "json", "subprocess"]), F.lit("\ndef f():\n    "), pick(["eval", "print", "os.system", "hashlib.md5", "pickle.loads"]), F.lit("(x)\n"))
+    path = F.concat(F.lit("f"), key, F.lit(".py"))
+    files = table(spark, sf, "supplier").select(F.lit("r").alias("repo_id"), F.lit("c").alias("commit_sha"), path.alias("file_path"), F.lit("python").alias("language"), code.alias("code"))
+    return Relations(extract_facts(files))
+
+
+@query("""SELECT 'f' || s_suppkey || '.py' AS file_path, CAST(3 AS BIGINT) AS line, severity, type FROM supplier
+  JOIN (VALUES (0, 'critical', 'code_execution'), (2, 'high', 'command_execution'), (3, 'low', 'weak_hash'), (4, 'medium', 'deserialisation')) t(m, severity, type) ON s_suppkey % 5 = m""")
+def security_defaults(spark, sf):
+    return q.security_concerns(_risky(spark, sf)).select("file_path", "line", "severity", "type")
+
+
+@query("""SELECT 'f' || s_suppkey || '.py' AS file_path, dep_name, type FROM supplier
+  JOIN (VALUES (0, 'pickle', 'deserialisation'), (2, 'subprocess', 'command_execution')) t(m, dep_name, type) ON s_suppkey % 3 = m""")
+def security_imports(spark, sf):
+    return q.security_imports(_risky(spark, sf)).select("file_path", "dep_name", "type")
+
+
 EDGES = "ed AS (SELECT replace(stem, '/', '_') AS src, replace(dep, '.', '_') AS dst FROM im)"
 
 
@@ -376,34 +388,33 @@ def dependency_cycles(spark, sf):
     return q.dependency_cycles(facts(spark, sf), 6).select("length", "cycle")
 
 
-@query(with_base("SELECT node, min(depth) AS depth FROM r GROUP BY node", EDGES + """,
-  r(node, depth) AS (SELECT (SELECT min(src) FROM ed), CAST(0 AS BIGINT) UNION SELECT dst, depth + 1 FROM r JOIN ed ON ed.src = r.node WHERE depth < 6)"""))
+@query(with_base("SELECT node, depth FROM r", EDGES + """,
+  r(node, depth) USING KEY (node) AS (SELECT (SELECT min(src) FROM ed), CAST(0 AS BIGINT)
+    UNION SELECT dst, depth + 1 FROM r JOIN ed ON ed.src = r.node WHERE dst NOT IN (SELECT node FROM recurring.r))"""))
 def dependency_reach(spark, sf):
-    edges = q.module_edges(facts(spark, sf)).select("src", "dst")
-    return q.reach(edges, edges.agg(F.min("src").alias("node")), 6)
-
-
-@query(with_base("SELECT node AS name, min(depth) AS depth FROM r GROUP BY node", f"""
-  e AS (SELECT DISTINCT callee AS src, fn.name AS dst FROM cl JOIN fn ON fn.k = cl.k),
-  r(node, depth) AS (SELECT name, CAST(0 AS BIGINT) FROM fn WHERE k % 97 = 5 UNION SELECT dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 4)"""))
-def blast_radius(spark, sf):
-    r = facts(spark, sf)
-    changed = r.function.where(F.regexp_extract("name", r"(\d+)$", 1).cast("long") % 97 == 5)
-    return q.blast_radius(r, changed, 4)
-
-
-@query()
-def dependency_closure(spark, sf):
-    """All that the first module depends on, however far; in SQL, depths in cycles never end."""
+    """All that the first module depends on, however far."""
     edges = q.module_edges(facts(spark, sf)).select("src", "dst")
     return q.reach(edges, edges.agg(F.min("src").alias("node")))
 
 
 @query()
-def blast_radius_of_changes(spark, sf):
+def dependency_components(spark, sf):
+    """Tested against Tarjan's sets: SQL has no closure of every module that ends in time."""
+    return q.dependency_components(facts(spark, sf)).select("component", "module")
+
+
+@query(with_base("SELECT node AS name, depth FROM r", HIST + """,
+  e AS (SELECT DISTINCT callee AS src, name AS dst FROM h WHERE i = 3),
+  changed AS (SELECT name FROM (SELECT path, name, max(arity) FILTER (WHERE i = 0) AS a, max(arity) FILTER (WHERE i = 3) AS b,
+    max(callee) FILTER (WHERE i = 0) AS p, max(callee) FILTER (WHERE i = 3) AS q FROM h WHERE i IN (0, 3) GROUP BY path, name)
+    WHERE a IS DISTINCT FROM b OR p IS DISTINCT FROM q),
+  r(node, depth) USING KEY (node) AS (SELECT name, CAST(0 AS BIGINT) FROM changed
+    UNION SELECT dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE dst NOT IN (SELECT node FROM recurring.r))"""))
+def blast_radius(spark, sf):
     """All callers, however far, of the functions that differ between the first and the last commit."""
     after = commit(spark, sf, "c3")
-    return q.blast_radius(after, diff.function_diff(commit(spark, sf, "c0"), after))
+    return q.blast_radius(after, diff.function_diff(commit(spark, sf, "c0"), after)).select("name", "depth")
+
 
 
 @query(with_base("SELECT path AS file_path, func_id, name, CAST(ncalls + arity + coalesce(lead(line) OVER (PARTITION BY path ORDER BY line) - line, 0) AS BIGINT) AS complexity FROM ln"))
@@ -414,8 +425,8 @@ def complexity(spark, sf):
 @query(with_base("""SELECT path AS file_path, name, complexity, changes, round(cr * hr, 9) AS score FROM (
   SELECT path, name, complexity, changes, percent_rank() OVER (ORDER BY complexity) AS cr, percent_rank() OVER (ORDER BY changes) AS hr FROM (
     SELECT path, ln.name, CAST(ncalls + arity + coalesce(lead(line) OVER (PARTITION BY path ORDER BY line) - line, 0) AS BIGINT) AS complexity, coalesce(changes, 0) AS changes
-    FROM ln LEFT JOIN (SELECT name, CAST(sum(CASE WHEN before <> arity THEN 1 ELSE 0 END) AS BIGINT) AS changes
-      FROM (SELECT name, arity, lag(arity) OVER (PARTITION BY path, name ORDER BY i) AS before FROM h) GROUP BY name) USING (name))) ORDER BY score DESC, name, file_path LIMIT 20""", HIST))
+    FROM ln LEFT JOIN (SELECT path, name, CAST(sum(CASE WHEN before <> arity THEN 1 ELSE 0 END) AS BIGINT) AS changes
+      FROM (SELECT path, name, arity, lag(arity) OVER (PARTITION BY path, name ORDER BY i) AS before FROM h) GROUP BY path, name) USING (path, name))) ORDER BY score DESC, name, file_path LIMIT 20""", HIST))
 def hotspots(spark, sf):
     return q.hotspots(facts(spark, sf), facts(spark, sf, "history"), ORDER)
 
@@ -631,7 +642,9 @@ def commit_windows_session(spark, sf):
     return windows.sessions(table(spark, sf, "events"), "30 minutes")
 
 
-@query()
+@query(with_base("""SELECT DISTINCT 'tables' AS repo_id, path AS file_path, sha256('import lib_' || ((CAST(regexp_extract(path, 's([0-9]+)[.]py$', 1) AS BIGINT) + i) // 2) || chr(10) || body || chr(10)) AS checksum
+  FROM (SELECT path, i, string_agg('def ' || name || '(' || array_to_string(list_transform(range(arity), lambda p: 'a' || p), ', ') || '):' || chr(10) || '    ' || callee || '()', chr(10) ORDER BY k) AS body
+    FROM h GROUP BY path, i)""", HIST))
 def stream_file_arrival(spark, sf):
     """Files arrive as a stream; those with a checksum seen before are left out."""
-    return windows.arrivals(spark, history(spark, sf), f"arrivals_{abs(hash(sf))}")
+    return windows.arrivals(spark, history(spark, sf), f"arrivals_{abs(hash(sf))}")
\ No newline at end of file

@@ -5,9 +5,9 @@ import decimal
 import duckdb
 import pytest
 
-from factloom.operators import queries as q
+from factloom.operators import diff, queries as q, store
 from factloom.operators.extract import Relations, extract_facts
-from factloom.plans.registry import HIST, QUERIES, SQL, with_base
+from factloom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,33 +38,90 @@ def test_query(spark, duck, name):
         assert found == sorted(repr(tuple(plain(r[i]) for i in at)) for r in want.fetchall())
 
 
-def closure(edges, seeds):
-    depth, frontier = dict.fromkeys(seeds, 0), set(seeds)
-    while frontier:
-        frontier = {b for a, b in edges if a in frontier} - depth.keys()
-        depth |= dict.fromkeys(frontier, max(depth.values()) + 1)
-    return depth
-
-
 def test_reach_has_no_end_by_default(spark):
     edges = [(f"n{i}", f"n{i + 1}") for i in range(10)] + [("n10", "n0"), ("x", "y")]
     found = q.reach(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("n0",)], "node string"))
     assert {r["node"]: r["depth"] for r in found.collect()} == {f"n{i}": i for i in range(11)}
 
 
-def test_closures_are_whole(spark, duck):
+def components(edges):
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    reached = {}
+    for a in ahead:
+        seen, stack = set(), [a]
+        while stack:
+            for b in ahead.get(stack.pop(), set()) - seen:
+                seen.add(b)
+                stack.append(b)
+        reached[a] = seen
+    of = {a: frozenset(b for b in reached[a] if a in reached.get(b, set())) | {a} for a in ahead}
+    return {(min(c), v) for c in of.values() if len(c) > 1 for v in c}
+
+
+def test_components_are_strongly_connected(spark, duck):
     edges = duck.sql(SQL["module_edges"]).fetchall()
-    want = closure(edges, [min(a for a, _ in edges)])
-    assert {r["node"]: r["depth"] for r in QUERIES["dependency_closure"](spark, SF).collect()} == want
-    assert max(want.values()) > 6
-    at = "SELECT k, name, arity, vis, callee FROM h WHERE i = "
-    before, after = (set(duck.sql(with_base(at + i, HIST)).fetchall()) for i in "03")
-    want = closure([(r[4], r[1]) for r in after], {r[1] for r in before ^ after})
-    assert {r["name"]: r["depth"] for r in QUERIES["blast_radius_of_changes"](spark, SF).collect()} == want
+    want = components(edges)
+    assert want and {tuple(r) for r in QUERIES["dependency_components"](spark, SF).select("component", "module").collect()} == want
+
+
+def python_files(spark, rows):
+    return Relations(extract_facts(spark.createDataFrame([(*r[:3], "python", r[3]) for r in rows], "repo_id string, commit_sha string, file_path string, language string, code string")))
+
+
+def test_components_and_suffixes_by_repository(spark):
+    rows = [("r", "c", "src/a.py", "import b\n"), ("r", "c", "src/b.py", "import c.d\nimport src.a\n"), ("r", "c", "src/c/d.py", "import b\n"), ("r", "c", "src/e.py", "import a\n")]
+    rows += [("s", "c", "a.py", "import b\n"), ("s", "c", "b.py", "import x\n"), ("s", "c", "p.py", "import q\n"), ("s", "c", "q.py", "import p\n")]
+    r = python_files(spark, rows)
+    edges = {(e["repo_id"], e["src"], e["dst"]) for e in q.module_edges(r).collect()}
+    want = {("r", "src_a", "src_b"), ("r", "src_b", "src_c_d"), ("r", "src_b", "src_a"), ("r", "src_c_d", "src_b"), ("r", "src_e", "src_a"), ("s", "a", "b"), ("s", "p", "q"), ("s", "q", "p")}
+    assert edges == want
+    found = {(x["repo_id"], x["component"], x["module"]) for x in q.dependency_components(r).collect()}
+    assert found == {("r", "src_a", m) for m in ("src_a", "src_b", "src_c_d")} | {("s", "p", "p"), ("s", "p", "q")}
+
+
+def test_radius_stays_in_its_repository(spark):
+    r = python_files(spark, [("a", "c", "m.py", "def top():\n    low()\n\ndef low():\n    pass\n"), ("b", "c", "m.py", "def other():\n    low()\n")])
+    found = q.blast_radius(r, spark.createDataFrame([("a", "low")], "repo_id string, name string")).collect()
+    assert {(x["repo_id"], x["name"], x["depth"]) for x in found} == {("a", "low", 0), ("a", "top", 1)}
+
+
+def test_hotspots_follow_the_signature_of_their_own_file(spark):
+    code = "def f({}):\n    a()\n    b()\n\ndef g():\n    pass\n"
+    rows = [("r", f"c{i}", path, code.format(name)) for i, (x, y) in enumerate([("p", "p"), ("q", "p"), ("s", "p")]) for path, name in (("x.py", x), ("y.py", y))]
+    r = python_files(spark, rows)
+    now = Relations(r.facts.where("commit_sha = 'c2'"))
+    found = {(h["file_path"], h["name"]): h["changes"] for h in q.hotspots(now, r, {f"c{i}": i for i in range(3)}).collect()}
+    assert found == {("x.py", "f"): 2, ("y.py", "f"): 0, ("x.py", "g"): 0, ("y.py", "g"): 0}
+
+
+def test_concerns_name_risky_calls_and_unexpected_changes(spark):
+    before = python_files(spark, [("r", "c", "m.py", "def retry_send(x):\n    print(x)\n\ndef paint(x):\n    print(x)\n")])
+    after = python_files(spark, [("r", "c", "m.py", "def retry_send(x):\n    eval(x)\n\ndef paint(x, y):\n    print(x)\n")])
+    found = {(c["name"], c["severity"], c["type"]) for c in diff.concerns(before, after, "fix retries of sending retry").collect()}
+    assert found == {("eval", "critical", "new_code_execution"), ("paint", "low", "unexpected_change")}
+
+
+def test_long_clauses_are_read(spark):
+    code = "p(X) :- " + ", ".join(f"g{i}(X)" for i in range(2_000)) + ".\nq(X) :- (a(X) ; b(X) -> c(X)), \\+ d(X).\n"
+    files = spark.createDataFrame([("r", "c", "p.pl", "prolog", code)], "repo_id string, commit_sha string, file_path string, language string, code string")
+    r = Relations(extract_facts(files))
+    assert r.function.count() == 2
+    assert [c["called_func"] for c in r.calls_external.orderBy("seq").collect()] == [f"g{i}" for i in range(2_000)] + ["a", "b", "c", "d"]
+
+
+def test_upsert_drops_facts_of_files_without_any(spark, tmp_path):
+    path = f"{tmp_path}/facts"
+    first = [("r", "c", "a.py", "def f():\n    pass\n"), ("r", "c", "b.py", "def g():\n    pass\n")]
+    store.upsert(python_files(spark, first).facts, path, 4)
+    read = spark.createDataFrame([("r", "a.py")], "repo_id string, file_path string")
+    store.upsert(python_files(spark, [("r", "d", "a.py", "")]).facts.limit(0), path, 4, read)
+    assert {x["file_path"] for x in spark.read.parquet(path).select("file_path").collect()} == {"b.py"}
 
 
 def test_ids_of_whole_texts(spark, duck):
-    found = {r["doc_id"]: len(r["id"]) for r in QUERIES["normalize_whole_ids"](spark, SF).collect()}
+    found = {r["doc_id"]: len(r["id"]) for r in QUERIES["normalize_ids"](spark, SF).collect()}
     assert found == dict(duck.sql("select doc_id, length(text) from documents").fetchall()) and max(found.values()) > 200
 
 
