@@ -13,7 +13,7 @@ from factloom.llm.common import bounded_sample, pack_arrays, shared_dir, tree_su
 from factloom.llm.mixing import mixed
 from factloom.llm.packing import in_order, packed_along
 from factloom.llm.quality import fit_quality, op1_quality, pool, tokens
-from factloom.llm.toxicity import _present, drop_toxic, fit_toxicity, op10_toxicity
+from factloom.llm.toxicity import BITS, ToxicityModel, _present, drop_toxic, fit_toxicity, op10_toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -181,3 +181,38 @@ def test_packing_reads_the_order_as_written(spark, docs):
     # a plan that isn't a table keeps the order of its own rows, not that of the files below
     turned = [r["doc_id"] for r in in_order(table.orderBy(F.desc("doc_id"))).orderBy("position").collect()]
     assert turned == [r["doc_id"] for r in table.orderBy(F.desc("doc_id")).collect()]
+
+
+def test_sample_is_bounded_whatever_the_ids(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(500)] + [(3, "a"), (3, "a"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, 0), (4, 1), (5, 0), (6, 0), (6, 1), (None, 1)], "doc_id long, toxic int")
+    rows = bounded_sample(docs, labels, "toxic", 2).collect()
+    assert len(rows) <= 2 and len({r["doc_id"] for r in rows}) == len(rows)
+    rows = {r["doc_id"]: (r["text"], r["label"]) for r in bounded_sample(docs, labels, "toxic", 100).collect()}
+    learnt = {i for i in (1, 3, 4) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert rows.keys() == learnt and all(rows[i] == {3: ("a", 0), 4: ("", 1)}[i] for i in learnt - {1})
+
+
+def test_toxic_rows_go_with_any_columns(spark):
+    model = ToxicityModel(np.full(1 << BITS, -1, dtype=np.int32), np.empty(0), -3.0)
+    docs = spark.createDataFrame([(1, "x", "mine", 9.0), (2, None, None, None)], "doc_id long, text string, _toxicity string, score double")
+    kept = drop_toxic(docs, model)
+    assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(docs.collect())
+    assert drop_toxic(docs, model, threshold=0.01).collect() == []
+
+
+def test_ratios_are_those_of_counted_grams(spark):
+    """Every chosen bucket's log-count ratio, by counting the documents of each class that hold its grams."""
+    texts = [("you vile fool", 1), ("vile words here", 1), ("a kind word", 0), ("words of a friend", 0), ("kind friend", 0)]
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][: 3 * len(texts)]
+    rows = [(i, *texts[k % len(texts)]) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels)
+    scores = model.scores([t for t, _ in texts])
+    assert all((s > 0.5) == bool(y) for s, (_, y) in zip(scores, texts, strict=True))
+    assert (model.chosen >= 0).sum() == len(model.weights) > 0
+    # one gram of one class only pushes its way, through the sign of its ratio and a positive weight
+    for gram, sign in (("vile", 1), ("kind", -1)):
+        held = [k for k, (t, _) in enumerate(texts) if gram in t]
+        assert all(np.sign(np.log(scores[k] / (1 - scores[k]))) == sign for k in held)

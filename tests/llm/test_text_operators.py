@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from factloom.llm import fingerprint, packing
 from factloom.llm.fingerprint import digest, edited_pairs, fit_rarity, levels, likeness, of_text, op3_fingerprints
 from factloom.llm.html_text import extract, op2_html_text
 from factloom.llm.line_dedup import FIELD, Lines, dedup_lines, op6_line_dedup, parse
-from factloom.llm.mixing import mix, mixed, op5_mixing, schedule
+from factloom.llm.mixing import mix, mixed, numbered, op5_mixing, schedule
 from factloom.llm.packing import best_fit, encoder, op7_packing, pack, packed, tokenizer_path
 from factloom.llm.secret_scan import BASE, KINDS, REACH, link_credentials, op8_secret_scan
 
@@ -375,3 +376,60 @@ def test_deep_and_long_pages():
 def test_page_query(spark, sf):
     assert {r["page_id"]: r["text"] for r in op2_html_text(spark, sf).collect()} == {1: "a\n\nb", 2: None, 3: ""}
     assert base64 and json
+
+
+def test_leaves_of_many_lines_match_comparing_with_every_template():
+    rng = np.random.default_rng(4)
+    lines = [np.concatenate([[1, 2, 3], rng.integers(10, 10 + k, 9)]).astype(np.int64) for k in (2, 3, 6, 40) for _ in range(80)]
+    for i in range(0, 320, 5):
+        lines[i][rng.integers(3, 12, 2)] = FIELD
+    weights, names = rng.integers(1, 4, 320).tolist(), rng.permutation(320).tolist()
+    found = parse(lines, weights, names)
+    templates, want = [], [0] * 320
+    for i in sorted(range(320), key=lambda i: (-weights[i], names[i])):
+        same = [sum(a == b for a, b in zip(t, lines[i], strict=True)) for t in templates]
+        if same and max(same) >= 0.8 * 12:
+            want[i] = same.index(max(same))
+            t = templates[want[i]]
+            templates[want[i]] = [a if a == b else FIELD for a, b in zip(t, lines[i], strict=True)]
+        else:
+            want[i] = len(templates)
+            templates.append(list(lines[i]))
+    assert found == want and 1 < len(templates) < 320
+
+
+def test_documents_left_blank_go(spark):
+    line = "the same five words or more in a line"
+    docs = spark.createDataFrame([(1, line), (2, line + "\n\n\t \n"), (3, "own words that stand only here once"), (4, " \n"), (5, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in dedup_lines(docs).collect()} == {1, 3, 4, 5}
+    assert {r["doc_id"] for r in dedup_lines(docs, keep_empty=True).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_stray_marks_cost_one_pass():
+    assert extract("a</>b</1 x>c") == "abc"
+    began = time.process_time()
+    assert extract("a" + "</1" * 200_000) == "a"
+    assert time.process_time() - began < 5
+
+
+def test_bins_that_nothing_fits_leave_the_rounds(spark, monkeypatch):
+    moved = []
+    kept = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: moved.append(t := kept(df, name)) or t)
+    items = spark.createDataFrame([(i, 1 if i < 3 else 600) for i in range(4_000)], "item long, length long")
+    found = pack(items, 1024, 16).collect()
+    assert len({r["sequence_id"] for r in found}) == 3_997
+    # three bins of each partition, and those of the short items
+    assert moved[1].count() <= 16 * 3 + 3 and moved[-1].count() <= 2 * 3 + 3
+
+
+@pytest.mark.parametrize("span", [2, 4_096])
+def test_places_in_a_source_are_those_of_sorted_ids(spark, span):
+    rng = random.Random(1)
+    rows = [(rng.randint(-(1 << 62), 1 << 62), "hot") for _ in range(150)] + [(i, "b") for i in range(20)] + [(None, "hot")] * 5 + [(None, None)]
+    found = numbered(spark.createDataFrame(rows, "doc_id long, source string"), span).select("source", "row.doc_id", "n").collect()
+    for source in ("hot", "b", ""):
+        own = sorted((r["n"], r["doc_id"]) for r in found if r["source"] == source and r["doc_id"] is not None)
+        nameless = sum(1 for i, s in rows if i is None and (s or "") == source)
+        assert [i for _, i in own] == sorted(i for i, s in rows if s == source and i is not None)
+        assert [n for n, _ in own] == list(range(nameless, nameless + len(own)))
