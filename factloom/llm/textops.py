@@ -63,16 +63,21 @@ def buffers(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int,
         yield start, group
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(buf) + 1)
-    out = np.empty(len(buf) + 1, dtype=np.uint64)
+def sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of uint64 values, from which range_hash() takes the hash of any of their ranges."""
+    up, _ = powers(len(values) + 1)
+    out = np.empty(len(values) + 1, dtype=np.uint64)
     out[0] = 0
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=out[1:])
+    np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
+def prefix_hash(buf: np.ndarray) -> np.ndarray:
+    return sums(buf.astype(np.uint64) + np.uint64(1))
+
+
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of the bytes from start to end, wherever they stand."""
+    """Of the bytes (or values) from start to end, wherever they stand."""
     _, down = powers(len(sums))
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

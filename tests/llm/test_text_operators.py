@@ -296,6 +296,63 @@ def test_similar_lines_share_a_template_across_shares(spark, monkeypatch):
     assert 0 in found and not found & set(range(1, 20)) and 50 in found
 
 
+def prose(rng, n):
+    parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it st".split()
+    return " ".join("".join(rng.choices(parts, k=rng.randint(2, 4))) for _ in range(n))
+
+
+def test_long_passages_within_other_lines_go(spark):
+    """Held against all runs of 50 tokens; what goes from a text stands in a text of a smaller id."""
+    rng = random.Random(11)
+    shared = [prose(rng, n).split(" ") for n in (50, 55, 80, 400)]
+    texts = []
+    for i in range(24):
+        parts = [prose(rng, rng.randint(3, 40)).split(" ")]
+        if i % 2:
+            for _ in range(rng.randint(1, 3)):
+                parts += [rng.choice(shared), prose(rng, rng.randint(1, 40)).split(" ")]
+        words = [w for part in parts for w in part]
+        texts.append("".join(w + rng.choice([" "] * 8 + ["\n", " \t "]) for w in words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(docs, keep_empty=True).collect()}
+
+    def runs(text, n):
+        words = text.split()
+        return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+    earlier, changed, lines = set(), 0, set()
+    for i, text in enumerate(texts):
+        assert not runs(found[i], 50) & earlier, i
+        left = iter(text.split())
+        assert all(any(w == x for x in left) for w in found[i].split())  # in order, nothing new
+        if not runs(text, 20) & {r for t in texts[:i] for r in runs(t, 20)} and not lines & set(text.split("\n")):
+            assert found[i] == text
+        lines |= set(text.split("\n"))
+        changed += found[i] != text
+        earlier |= runs(text, 50)
+    assert changed >= 8
+    assert found[0] == texts[0] and found[1] == texts[1]  # the first that has a passage keeps it
+
+
+def test_cut_stretches_leave_the_rest_as_it_was(spark):
+    passage = prose(random.Random(3), 120)
+    texts = [passage, f"  Größe \U0001f600 vor\t{passage}  danach 42 \n\nlast one  ", f"{passage[:300]}\n{passage[300:]}"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)] + [(7, None, None), (7, "", 0)], "doc_id long, text string, n_chars long")
+    found = {r["doc_id"]: r for r in dedup_lines(docs, keep_empty=True).where("text <> ''").collect()}
+    text = found[1]["text"]
+    assert found[0]["text"] == passage
+    assert text.startswith("  Größe \U0001f600 vor") and text.endswith("  danach 42 \n\nlast one  ")
+    assert len(text.split()) < 8 + 30 and found[1]["n_chars"] == len(text)
+
+
+def test_stretches_of_repeated_words_and_short_texts(spark):
+    docs = spark.createDataFrame([(1, "a " * 300), (2, "b\n" + "a " * 300), (3, "a " * 19), (4, " ".join(map(str, range(19)))), (5, " ".join(map(str, range(19, 60)))), (5, " ".join(map(str, range(19, 60))))], "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(docs, keep_empty=True).collect()}
+    assert found[1] == "a " * 300 and len(found[2].split()) < 40
+    assert found[3] == "a " * 19 and found[4] == " ".join(map(str, range(19)))
+    assert found[5] == " ".join(map(str, range(19, 60)))  # rows of one id are one document
+
+
 def test_line_query(spark, sf, rows, empty):
     assert op6_line_dedup(spark, sf).count() == len(rows)
     assert dedup_lines(empty).collect() == []
