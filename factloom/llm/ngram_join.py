@@ -20,13 +20,13 @@ repeated rows are one class and each answered; an empty table gives an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
@@ -40,6 +40,10 @@ CHUNKS = 32
 FEW = 64
 #: Tokens of all sets in a tile, or in each of its two sides.
 BLOCK = 2_000_000
+#: Sets that stand for the heaviest components of a crowded token, and rounds of comparing with them. They
+#: save comparisons; what is compared in the end is the same.
+PIVOTS = 8
+ROUNDS = 3
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], dtype=np.uint64)
 
 
@@ -158,34 +162,52 @@ def _tile(rows: pd.DataFrame, cross: bool, classes: np.ndarray, num: int, den: i
     root = np.arange(n)
     links = []
     for i in range(n):
-        open_ = (np.minimum(sizes, sizes[i]) * den >= np.maximum(sizes, sizes[i]) * num) & (root != root[i])
-        open_[: i + 1] = False
+        # what shares a token in the prefix of every order; the rest is done for these rows alone
+        share = np.zeros(n, dtype=bool)
+        share[heads[0].sharing(i)] = True
+        near = i + 1 + np.flatnonzero(share[i + 1 :])
+        near = near[(np.minimum(sizes[near], sizes[i]) * den >= np.maximum(sizes[near], sizes[i]) * num) & (root[near] != root[i])]
         if cross:
-            open_ &= side != side[i]
-        for head in heads:  # a shared token in the prefixes of every order
-            if not open_.any():
+            near = near[side[near] != side[i]]
+        for head in heads[1:]:
+            if not len(near):
                 break
             share = np.zeros(n, dtype=bool)
             share[head.sharing(i)] = True
-            open_ &= share
-        if not open_.any():
+            near = near[share[near]]
+        if not len(near):
             continue
-        both = np.bincount(whole.sharing(i), minlength=n)
-        for j in np.flatnonzero(open_ & (both * den >= num * (sizes + sizes[i] - both))):
+        both = np.bincount(whole.sharing(i), minlength=n)[near]
+        for j in near[both * den >= num * (sizes[near] + sizes[i] - both)]:
             if root[j] != root[i]:
                 links.append((int(ids[i]), int(ids[j])))
                 root[root == root[j]] = root[i]
     return links
 
 
-def tiles(pairs: DataFrame, often: DataFrame, sizes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Tiles (x, y, id, side) of sets to be compared, and the pairs (a, b) that stand in none.
+def _long(x: int | str) -> Column:
+    return F.lit(x).cast("long") if isinstance(x, int) else F.col(x).cast("long")
 
-    pairs: candidates (a, b). often: crowded tokens (token, id). sizes: id, n. Pairs and shared crowded
-    tokens lead from set to set; a cluster of sets with at most `block` tokens in all is one tile, so a
-    set travels once however many partners it has. Of larger clusters, the pairs are left as pairs, and
-    the sets of crowded tokens are cut into units of the same first token (and by hash, where these are
-    over `block`), of which those that share a token meet. x = y: a unit with itself.
+
+def _unit(component: str, token: int | str = 0, part: int | str = 0, group: int | str = 0, known: str | None = None) -> Column:
+    """The key of a unit of sets; `known`: its sets are known to be in one component, `group`."""
+    sure = F.lit(False) if known is None else F.col(known)
+    return F.struct(_long(component).alias("a"), _long(token).alias("b"), _long(part).alias("c"), _long(group).alias("d"), sure.alias("known"))
+
+
+def _dealt(sets: DataFrame, block: int, by: list[str]) -> DataFrame:
+    """sets with `part`: those of equal `by` in parts of about `block` tokens each."""
+    counts = sets.groupBy(*by).agg(F.ceil(F.sum("n") / block).alias("parts"))
+    return sets.join(counts, by).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+
+
+def tiles(pairs: DataFrame, often: DataFrame, sizes: DataFrame, block: int, compared: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Tiles (x, y, id, side) of sets to be compared, the pairs (a, b) that stand in none, links found on the way.
+
+    pairs: candidates (a, b). often: crowded tokens (token, id). sizes: id, n. compared: the links of
+    tiles. Pairs and shared crowded tokens lead from set to set; a cluster of sets with at most `block`
+    tokens in all is one tile, so a set travels once however many partners it has. Of larger clusters,
+    the pairs are left as pairs, and the sets of crowded tokens are cut into units (large_tiles).
     """
     often = written(often.select("token", "id").distinct(), "often")
     stars = often.join(often.groupBy("token").agg(F.min("id").alias("a")), "token").select("a", F.col("id").alias("b"))
@@ -193,21 +215,58 @@ def tiles(pairs: DataFrame, often: DataFrame, sizes: DataFrame, block: int) -> t
     weighed = labels.join(sizes.withColumnRenamed("id", "v"), "v")
     clusters = weighed.groupBy("component").agg(F.sum("n").alias("weight"))
     of = written(weighed.join(clusters, "component").select(F.col("v").alias("id"), "component", "n", "weight"), "clusters")
-    small = of.where(F.col("weight") <= block).select(F.struct(F.col("component").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("x"), "id")
+    small = of.where(F.col("weight") <= block).select(_unit("component").alias("x"), "id")
     small = small.select("x", F.col("x").alias("y"), "id", F.lit(0).alias("side"))
     big = of.where(F.col("weight") > block)
     left_pairs = pairs.join(big.select(F.col("id").alias("a")), "a", "left_semi")
-    large = often.join(big, "id")
-    firsts = large.groupBy("id", "component", "n").agg(F.min("token").alias("first"))
-    counts = firsts.groupBy("first").agg(F.ceil(F.sum("n") / block).alias("parts"))
-    units = firsts.join(counts, "first").select("id", F.struct(F.col("component").alias("a"), F.col("first").alias("b"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("c")).alias("u"))
-    units = written(units, "units")
-    by_token = large.select("token", "id").join(units, "id").select("token", "u").distinct()
-    meet = by_token.select("token", F.col("u").alias("x")).join(by_token.select("token", F.col("u").alias("y")), "token").where("x <= y").select("x", "y").distinct()
-    meet = written(meet, "meet")
+    if big.isEmpty():
+        return small, left_pairs, None
+    large, found = large_tiles(often.join(big, "id"), block, compared)
+    return small.unionByName(large), left_pairs, found
+
+
+def large_tiles(often: DataFrame, block: int, compared: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Tiles for clusters of over `block` tokens, and links that are known already.
+
+    often: token, id, component, n. Sets go into units of the same first token, by hash where these are
+    over `block`. Each unit is compared with itself; then, in rounds, with a few pivots of its first
+    token, members of the heaviest components so far. That leaves a large group of near copies in one
+    component, but for few members. Units are then made anew, the sets of a heavy component apart from
+    all others, and units that share a token meet unless both are of one component: of a group in u
+    units u times those few are compared, not u times u. Without such a group every two units that share
+    a token meet.
+    """
+    sets = written(often.groupBy("id", "component", "n").agg(F.min("token").alias("first")), "firsts")
+    units = written(_dealt(sets, block, ["first"]).withColumn("u", _unit("component", "first", "part")), "units")
+    own = units.select(F.col("u").alias("x"), F.col("u").alias("y"), "id", F.lit(0).alias("side"))
+    found = written(compared(own), "links")
+    for _ in range(ROUNDS):
+        groups = components(found).select(F.col("v").alias("id"), F.col("component").alias("group"))
+        often_linked = found.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"))
+        members = units.join(groups, "id").join(often_linked, "id", "left")
+        weighed = members.groupBy("first", "group").agg(F.sum("n").alias("weight"), F.max(F.struct(F.coalesce("links", F.lit(0)), "id"))["id"].alias("id"))
+        order = Window.partitionBy("first").orderBy(F.desc("weight"), "group")
+        pivots = weighed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select("first", "id")
+        pivots = written(pivots, "pivots")
+        met = units.join(pivots.select("first").distinct(), "first", "left_semi").select(F.col("u").alias("x"), "id", F.lit(0).alias("side"))
+        met = met.unionByName(units.select("first", F.col("u").alias("x")).distinct().join(pivots, "first").select("x", "id", F.lit(1).alias("side")))
+        more = written(compared(met.withColumn("y", F.col("x"))), "links")
+        ends = [groups.select(F.col("id").alias(s), F.col("group").alias("g" + s)) for s in "ab"]
+        new = more.where("a <> b").join(ends[0], "a", "left").join(ends[1], "b", "left").where("not ga <=> gb or ga is null")
+        if new.isEmpty():
+            break
+        found = written(found.unionByName(more), "links")
+    groups = components(found).select(F.col("v").alias("id"), F.col("component").alias("group"))
+    heavy = sets.join(groups, "id").groupBy("group").agg(F.sum("n").alias("weight")).where(F.col("weight") * PIVOTS >= block).select("group", F.lit(True).alias("known"))
+    sets = sets.join(groups, "id", "left").join(heavy, "group", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    sets = sets.withColumn("group", F.when(F.col("known"), F.col("group")).otherwise(F.lit(0)))
+    units = written(_dealt(sets, block, ["first", "group", "known"]).select("id", _unit("component", "first", "part", "group", "known").alias("u")), "units")
+    by_token = often.select("token", "id").join(units, "id").select("token", "u").distinct()
+    meet = by_token.select("token", F.col("u").alias("x")).join(by_token.select("token", F.col("u").alias("y")), "token")
+    meet = written(meet.where("x <= y and not (x.known and y.known and x.d = y.d)").select("x", "y").distinct(), "meet")
     left = meet.join(units.withColumnRenamed("u", "x"), "x").select("x", "y", "id", F.lit(0).alias("side"))
     right = meet.where("x <> y").join(units.withColumnRenamed("u", "y"), "y").select("x", "y", "id", F.lit(1).alias("side"))
-    return small.unionByName(left).unionByName(right), left_pairs
+    return left.unionByName(right), found
 
 
 def links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int, classes, few: int = FEW, block: int = BLOCK) -> DataFrame:
@@ -257,16 +316,18 @@ def links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int, clas
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(passed))
 
     sides = [wanted.select(F.col("id").alias(s), *(F.col(x).alias(f"{s}_{x}") for x in ["tokens", *others])) for s in "ab"]
-    sizes = sets.groupBy(F.col("rep").alias("id")).agg(F.sum("n_shingles").alias("n"))
-    dealt, apart = tiles(pairs, often, sizes, block)
-    near = apart.join(sides[0], "a").join(sides[1], "b").mapInArrow(verify, "a long, b long")
-
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         cross = pdf["side"].nunique() > 1
         return pd.DataFrame(_tile(pdf, cross, classes.value, num, den), columns=["a", "b"], dtype="int64")
 
-    dealt = dealt.join(wanted.select("id", "tokens"), "id")
-    return near.unionByName(dealt.groupBy("x", "y").applyInPandas(tile, "a long, b long"))
+    def compared(dealt: DataFrame) -> DataFrame:
+        return dealt.join(wanted.select("id", "tokens"), "id").groupBy("x", "y").applyInPandas(tile, "a long, b long")
+
+    sizes = sets.groupBy(F.col("rep").alias("id")).agg(F.sum("n_shingles").alias("n"))
+    dealt, apart, found = tiles(pairs, often, sizes, block, compared)
+    near = apart.join(sides[0], "a").join(sides[1], "b").mapInArrow(verify, "a long, b long")
+    near = near.unionByName(compared(dealt))
+    return near if found is None else near.unionByName(found)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -46,6 +46,27 @@ def test_components_match_brute_force(spark, docs, rows, width, num, den, few, b
     assert sorted((tuple(r) for r in found), key=str) == brute(rows, width, num, den)
 
 
+def test_a_large_group_of_near_copies_is_not_compared_unit_by_unit(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words, f"own{i}"])) for i in range(150)]
+    rows += [(1000 + i, " ".join([*words[:30], *(f"x{i}y{k}" for k in range(11))])) for i in range(5)]
+    met = []
+
+    def counted(df, name, *args, **kwargs):
+        out = written(df, name, *args, **kwargs)
+        if name == "meet":
+            met.append(out.count())
+        return out
+
+    written = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", counted)
+    monkeypatch.setattr(ngram_join.links, "__defaults__", (4, 400))
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 9, 10).collect()
+    assert sorted(tuple(r) for r in found) == sorted(brute(rows, 1, 9, 10))
+    # about 15 units: every two of them would be over 100 meetings
+    assert len(met) == 1 and met[0] <= 40
+
+
 def test_query_is_the_contract(spark, sf, rows):
     found = op9_ngram_join(spark, sf)
     assert found.columns == ["doc_id", "n_shingles", "component_id"]
