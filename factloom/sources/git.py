@@ -2,7 +2,8 @@
 
 Without a spec it compares the index with HEAD; a..b and a...b compare two trees (the second from the
 merge base only with merge_base=true); any other spec compares a commit with its first parent.
-Renames aren't sought: they are a deletion and an addition. Blobs are read in the tasks.
+Renames aren't sought: they are a deletion and an addition. Blobs are read in the tasks, by one
+git process each; a task gets `partition_rows` changes at most, and there are `partitions` tasks at least.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..lang.registry import language_of
 SCHEMA = "path string, language string, status string, before string, after string"
 EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
 NO_BLOB = "0" * 40
+PARTITION_ROWS = 1_000
 STATUS = {"A": "added", "C": "added", "M": "modified", "D": "deleted", "R": "renamed"}
 
 
@@ -65,14 +67,38 @@ def changes(repo: str, spec: str | None, merge_base: bool = False) -> list[tuple
     return sorted(out)
 
 
-def blob(repo: str, oid: str) -> str | None:
-    """Null where there is none, or it isn't UTF-8."""
-    if set(oid) == {"0"}:
-        return None
-    try:
-        return git(repo, "cat-file", "blob", oid).decode("utf-8")
-    except (subprocess.CalledProcessError, UnicodeDecodeError):
-        return None
+class BlobReader:
+    """Blobs of a repository by id, through one git process."""
+
+    def __init__(self, repo: str):
+        command = ["git", "-c", "safe.directory=*", "-C", repo, "cat-file", "--batch"]
+        self.process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+
+    def __enter__(self) -> BlobReader:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.process.stdin.close()
+        self.process.stdout.close()
+        self.process.wait()
+
+    def text(self, oid: str) -> str | None:
+        """Null where there is none, or it isn't UTF-8."""
+        if set(oid) == {"0"}:
+            return None
+        self.process.stdin.write(oid.encode() + b"\n")
+        self.process.stdin.flush()
+        fields = self.process.stdout.readline().split()
+        if not fields:  # the process is gone: an error of the task, not a blob that isn't there
+            raise OSError(f"git cat-file ended before {oid}")
+        if len(fields) != 3:
+            return None
+        raw = self.process.stdout.read(int(fields[2]))
+        self.process.stdout.read(1)
+        try:
+            return raw.decode("utf-8") if fields[1] == b"blob" else None
+        except UnicodeDecodeError:
+            return None
 
 
 def repo_context(path: str = ".") -> tuple[str, str]:
@@ -115,19 +141,21 @@ class DiffReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         found = changes(self.repo, self.options.get("spec"), self.options.get("merge_base") == "true")
-        n = max(1, min(len(found), int(self.options.get("partitions", "8"))))
+        most = int(self.options.get("partition_rows", PARTITION_ROWS))
+        n = max(1, min(len(found), max(int(self.options.get("partitions", "8")), -(-len(found) // most))))
         return [Blobs(found[k::n]) for k in range(n)]
 
     def read(self, partition: Blobs) -> Iterator[tuple]:
-        for path, status, before, after in partition.rows:
-            text = blob(self.repo, after)
-            if text is None and status in ("added", "modified") and set(after) == {"0"}:
-                try:
-                    with open(os.path.join(self.repo, path), encoding="utf-8") as f:
-                        text = f.read()
-                except (OSError, UnicodeDecodeError):
-                    text = None
-            yield path, language_of(path), status, blob(self.repo, before), text
+        with BlobReader(self.repo) as blobs:
+            for path, status, before, after in partition.rows:
+                text = blobs.text(after)
+                if text is None and status in ("added", "modified") and set(after) == {"0"}:
+                    try:
+                        with open(os.path.join(self.repo, path), encoding="utf-8") as f:
+                            text = f.read()
+                    except (OSError, UnicodeDecodeError):
+                        text = None
+                yield path, language_of(path), status, blobs.text(before), text
 
 
 class GitDiff(DataSource):

@@ -2,7 +2,7 @@
 
 Spark's file sources skip names that start with `_` or `.`, so `__init__.py` would be lost; this one
 lists files itself. Inside a git work tree, what git ignores is left out. Files are dealt to
-partitions by bytes, and read where they are parsed. A file that can't be read or isn't UTF-8 is a
+partitions of about `partition_bytes` (`partitions` of them at least), and read where they are parsed. A file that can't be read or isn't UTF-8 is a
 row with an error and no code. Filters on language and path reach the listing.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from ..lang.registry import language_of
 
 SCHEMA = "repo_id string, commit_sha string, file_path string, language string, code string, bytes bigint, error string"
+PARTITION_BYTES = 32 << 20
 
 
 def walk(top: str) -> Iterator[str]:
@@ -76,7 +77,8 @@ class TreeReader(DataSourceReader):
                 if any(fnmatch(path, p) or p in path for p in ignored) or any(x != language for x in self.languages) or not all(x in path for x in self.parts):
                     continue
                 found.append((os.path.getsize(self.real(path)), path, language))
-        n = max(1, min(len(found), int(self.options.get("partitions", "8"))))
+        each = int(self.options.get("partition_bytes", PARTITION_BYTES))
+        n = max(1, min(len(found), max(int(self.options.get("partitions", "8")), -(-sum(size for size, _, _ in found) // each))))
         heap: list[tuple[int, int, list]] = [(0, k, []) for k in range(n)]
         for size, path, language in sorted(found, reverse=True, key=lambda x: x[:2]):
             total, k, files = heapq.heappop(heap)

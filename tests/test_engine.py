@@ -114,6 +114,28 @@ def test_source_tree(spark, repo):
     assert len(explicit) == 1 and explicit[0]["language"] is None
 
 
+def test_sources_are_cut_by_size(spark, repo):
+    engine = Engine(spark)
+    engine.files([str(repo)]).count()  # registers the source
+    tree = spark.read.format("source_tree").option("path", str(repo)).option("partitions", "1")
+    assert tree.load().rdd.getNumPartitions() == 1
+    assert tree.option("partition_bytes", "1").load().rdd.getNumPartitions() == 4
+    engine.diffs("HEAD", str(repo)).count()
+    diff = spark.read.format("git_diff").option("path", str(repo)).option("spec", "HEAD").option("partitions", "1")
+    assert diff.load().rdd.getNumPartitions() == 1
+    cut = diff.option("partition_rows", "1").load()
+    assert cut.rdd.getNumPartitions() == 2 and cut.count() == 2
+
+
+def test_blobs_come_from_one_process(repo):
+    oids = {p: after for p, _, _, after in git.changes(str(repo), "HEAD~1")}
+    with git.BlobReader(str(repo)) as blobs:
+        assert blobs.text(oids["bad.py"]) is None  # not UTF-8
+        assert blobs.text("1" * 40) is None and blobs.text("0" * 40) is None
+        for path in (".gitignore", "note.txt", ".gitignore"):
+            assert blobs.text(oids[path]) == (repo / path).read_text()
+
+
 def test_git_diffs(spark, repo):
     engine = Engine(spark)
     found = lambda spec: sorted((r["path"], r["status"], r["before"], r["after"]) for r in engine.diffs(spec, str(repo)).collect())
