@@ -5,6 +5,8 @@ words. Each word has a sparse random index vector; its word vector is the sum of
 of the words next to it, over all documents. A document is the mean and the spread of its words'
 vectors. A two-layer numpy network is trained on a bounded sample of labelled rows, and its
 temperature is fitted on a fifth of them that the network hasn't seen, so scores are probabilities.
+Labels are smoothed for that by the number of rows of their class, (n + 1)/(n + 2) and 1/(n + 2):
+where few rows are told apart without error, plain labels would ask for ever more certain scores.
 
 Both passes over texts are maps; what is added up is one table of fixed size. Defined cases: null
 texts count as empty (a zero vector, scored as such); an empty `documents` gives an empty result;
@@ -138,7 +140,7 @@ class QualityModel:
 
 
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-3) -> tuple[tuple[np.ndarray, ...], float]:
-    """The layers, trained on four fifths, and the temperature with the least log loss on the others."""
+    """The layers, trained on four fifths, and the temperature with the least log loss, labels smoothed, on the others."""
     random = np.random.default_rng(SEED)
     order = random.permutation(len(y))
     fit, rest = order[len(y) // 5 :], order[: len(y) // 5]
@@ -159,9 +161,12 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, de
     layers = (center, scale, *weights[:3], weights[3])
     logits = np.tanh(z[rest] @ weights[0] + weights[1]) @ weights[2] + weights[3]
 
+    ones = y[rest].sum()
+    smooth = np.where(y[rest] == 1, (ones + 1) / (ones + 2), 1 / (len(rest) - ones + 2))
+
     def loss(temperature: float) -> float:
         s = np.clip(logits / temperature, -50, 50)
-        return float(np.mean(np.log1p(np.exp(s)) - y[rest] * s))
+        return float(np.mean(np.log1p(np.exp(s)) - smooth * s))
 
     return layers, min(np.exp(np.linspace(-2, 3, 101)), key=loss) if len(rest) else 1.0
 

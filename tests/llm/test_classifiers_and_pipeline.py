@@ -24,12 +24,23 @@ def accuracy(spark, df, target):
     return np.mean([a == b for a, b in rows]), np.mean([b for _, b in rows])
 
 
-@pytest.mark.parametrize(("query", "target"), [(op1_quality, "quality"), (op10_toxicity, "toxic")])
-def test_held_out_accuracy(spark, query, target):
+def auc(scores, labels):
+    """The share of pairs of both classes that are in order, ties by half."""
+    ones, zeros = ([s for s, y in zip(scores, labels, strict=True) if y == k] for k in (1, 0))
+    return np.mean([(a > b) + (a == b) / 2 for a in ones for b in zeros])
+
+
+@pytest.mark.parametrize(("query", "target", "least"), [(op1_quality, "quality", 0.95), (op10_toxicity, "toxic", 0.88)])
+def test_held_out_accuracy(spark, query, target, least):
     df = query(spark, SF).cache()
     assert df.columns == ["doc_id", "held_out", "score", "predicted"]
     right, share = accuracy(spark, df, target)
     assert right > max(share, 1 - share) + 0.01
+    judged = df.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").select("score", target).collect()
+    scores, truth = (np.array(x, dtype=float) for x in zip(*judged, strict=True))
+    assert auc(scores, truth) >= least
+    scores = np.clip(scores, 1e-12, 1 - 1e-12)
+    assert -np.mean(truth * np.log(scores) + (1 - truth) * np.log(1 - scores)) < 0.3
     rows = df.collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
     for r in rows:
@@ -106,6 +117,54 @@ def test_pooling_matches_token_by_token():
     assert len(tokens([b"one two, two!! three"])[0]) == 6
 
 
+def test_word_vectors_match_neighbour_by_neighbour(spark):
+    texts = ["one two three", "two one, one", "", None, "alone", "a b a b ! a"] * 3 + ["three two one"]
+    place, sign = quality.index_vectors()
+    want = np.zeros((quality.WORDS, quality.WIDTH))
+    for text in texts:
+        words, _ = tokens([(text or "").encode()])
+        for a, b in zip(words, words[1:]):
+            for x, y in ((a, b), (b, a)):
+                for k in range(quality.NONZERO):
+                    want[x, place[y, k]] += sign[y, k]
+    length = np.linalg.norm(want, axis=1, keepdims=True)
+    want = np.divide(want, length, out=np.zeros_like(want), where=length > 0)
+    want -= want[length[:, 0] > 0].mean(axis=0)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert np.allclose(quality.word_vectors(docs), want, atol=1e-5)
+
+
+def test_temperature_is_the_best_and_bounded_by_the_number_of_rows():
+    random = np.random.default_rng(1)
+    for noise in (0.0, 0.5, 2.0):
+        x = random.normal(size=(300, 4))
+        y = (x[:, 0] + noise * random.normal(size=300) > 0).astype(float)
+        (center, scale, w1, b1, w2, b2), found = quality.train(x, y)
+        rest = np.random.default_rng(quality.SEED).permutation(300)[:60]
+        logits = np.tanh((x[rest] - center) / scale @ w1 + b1) @ w2 + b2
+        ones = int(y[rest].sum())
+
+        def loss(t):
+            p = 1 / (1 + np.exp(-logits / t))
+            q = [(ones + 1) / (ones + 2) if label else 1 / (60 - ones + 2) for label in y[rest]]
+            return -sum(a * np.log(b) + (1 - a) * np.log(1 - b) for a, b in zip(q, p, strict=True))
+
+        assert all(loss(found) <= loss(t) + 1e-6 for t in np.exp(np.linspace(-2, 3, 101)))
+        if not noise:  # told apart without error: no row is certain beyond what 60 rows can show
+            assert np.median(np.abs(logits / found)) < 2 * np.log(61)
+
+
+def test_word_vectors_alone_tell_quality(spark):
+    vectors = quality.word_vectors(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    rows = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").orderBy("doc_id").select("doc_id", "text", "quality").collect()
+    x = pool([r["text"] for r in rows], vectors).astype(float)
+    x[:, 2 * quality.WIDTH :] = 0
+    y = np.array([r["quality"] for r in rows], dtype=float)
+    held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows])
+    model = quality.QualityModel(vectors, *quality.train(x[~held], y[~held]))
+    assert auc(model.logits(x[held]), y[held]) >= 0.9
+
+
 def test_tree_sum(spark):
     import pandas as pd  # noqa: F401
     from pyspark import TaskContext
