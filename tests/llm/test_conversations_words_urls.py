@@ -113,7 +113,7 @@ def test_repairs_match_a_search(spark, talk):
     assert {e for r in want.values() for e in r[6]} == set("DKR")  # at these costs nothing is worth putting in
 
 
-@pytest.mark.parametrize("insert", [1, 2, 3])
+@pytest.mark.parametrize("insert", [1, 2])
 def test_rows_are_put_in_where_that_is_cheap(monkeypatch, insert):
     monkeypatch.setattr(conversations, "INSERT", insert)
     rng = random.Random(insert)
