@@ -6,6 +6,7 @@ DataFrame work on the relations.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..lang import COLUMNS, file_facts
 from ..lang.registry import EXTENSIONS
-from ..functions.scalar import escape_text, loc
+from ..functions.scalar import checksum, escape_text, loc
 
 PROVENANCE = ("repo_id", "commit_sha", "file_path")
 _LONGS = frozenset(("seq", "line", "arity", "position", "called_arity"))
@@ -35,6 +36,12 @@ RELATIONS = {
     "depends_on": ("module_id", "dep_name", "kind", "line"),
     "calls_external": ("caller_id", "called_module", "called_func", "called_arity", "line"),
 }
+#: Counts of a file, and the predicates whose facts they count; loc are its lines.
+COUNTED = {"modules": "module", "functions": "function", "calls": "calls_external", "dependencies": "depends_on"}
+COUNTS = (*COUNTED, "loc")
+KNOWN = sorted({language for _, language, _, _ in EXTENSIONS})
+#: Facts of a batch that leaves a parser, about.
+FLUSH = 8_192
 FILES = "repo_id string, commit_sha string, file_path string, language string, code string"
 
 
@@ -45,18 +52,53 @@ def extract_facts(files: DataFrame, predicates: list[str] | None = None) -> Data
     can't read is a fact of predicate `error`. predicates: those wanted, all if left out.
     """
     wanted = frozenset(predicates) if predicates else None
-
     arrow = pa.schema([(f.name, pa.int64() if f.name in _LONGS else pa.string()) for f in FACTS])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: dict[str, list] = {f.name: [] for f in FACTS}
+
+        def full() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+            for values in columns.values():
+                values.clear()
+            return batch
+
         for batch in batches:
             for file in batch.to_pylist():
-                code = file.pop("code")
-                rows = [r | file for r in file_facts(code, file["language"], file["file_path"]) if not wanted or r["predicate"] in wanted]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows = file_facts(file["code"], file["language"], file["file_path"])
+                rows = [r for r in rows if r["predicate"] in wanted] if wanted else rows
+                for c in COLUMNS:
+                    columns[c].extend([r.get(c) for r in rows])
+                for c in (*PROVENANCE, "language"):
+                    columns[c].extend([file[c]] * len(rows))
+                if len(columns["predicate"]) >= FLUSH:
+                    yield full()
+        if columns["predicate"]:
+            yield full()
+
+    return files.select("repo_id", "commit_sha", "file_path", "language", "code").where(F.col("code").isNotNull() & F.col("language").isin(KNOWN)).mapInArrow(parse, FACTS)
+
 
-    known = sorted({language for _, language, _, _ in EXTENSIONS})
-    return files.select("repo_id", "commit_sha", "file_path", "language", "code").where(F.col("code").isNotNull() & F.col("language").isin(known)).mapInArrow(parse, FACTS)
+def file_counts(files: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """repo_id, commit_sha, file_path, language, the columns of `carried`, checksum and COUNTS of each file, in one map.
+
+    A file without code has no checksum and counts of 0; one of an unknown language has its lines only.
+    """
+    carried = carried or []
+    given = files.select(*PROVENANCE, "language", *carried, checksum("code").alias("checksum"), F.coalesce(loc("code"), F.lit(0)).alias("loc"), "code")
+    schema = T.StructType([*(f for f in given.schema if f.name not in ("code", "loc")), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: dict[str, list] = {c: [] for c in COUNTED}
+            for code, language, path in zip(*(batch.column(c).to_pylist() for c in ("code", "language", "file_path")), strict=True):
+                found = Counter(r["predicate"] for r in file_facts(code, language, path)) if code is not None and language in KNOWN else Counter()
+                for c, predicate in COUNTED.items():
+                    columns[c].append(found[predicate])
+            kept = [batch.column(f.name) for f in schema if f.name not in COUNTS]
+            yield pa.RecordBatch.from_arrays([*kept, *(batch.column("loc") if c == "loc" else pa.array(columns[c], pa.int64()) for c in COUNTS)], names=schema.names)
+
+    return given.mapInArrow(counted, schema)
 
 
 @dataclass
