@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import diff, queries as q, store
 from ..operators.extract import Relations, extract_facts, file_summary, render, run_totals
-from ..streaming import windows
+from ..streaming import late, running, windows
 from ..sources import patch
 from .corpus import COMMITS, TEMPLATES, corpus, history, stored_facts, table
 
@@ -647,4 +647,19 @@ def commit_windows_session(spark, sf):
     FROM h GROUP BY path, i)""", HIST))
 def stream_file_arrival(spark, sf):
     """Files arrive as a stream; those with a checksum seen before are left out."""
-    return windows.arrivals(spark, history(spark, sf), f"arrivals_{abs(hash(sf))}")
\ No newline at end of file
+    return windows.arrivals(spark, history(spark, sf), f"arrivals_{abs(hash(sf))}")
+
+
+@query(with_base("""SELECT 'tables' AS repo_id, 'python' AS language, count(DISTINCT path) AS files, count(DISTINCT path) AS modules, count(*) AS functions, count(*) AS calls,
+  count(DISTINCT path) AS dependencies, count(DISTINCT path) + 2 * count(*) AS loc FROM (SELECT path, i, max(i) OVER (PARTITION BY path) AS last FROM h) WHERE i = last""", HIST))
+def stream_running_summary(spark, sf):
+    """Files of four commits arrive in batches; a file's counts are taken back when its next version comes."""
+    return running.totals(spark, running.summarised(spark, history(spark, sf).withColumn("version", F.substr("commit_sha", F.lit(2)).cast("int"))))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS changes FROM events GROUP BY ALL")
+def stream_windows_late(spark, sf):
+    """Windows that close, windows still open and late rows, of a stream that is far out of order, are all rows."""
+    events = table(spark, sf, "events").withColumn("part", (F.col("event_id") % 3).cast("int"))
+    found = late.accounted(spark, events, ["event_type"], "1 day", "6 hours", ["event_id", "ts"])
+    return found.groupBy("event_type", F.col("start").cast("timestamp_ntz").alias("start")).agg(F.sum("changes").alias("changes"))

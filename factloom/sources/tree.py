@@ -39,6 +39,17 @@ def walk(top: str) -> Iterator[str]:
                     yield path
 
 
+def dealt(sized: list[tuple[int, tuple]], each: int, least: int) -> list[list[tuple]]:
+    """Items in groups of about `each` in size, `least` groups where there are as many items; the largest items first."""
+    n = max(1, min(len(sized), max(least, -(-sum(size for size, _ in sized) // each))))
+    heap: list[tuple[int, int, list]] = [(0, k, []) for k in range(n)]
+    for size, item in sorted(sized, reverse=True, key=lambda x: (x[0], x[1][0])):
+        total, k, items = heapq.heappop(heap)
+        items.append(item)
+        heapq.heappush(heap, (total + size, k, items))
+    return [items for _, _, items in sorted(heap, key=lambda x: x[1])]
+
+
 class Chunk(InputPartition):
     def __init__(self, files: list[tuple[str, str | None]]):
         self.files = files
@@ -78,13 +89,7 @@ class TreeReader(DataSourceReader):
                     continue
                 found.append((os.path.getsize(self.real(path)), path, language))
         each = int(self.options.get("partition_bytes", PARTITION_BYTES))
-        n = max(1, min(len(found), max(int(self.options.get("partitions", "8")), -(-sum(size for size, _, _ in found) // each))))
-        heap: list[tuple[int, int, list]] = [(0, k, []) for k in range(n)]
-        for size, path, language in sorted(found, reverse=True, key=lambda x: x[:2]):
-            total, k, files = heapq.heappop(heap)
-            files.append((path, language))
-            heapq.heappush(heap, (total + size, k, files))
-        return [Chunk(files) for _, _, files in sorted(heap, key=lambda x: x[1])]
+        return [Chunk(files) for files in dealt([(size, (path, language)) for size, path, language in found], each, int(self.options.get("partitions", "8")))]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
         repo, sha = self.options.get("repo_id", "unknown"), self.options.get("commit_sha", "HEAD")

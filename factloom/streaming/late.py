@@ -11,6 +11,7 @@ and `open_windows()` add up, so a busy key is spread over as many tasks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from datetime import timezone
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from ..operators.store import work_dir
 from .state import kept, keyed_state
 
 SALTS = 8
@@ -111,3 +113,17 @@ def open_windows(spark: SparkSession, checkpoint: str, keys: list[str]) -> DataF
     """keys, start, changes so far of the windows that are still open."""
     own = [F.col(f"key.{k}").alias(k) for k in (*keys, "start")]
     return kept(spark, checkpoint, "count").select(*own, F.col("value.n").alias("n")).groupBy(*keys, "start").agg(F.sum("n").alias("changes"))
+
+
+def accounted(spark: SparkSession, events: DataFrame, keys: list[str], width: str, delay: str, carried: list[str]) -> DataFrame:
+    """kind (window, open or late), keys, start, changes of events that arrive as a stream, by the parts of a column `part`."""
+    folder = f"{work_dir(spark)}/late-{uuid.uuid4().hex}"
+    for part in sorted(r["part"] for r in events.select("part").distinct().collect()):  # a part is a few batches of its own
+        events.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
+    written = spark.read.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", -(-len(written.inputFiles()) // 3)).parquet(f"{folder}/in")
+    keep(with_late(stream, keys, width, delay, carried, salts=2), f"{folder}/out", f"{folder}/state").awaitTermination()
+    lates = late(spark, f"{folder}/out").groupBy(*keys, "start").agg(F.count("*").alias("changes"))
+    parts = {"window": closed(spark, f"{folder}/out", keys), "open": open_windows(spark, f"{folder}/state", keys), "late": lates}
+    named = [df.select(F.lit(kind).alias("kind"), *keys, "start", "changes") for kind, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])

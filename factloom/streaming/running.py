@@ -15,6 +15,7 @@ so a restart from the checkpoint neither loses nor repeats any.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.extract import COUNTS, file_counts
-from ..operators.store import delete, exists
+from ..operators.store import delete, exists, work_dir
 from .state import keyed_state
 
 TOTALS = ("files", *COUNTS)
@@ -131,3 +132,14 @@ def compact(spark: SparkSession, path: str) -> None:
         delete(spark, f"{path}/batch={n}")
     for n in old:
         delete(spark, f"{path}/base/upto={n}")
+
+
+def summarised(spark: SparkSession, files: DataFrame) -> str:
+    """Lets files (with a column `version`) arrive as a stream, in four batches or more, and returns the folder of their totals."""
+    folder = f"{work_dir(spark)}/running-{uuid.uuid4().hex}"
+    timed = files.withColumn("arrived", F.timestamp_seconds("version")).drop("version")
+    timed.write.parquet(f"{folder}/in")
+    written = spark.read.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", -(-len(written.inputFiles()) // 4)).parquet(f"{folder}/in")
+    keep_totals(stream, f"{folder}/totals", f"{folder}/state").awaitTermination()
+    return f"{folder}/totals"

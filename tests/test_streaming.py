@@ -9,6 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from factloom.operators.extract import COUNTS, Relations, extract_facts, file_counts, file_summary
+from factloom.sources import arrivals
 from factloom.streaming import late, running, windows
 
 FILES = "repo_id string, commit_sha string, file_path string, language string, code string, arrived timestamp"
@@ -186,3 +187,98 @@ def test_windows_go_on_after_a_restart(spark, tmp_path):
     lost = counted(late.late(spark, path).groupBy("event_type", "start").agg(F.count("*").alias("changes")))
     assert found + lost == counted(windows.tumbling(spark.read.parquet(one).where("ts is not null"), "10 minutes"))
     assert sum(lost.values()) >= 2
+
+
+# files that arrive
+
+
+def arrive(spark, folder, out, checkpoint, fail_at=None, **options):
+    """Runs the stream till nothing is left; each batch is a table of its own, so one run again replaces itself."""
+
+    def write(batch, number):
+        if number == fail_at:
+            batch.limit(1).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            raise RuntimeError("stopped")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    arrivals.register(spark)
+    read = spark.readStream.format("source_arrivals").option("path", str(folder))
+    for k, v in options.items():
+        read = read.option(k, v)
+    run = read.load().writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+
+
+def arrived(spark, out):
+    found = [r for n in os.listdir(out) for r in spark.read.parquet(f"{out}/{n}").collect()]
+    return sorted(((os.path.basename(r["file_path"]), r["code"], r["error"]) for r in found), key=str)
+
+
+def test_files_arrive_once_whatever_stops(spark, tmp_path):
+    folder, out, checkpoint = tmp_path / "src", f"{tmp_path}/out", f"{tmp_path}/state"
+    folder.mkdir()
+    for i in range(7):
+        (folder / f"f{i}.py").write_text(f"x = {i}\n")
+    (folder / "bad.py").write_bytes(b"\xff\xff")
+    (folder / "note.txt").write_text("no source")
+    with pytest.raises(StreamingQueryException, match="stopped"):
+        arrive(spark, folder, out, checkpoint, fail_at=1, max_files=3)
+    entries = len(arrivals.ArrivalLog(f"{folder}/.factloom-arrivals").numbers("entry"))
+    assert entries >= 2
+    # listed, but the stream stopped before it planned a batch
+    (folder / "late.py").write_text("y = 1\n")
+    reader = arrivals.ArrivalsReader({"path": str(folder), "max_files": "2"})
+    reader.latestOffset()
+    arrive(spark, folder, out, checkpoint, max_files=3)
+    got = arrived(spark, out)
+    assert [(n, c) for n, c, _ in got] == [("bad.py", None), *((f"f{i}.py", f"x = {i}\n") for i in range(7)), ("late.py", "y = 1\n")]
+    assert [e is not None for _, _, e in got] == [True] + [False] * 8
+    arrive(spark, folder, out, checkpoint)
+    assert arrived(spark, out) == got
+    (folder / "f3.py").write_text("x = 33\n")
+    (folder / "f4.py").unlink()
+    arrive(spark, folder, out, checkpoint)
+    assert arrived(spark, out) == sorted([*got, ("f3.py", "x = 33\n", None), ("f4.py", None, None)], key=str)
+
+
+def test_batches_are_limited_and_replayed(tmp_path, monkeypatch):
+    monkeypatch.setattr(arrivals, "SNAPSHOT", 3)
+    for i in range(10):
+        (tmp_path / f"f{i}.py").write_text("#" * (10 * i))
+        os.utime(tmp_path / f"f{i}.py", ns=(i, i))
+    make = lambda **o: arrivals.ArrivalsReader({"path": str(tmp_path), **o})
+    reader = make(max_files="4", max_bytes="100")
+    sizes, start = [], reader.initialOffset()
+    while (end := reader.latestOffset()) != start:
+        files = [f for p in reader.partitions(start, end) for f in p.files]
+        sizes.append(len(files))
+        again = [f for p in make().partitions(start, end) for f in p.files]
+        assert sorted(again) == sorted(files)
+        reader.commit(end)
+        start = end
+    assert sizes == [4, 2, 1, 1, 1, 1]
+    assert reader.log.numbers("snapshot") == [6] and reader.log.numbers("entry") == [4, 5, 6]
+    assert make().latestOffset() == end  # a new reader finds nothing new
+    rows = list(reader.read(arrivals.Files([(str(tmp_path / "f1.py"), 10, 1, 5), (str(tmp_path / "f2.py"), 1, 1, 5), (str(tmp_path / "none.py"), 1, 1, 5)])))
+    assert [(r[4], r[6] is None) for r in rows] == [("#" * 10, True), (None, False), (None, False)]
+    with pytest.raises(FileExistsError):
+        reader.log.write(6, {})
+
+
+def test_arrivals_feed_running_totals(spark, tmp_path):
+    folder = tmp_path / "src"
+    folder.mkdir()
+    (folder / "a.py").write_text(code(3))
+    (folder / "b.rs").write_text("fn f() {}\n")
+    arrivals.register(spark)
+    stream = spark.readStream.format("source_arrivals").option("path", str(folder)).option("repo_id", "r").load()
+    go = lambda: running.keep_totals(stream, f"{tmp_path}/totals", f"{tmp_path}/state").awaitTermination()
+    go()
+    (folder / "a.py").write_text(code(5, 2))
+    (folder / "b.rs").unlink()
+    go()
+    found = totals(running.totals(spark, f"{tmp_path}/totals"))
+    assert found == batch_summary(spark, [("r", "HEAD", "a.py", "python", code(5, 2), at(0))])
