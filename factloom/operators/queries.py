@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import callee_base
 from .extract import PROVENANCE, Relations
+from .intervals import overlaps
 from .store import cut
 
 REPO = ["repo_id", "commit_sha"]
+#: The end of a file's last function, as facts don't hold where files end.
+LAST_LINE = (1 << 31) - 1
 TEST_NAME = r"^test|_test\z"
 TEST_PATH = r"(^|/)(tests?|spec)/|_test\.|\.test\.|\.spec\.|(^|/)test_"
 #: prefix of a name, pattern of forbidden callees (null: it must call something that matches the next), pattern required, message
@@ -225,6 +228,19 @@ def line_spans(r: Relations) -> DataFrame:
     return r.function.withColumn("span", following - F.col("line"))
 
 
+def function_spans(r: Relations) -> DataFrame:
+    """Functions with start and end, their lines up to the next function of the file; the last one's end is LAST_LINE."""
+    following = F.lead("line").over(Window.partitionBy(*PROVENANCE).orderBy("line", "seq"))
+    end = F.greatest("line", F.coalesce(following - 1, F.lit(LAST_LINE)))
+    return r.function.select(*PROVENANCE, "func_id", "name", F.col("line").alias("start"), end.alias("end"))
+
+
+def touched_functions(r: Relations, hunks: DataFrame) -> DataFrame:
+    """hunks (repo_id, commit_sha, file_path, start, end and others) with each function, func_id and name, whose lines they overlap."""
+    pairs = overlaps(hunks, function_spans(r), list(PROVENANCE))
+    return pairs.select("left.*", "right.func_id", "right.name")
+
+
 def enclosing_functions(r: Relations, lines: DataFrame) -> DataFrame:
     """lines (repo_id, commit_sha, file_path, line) with the function that each stands in: the last that
     starts at or above it, by one sweep over each file."""

@@ -16,7 +16,7 @@ from ..operators import diff, queries as q, store
 from ..operators.extract import Relations, extract_facts, file_summary, render, run_totals
 from ..streaming import late, running, windows
 from ..sources import patch
-from .corpus import COMMITS, TEMPLATES, corpus, history, stored_facts, table
+from .corpus import COMMITS, REPO, TEMPLATES, corpus, history, stored_facts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -493,6 +493,26 @@ def changed_line_functions(spark, sf):
     return q.enclosing_functions(r, lines).select("file_path", "line", "func_id")
 
 
+HUNKS = """hk AS (SELECT path, o AS hunk, l_linenumber AS n, l_suppkey AS s, 1 + (o * 7 + l_linenumber * 131) % 900 AS lo, 1 + (o * 7 + l_linenumber * 131) % 900 + CASE l_linenumber WHEN 7 THEN 5000 WHEN 6 THEN 300 ELSE l_suppkey % 9 END AS hi
+  FROM (SELECT fn.path, l_orderkey AS o, l_linenumber, l_suppkey FROM lineitem JOIN fn ON fn.k = l_partkey)),
+  sp AS (SELECT path, func_id, line, coalesce(lead(line) OVER (PARTITION BY path ORDER BY line) - 1, 2147483647) AS last FROM ln)"""
+
+
+@query(with_base("SELECT hk.path AS file_path, hunk, n, s, lo, hi, func_id FROM hk JOIN sp ON sp.path = hk.path AND line <= hi AND lo <= last", HUNKS))
+def hunk_functions(spark, sf):
+    """Every line item stands for a hunk of its part's file, some of them long: the functions that each overlaps."""
+    r = facts(spark, sf)
+    where = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr(f"{STEM} || '.py'").alias("file_path"))
+    low = 1 + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131) % 900
+    length = F.when(F.col("l_linenumber") == 7, 5000).when(F.col("l_linenumber") == 6, 300).otherwise(F.col("l_suppkey") % 9)
+    hunks = table(spark, sf, "lineitem").join(where, "l_partkey").select(
+        F.lit(REPO).alias("repo_id"), F.lit(COMMITS[0]).alias("commit_sha"), "file_path", F.col("l_orderkey").alias("hunk"), F.col("l_linenumber").alias("n"),
+        F.col("l_suppkey").alias("s"), low.alias("start"), (low + length).alias("end"),
+    )
+    found = q.touched_functions(r, hunks).withColumnsRenamed({"start": "lo", "end": "hi"})
+    return found.select("file_path", "hunk", "n", "s", "lo", "hi", "func_id")
+
+
 @query(with_base("SELECT a.path AS file_path, a.name, 'high' AS severity, 'removed_but_called' AS type FROM h a WHERE a.i = 0 AND a.vis = 'public' AND NOT EXISTS (SELECT 1 FROM h b WHERE b.i = 3 AND b.k = a.k) AND EXISTS (SELECT 1 FROM h b WHERE b.i = 3 AND b.callee = a.name)", HIST))
 def diff_concerns(spark, sf):
     return diff.concerns(commit(spark, sf, "c0"), commit(spark, sf, "c3"))

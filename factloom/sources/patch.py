@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -124,4 +124,25 @@ def parse_patches(patches: DataFrame, key: str, text: str = "text") -> DataFrame
     return files.select(key, "file", "path", language("path").alias("language"), "status", side("-", "+", "added").alias("before"), side("+", "-", "deleted").alias("after"))
 
 
-__all__ = ["MalformedPatch", "file_diffs", "header_paths", "parse_patches", "register"]
+def hunks(patches: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, path, hunk, old_start, old_end, new_start, new_end of every hunk: the lines it covers before and after.
+
+    A side without lines has an end before its start. A hunk's header without a count covers one line.
+    """
+    lines = patches.select(key, F.posexplode(F.split(F.col(text), "\r?\n")).alias("at", "line"))
+    heads = lines.where(F.startswith("line", F.lit(HEADER)) | F.startswith("line", F.lit("@@")))
+    old, new = _path(F.substr("line", F.lit(len(HEADER) + 1)))
+    path = F.when(F.startswith("line", F.lit(HEADER)), F.when(new != "/dev/null", new).otherwise(old))
+    above = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = heads.withColumn("path", F.last(path, ignorenulls=True).over(above)).where(F.startswith("line", F.lit("@@")) & F.col("path").isNotNull())
+    part = lambda i: F.regexp_extract("line", r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", i)
+    number = lambda i: F.when(part(i) != "", part(i).cast("long"))
+    ends = []
+    for side, i in (("old", 1), ("new", 3)):
+        ends += [number(i).alias(f"{side}_start"), (number(i) + F.coalesce(number(i + 1), F.lit(1)) - 1).alias(f"{side}_end")]
+    placed = placed.where(part(1) != "")
+    counted = placed.withColumn("hunk", F.row_number().over(Window.partitionBy(key, "path").orderBy("at")).cast("long"))
+    return counted.select(key, "path", "hunk", *ends)
+
+
+__all__ = ["MalformedPatch", "file_diffs", "header_paths", "hunks", "parse_patches", "register"]
