@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     lens = commands.add_parser("lens")
     lens.add_argument("paths", nargs="*", default=["."])
     lens.add_argument("--language")
+    lens.add_argument("--prune", action="store_true", help="drop stored facts of files that are gone")
     query = commands.add_parser("query")
     query.add_argument("name", choices=sorted(QUERIES))
     query.add_argument("--commit")
@@ -57,11 +58,12 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     config = Config.load(args.config)
     if args.command == "status":
-        print("repo {} at {:.8}; store {}".format(*repo_context("."), config.resolve_store(args.store)))
+        repo, sha = repo_context(".")
+        print(f"repo {config.repo_id or repo} at {sha:.8}; store {config.resolve_store(args.store)}")
         return 0
-    engine = Engine(session("local[*]"), config.resolve_store(args.store))
+    engine = Engine(session("local[*]"), config.resolve_store(args.store), config.repo_id)
     if args.command == "lens":
-        show(engine.lens(args.paths, args.language, config.ignore_patterns).groupBy("predicate").count(), args.output, args.limit)
+        show(engine.lens(args.paths, args.language, config.ignore_patterns, args.prune).groupBy("predicate").count(), args.output, args.limit)
     elif args.command == "query":
         facts = None if engine.store else engine.lens([args.path], ignore=config.ignore_patterns)
         show(engine.query(args.name, args.commit, facts), args.output, args.limit)

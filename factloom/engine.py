@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from .operators import diff as compare
 from .operators import queries as q
 from .operators.extract import FACTS, Relations, extract_facts
-from .operators.store import upsert
-from .sources import git, patch, tree
+from .operators.sketches import estimates, file_sketches, merged
+from .operators.store import KEY, cut, exists, unknown_files, upsert
+from .sources import git, listing, patch, tree
 
 QUERIES: dict[str, Callable[[Relations], DataFrame]] = {
     "orphans": q.orphans,
@@ -25,32 +26,77 @@ QUERIES: dict[str, Callable[[Relations], DataFrame]] = {
 }
 
 
+#: Of the parsers; facts of another version are extracted anew.
+VERSION = "3"
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, store: str | None = None):
-        self.spark, self.store = spark, store
+    """store: a folder for facts; beside it lie `<store>.manifest` (which files, by checksum and last
+    commit, the facts stand for) and `<store>.sketches`."""
+
+    def __init__(self, spark: SparkSession, store: str | None = None, repo_id: str | None = None):
+        self.spark, self.store, self.repo_id = spark, store, repo_id
+        #: Files that the last lens() with a store read as text.
+        self.parsed = 0
+        listing.register(spark)
         tree.register(spark)
         git.register(spark)
 
-    def files(self, paths: list[str], language: str | None = None, ignore: list[str] | None = None) -> DataFrame:
+    def listing(self, paths: list[str], language: str | None = None, ignore: list[str] | None = None) -> DataFrame:
+        """The files of source trees by name and size; tasks list the folders."""
         first = paths[0] if paths else "."
         repo, sha = git.repo_context(os.path.dirname(first) or "." if os.path.isfile(first) else first)
-        read = self.spark.read.format("source_tree").option("path", ",".join(paths or ["."])).option("cwd", os.getcwd())
-        read = read.option("repo_id", repo).option("commit_sha", sha)
-        files = read.option("ignore_patterns", ",".join(ignore or [])).load()
-        return files.where(F.col("language") == language.lower()) if language else files
-
-    def lens(self, paths: list[str], language: str | None = None, ignore: list[str] | None = None) -> DataFrame:
-        """Facts of source trees; with a store, the facts of these files are replaced there."""
-        files = self.files(paths, language, ignore)
-        facts = extract_facts(files)
-        if self.store:
-            upsert(facts, self.store, files=files)
-            return self.facts()
-        return facts
+        read = self.spark.read.format("source_listing").option("path", ",".join(paths or ["."])).option("cwd", os.getcwd())
+        read = read.option("repo_id", self.repo_id or repo).option("commit_sha", sha)
+        found = read.option("ignore_patterns", ",".join(ignore or [])).load()
+        return found.where(F.col("language") == language.lower()) if language else found
+
+    def files(self, paths: list[str], language: str | None = None, ignore: list[str] | None = None) -> DataFrame:
+        return listing.read_code(listing.dealt_by_size(self.listing(paths, language, ignore)))
+
+    def lens(self, paths: list[str], language: str | None = None, ignore: list[str] | None = None, prune: bool = False) -> DataFrame:
+        """Facts of source trees. With a store, only files whose checksum it doesn't know are read as text
+        and parsed, and replace their facts there; with prune, files that are gone from these trees lose theirs."""
+        if not self.store:
+            return extract_facts(self.files(paths, language, ignore))
+        signed = cut(listing.checksums(listing.dealt_by_size(self.listing(paths, language, ignore))), "signed")
+        changed = cut(unknown_files(signed, f"{self.store}.manifest", VERSION), "changed")
+        self.parsed = changed.count()
+        replaced = changed.select(*KEY)
+        if prune:
+            replaced = replaced.unionByName(self.gone(paths, signed))
+        facts = cut(extract_facts(listing.read_code(changed)), "facts")
+        upsert(facts, self.store, files=replaced)
+        upsert(file_sketches(Relations(facts)), f"{self.store}.sketches", files=replaced)
+        # last, so that a run that fails before is done again
+        seen = signed.select(*KEY, "commit_sha", "checksum", F.lit(VERSION).alias("version"))
+        upsert(seen.where("checksum is not null"), f"{self.store}.manifest", files=signed.select(*KEY).unionByName(replaced))
+        return self.facts()
+
+    def gone(self, paths: list[str], found: DataFrame) -> DataFrame:
+        """Files of the manifest below these paths that the listing no longer has."""
+        manifest = f"{self.store}.manifest"
+        if not exists(self.spark, manifest):
+            return found.select(*KEY).limit(0)
+        below = F.lit(False)
+        for path in paths or ["."]:
+            below = below | (F.col("file_path") == path) | F.startswith("file_path", F.lit(os.path.join(path, "")))
+        repo = found.select("repo_id").distinct()
+        return self.spark.read.parquet(manifest).where(below).select(*KEY).join(repo, "repo_id", "left_semi").join(found.select(*KEY), KEY, "left_anti")
 
     def facts(self, commit: str | None = None) -> DataFrame:
+        """Stored facts; of a commit, those of the files that were last seen in it, whenever they were parsed."""
         stored = self.spark.read.parquet(self.store).select(*FACTS.names)
-        return stored.where(F.col("commit_sha") == commit) if commit else stored
+        if commit is None:
+            return stored
+        if not exists(self.spark, f"{self.store}.manifest"):
+            return stored.where(F.col("commit_sha") == commit)
+        seen = self.spark.read.parquet(f"{self.store}.manifest").where(F.col("commit_sha") == commit).select(*KEY)
+        return stored.join(seen, KEY, "left_semi").withColumn("commit_sha", F.lit(commit)).select(*FACTS.names)
+
+    def sketches(self, by: list[str]) -> DataFrame:
+        """Counts, distinct callees and quantiles of complexity of the store's files by any of their columns."""
+        return estimates(merged(self.spark.read.parquet(f"{self.store}.sketches"), by))
 
     def query(self, name: str, commit: str | None = None, facts: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
         """history: the stored commits in order (commit_sha, ordinal), by which hotspots rates change;

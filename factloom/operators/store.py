@@ -64,6 +64,15 @@ def replace_files(stored: DataFrame, fresh: DataFrame, files: DataFrame) -> Data
     return stored.join(files.select(*KEY).distinct(), KEY, "left_anti").unionByName(fresh)
 
 
+def unknown_files(signed: DataFrame, path: str, version: str) -> DataFrame:
+    """Files (KEY, checksum) that the manifest at path doesn't hold by checksum and version of the parsers."""
+    spark = signed.sparkSession
+    if not exists(spark, path):
+        return signed
+    known = spark.read.parquet(path).where(F.col("version") == version).select(*KEY, "checksum")
+    return signed.join(known, [*KEY, "checksum"], "left_anti")
+
+
 def upsert(fresh: DataFrame, path: str, buckets: int = 64, files: DataFrame | None = None) -> None:
     """Replaces the facts of all files in fresh in a table that is partitioned by a hash of the file.
 

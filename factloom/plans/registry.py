@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import diff, queries as q, store
+from ..operators import diff, queries as q, sketches, store
 from ..operators.extract import Relations, extract_facts, file_summary, render, run_totals
 from ..streaming import late, running, windows
 from ..sources import patch
@@ -281,6 +281,24 @@ def summary_grouping_sets(spark, sf):
     return spark.sql("SELECT visibility, count(*) AS functions, sum(arity) AS parameters, count(DISTINCT file_path) AS files FROM fl_function GROUP BY GROUPING SETS ((visibility), ())")
 
 
+@query(with_base("""SELECT folder, count(*) AS functions, any_value(c.calls) AS calls, any_value(c.callees) AS callees, TRUE AS callees_within, TRUE AS median_within, TRUE AS tail_within
+  FROM (SELECT regexp_extract(path, '^src/[^/]*') AS folder FROM fn) f JOIN (SELECT regexp_extract(path, '^src/[^/]*') AS folder, count(*) AS calls, count(DISTINCT callee) AS callees FROM cl GROUP BY 1) c USING (folder) GROUP BY folder"""))
+def sketch_summary(spark, sf):
+    """Sketches of files merged by folder, held against the exact values and the bounds that they promise."""
+    r = facts(spark, sf)
+    folder = F.regexp_extract("file_path", "^src/[^/]*", 0).alias("folder")
+    found = sketches.estimates(sketches.merged(sketches.file_sketches(r).withColumn("folder", folder), ["folder"]))
+    exact = q.calls(r).select(folder, "base").groupBy("folder").agg(F.countDistinct("base").alias("exact"))
+    values = q.complexity(r).select(folder, F.col("complexity").alias("value"))
+    ranks = values.join(found.select("folder", F.col("complexity").alias("at")), "folder").groupBy("folder").agg(
+        *(F.avg((F.col("value") < F.col("at")[i]).cast("int")).alias(f"below{i}") for i in (0, 1)), *(F.avg((F.col("value") <= F.col("at")[i]).cast("int")).alias(f"upto{i}") for i in (0, 1))
+    )
+    within = lambda i, rank: (F.col(f"below{i}") <= rank + sketches.RANK_ERROR) & (F.col(f"upto{i}") >= rank - sketches.RANK_ERROR)
+    near = F.abs(F.col("callees") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * sketches.COUNT_ERROR)
+    joined = found.join(exact, "folder").join(ranks, "folder")
+    return joined.select("folder", "functions", "calls", F.col("exact").alias("callees"), near.alias("callees_within"), within(0, 0.5).alias("median_within"), within(1, 0.9).alias("tail_within"))
+
+
 @query(with_base("SELECT path AS file_path, func_id, line, name || '(' || array_to_string(list_transform(range(arity), lambda p: 'a' || p), ', ') || ')' AS signature FROM ln"))
 def signature_report(spark, sf):
     return q.signatures(facts(spark, sf)).select("file_path", "func_id", "line", "signature")
