@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lang.registry import language_of, own_extensions
 from .operators import diff as compare
 from .operators import queries as q
 from .operators.extract import FACTS, Relations, extract_facts
@@ -48,7 +49,7 @@ class Engine:
         repo, sha = git.repo_context(os.path.dirname(first) or "." if os.path.isfile(first) else first)
         read = self.spark.read.format("source_listing").option("path", ",".join(paths or ["."])).option("cwd", os.getcwd())
         read = read.option("repo_id", self.repo_id or repo).option("commit_sha", sha)
-        found = read.option("ignore_patterns", ",".join(ignore or [])).load()
+        found = read.option("ignore_patterns", ",".join(ignore or [])).option("languages", own_extensions()).load()
         return found.where(F.col("language") == language.lower()) if language else found
 
     def files(self, paths: list[str], language: str | None = None, ignore: list[str] | None = None) -> DataFrame:
@@ -115,11 +116,9 @@ class Engine:
             found = self.spark.createDataFrame([(d,) for d in [patch_text]], "text string")
             found = patch.parse_patches(found.withColumn("id", F.lit(0)), "id").drop("id", "file")
         elif pair is not None:
-            from .lang.registry import language_of
-
             found = self.spark.createDataFrame([(pair[0], language_of(pair[0]), "modified", pair[1], pair[2])], git.SCHEMA)
         else:
-            read = self.spark.read.format("git_diff").option("path", os.path.abspath(repo))
+            read = self.spark.read.format("git_diff").option("path", os.path.abspath(repo)).option("languages", own_extensions())
             found = (read.option("spec", spec) if spec else read).load()
         if only:
             found = found.where(F.exists(F.array(*map(F.lit, only)), lambda p: F.contains(F.col("path"), p)))

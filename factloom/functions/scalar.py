@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..lang.registry import EXTENSIONS, NAMING
+from ..lang.registry import LANGUAGES, all_extensions, naming, own_languages
 
 
 def _col(c: str | Column) -> Column:
@@ -25,7 +25,7 @@ def escape_text(c: str | Column) -> Column:
 
 
 def module_name(path: str | Column, language: str) -> Column:
-    separator, suffixes = NAMING[language]
+    separator, suffixes = naming(language)
     c = _col(path)
     for suffix in suffixes:
         c = F.regexp_replace(c, "(" + suffix.replace(".", "\\.") + r")+\z", "")
@@ -77,7 +77,7 @@ def extension(path: str | Column) -> Column:
 
 def language(path: str | Column) -> Column:
     """By the extension, upper and lower case told apart; null if unknown."""
-    pairs = [F.lit(x) for e, name, _, _ in EXTENSIONS for x in (e, name)]
+    pairs = [F.lit(x) for pair in all_extensions().items() for x in pair]
     return F.element_at(F.create_map(*pairs), extension(path))
 
 
@@ -133,15 +133,86 @@ def unwrap_result(v: str | Column) -> Column:
     return F.coalesce(F.try_parse_json(F.try_variant_get(v, "$.text", "string")), v)
 
 
-#: Temporary SQL functions: name, parameters, result, body.
-SQL_FUNCTIONS = (
-    ("fl_normalize_id", "s STRING", "STRING", r"lower(regexp_replace(s, '[^\\p{IsAlphabetic}\\p{N}_]', '_'))"),
-    ("fl_callee_base", "s STRING", "STRING", r"regexp_extract(s, '([^.:]+)\\z', 1)"),
-    ("fl_checksum", "s STRING", "STRING", "sha2(cast(s AS BINARY), 256)"),
-    ("fl_loc", "s STRING", "BIGINT", r"cast(char_length(s) - char_length(replace(s, '\n', '')) + CASE WHEN s <> '' AND NOT endswith(s, '\n') THEN 1 ELSE 0 END AS BIGINT)"),
-)
+def import_names(text: str | Column, language: str) -> Column:
+    """The names in the text of an import statement, as an array; empty where there are none, or for other languages."""
+    text = _col(text)
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    none = F.array().cast("array<string>")
+    if language == "python":
+        first = F.array(F.coalesce(F.get(words, 1), F.lit("")))
+        return F.when(F.startswith(text, F.lit("import ")), first).when(F.startswith(text, F.lit("from ")) & (F.size(words) >= 2), first).otherwise(none)
+    if language == "rust":
+        name = F.replace(F.rtrim(F.get(words, 1), F.lit(";")), F.lit("::"), F.lit("."))
+        return F.when(F.startswith(text, F.lit("use ")) & (F.size(words) >= 2), F.array(name)).otherwise(none)
+    if language == "go":
+        return F.transform(F.filter(F.split(text, r"\r?\n"), lambda line: line.rlike('"[^"]*"')), lambda line: F.regexp_extract(line, '"([^"]*)"', 1))
+    pattern = {"javascript": r"""from[^"']*["']([^"']*)["']""", "typescript": r"""from[^"']*["']([^"']*)["']""", "ruby": r"""["']([^"']*)["']"""}.get(language)
+    return F.when(text.rlike(pattern), F.array(F.regexp_extract(text, pattern, 1))).otherwise(none) if pattern else none
+
+
+def _text(value: str) -> str:
+    """A literal of SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_ID = r"lower(regexp_replace({}, '[^\\p{{IsAlphabetic}}\\p{{N}}_]', '_'))"
+
+
+def _named(language: str) -> str:
+    separator, suffixes = naming(language)
+    name = "path"
+    for suffix in suffixes:
+        name = f"regexp_replace({name}, {_text('(' + suffix.replace('.', chr(92) + '.') + ')+' + chr(92) + 'z')}, '')"
+    return f"replace(replace({name}, '/', {_text(separator)}), {_text(chr(92))}, {_text(separator)})"
+
+
+def sql_functions() -> list[tuple[str, str, str, str]]:
+    """Temporary SQL functions: name, parameters, result, body. Languages that users have added are in them."""
+    languages = [*LANGUAGES, *own_languages()]
+    module = "CASE language " + " ".join(f"WHEN {_text(x)} THEN {_named(x)}" for x in languages) + " END"
+    extension = r"nullif(regexp_extract(path, '[^/]\\.([^./]*)\\z', 1), '')"
+    known = ", ".join(f"{_text(e)}, {_text(x)}" for e, x in all_extensions().items())
+    trimmed = r"regexp_replace(trim(regexp_replace(s, '\\s+', ' ')), '^[,()]+|[,()]+\\z', '')"
+    head = r"regexp_replace(substring_index(s, '(', 1), '[\n\r\t ]', '')"
+    words = r"filter(split(s, '\\s+'), w -> w <> '')"
+    quoted = """regexp_extract(s, '{}', 1)"""
+    js, ruby = r"""from[^"\\']*["\\']([^"\\']*)["\\']""", r"""["\\']([^"\\']*)["\\']"""
+    # the quotes of these patterns are written as \x27, so that they need no escape in a literal
+    js, ruby = (x.replace("\\'", r"\\x27") for x in (js, ruby))
+    imports = f"""CASE
+      WHEN language = 'python' AND startswith(s, 'import ') OR language = 'python' AND startswith(s, 'from ') AND size({words}) >= 2 THEN array(coalesce(get({words}, 1), ''))
+      WHEN language = 'rust' AND startswith(s, 'use ') AND size({words}) >= 2 THEN array(replace(rtrim(';', get({words}, 1)), '::', '.'))
+      WHEN language = 'go' THEN transform(filter(split(s, '\\\\r?\\\\n'), l -> l rlike '"[^"]*"'), l -> regexp_extract(l, '"([^"]*)"', 1))
+      WHEN language IN ('javascript', 'typescript') AND s rlike '{js}' THEN array({quoted.format(js)})
+      WHEN language = 'ruby' AND s rlike '{ruby}' THEN array({quoted.format(ruby)})
+      ELSE cast(array() AS ARRAY<STRING>) END"""
+    cut = "struct('range' AS mode, substring(spec, 1, locate('{0}', spec) - 1) AS base, substring(spec, locate('{0}', spec) + {1}) AS head)"
+    remote = r"""CASE WHEN startswith(url, 'git@') AND contains(url, ':') THEN regexp_extract(url, '^[^:]*:(.*)\\z', 1)
+      WHEN url rlike '^(https?|ssh)://[^/]*/' THEN regexp_extract(url, '^[a-z]+://[^/]*/(.*)\\z', 1) ELSE '' END"""
+    for pattern in (r"^/+|/+\\z", r"(\\.git)+\\z", r"^/+|/+\\z"):
+        remote = f"regexp_replace({remote}, '{pattern}', '')"
+    return [
+        ("fl_normalize_id", "s STRING", "STRING", _ID.format("s")),
+        ("fl_escape", "s STRING", "STRING", r"replace(replace(replace(replace(replace(s, '\\', '\\\\'), chr(39), '\\' || chr(39)), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"),
+        ("fl_module_name", "path STRING, language STRING", "STRING", module),
+        ("fl_module_id", "path STRING, language STRING", "STRING", _ID.format(module)),
+        ("fl_function_id", "name STRING, arity BIGINT, prefix STRING DEFAULT NULL", "STRING", _ID.format("concat_ws('_', prefix, name, cast(arity AS STRING))")),
+        ("fl_visibility", "name STRING, language STRING", "STRING", r"""CASE WHEN language = 'python' AND startswith(name, '__') AND NOT endswith(name, '__') THEN 'private'
+          WHEN language = 'python' AND startswith(name, '_') AND NOT (startswith(name, '__') AND endswith(name, '__')) THEN 'protected' WHEN language = 'go' AND NOT name rlike '^\\p{Lu}' THEN 'private' ELSE 'public' END"""),
+        ("fl_clean_param", "s STRING", "STRING", f"CASE WHEN octet_length({trimmed}) > 80 THEN substring({trimmed}, 1, 80) ELSE {trimmed} END"),
+        ("fl_sanitize_callee", "s STRING", "STRING", f"CASE WHEN NOT contains(s, chr(10)) AND NOT contains(s, '(') THEN trim(s) ELSE substring_index({head}, '.', -1) END"),
+        ("fl_callee_base", "s STRING", "STRING", r"regexp_extract(s, '([^.:]+)\\z', 1)"),
+        ("fl_import_names", "s STRING, language STRING", "ARRAY<STRING>", imports),
+        ("fl_language", "path STRING", "STRING", f"element_at(map({known}), {extension})"),
+        ("fl_diff_mode", "spec STRING", "STRUCT<mode: STRING, base: STRING, head: STRING>", f"""CASE WHEN spec IS NULL THEN struct('staged' AS mode, cast(NULL AS STRING) AS base, cast(NULL AS STRING) AS head)
+          WHEN contains(spec, '...') THEN {cut.format('...', 3)} WHEN contains(spec, '..') THEN {cut.format('..', 2)} ELSE struct('commit' AS mode, cast(NULL AS STRING) AS base, spec AS head) END"""),
+        ("fl_repo_id", "url STRING", "STRING", f"nullif({remote}, '')"),
+        ("fl_checksum", "s STRING", "STRING", "sha2(cast(s AS BINARY), 256)"),
+        ("fl_loc", "s STRING", "BIGINT", r"cast(char_length(s) - char_length(replace(s, '\n', '')) + CASE WHEN s <> '' AND NOT endswith(s, '\n') THEN 1 ELSE 0 END AS BIGINT)"),
+    ]
 
 
 def register_functions(spark: SparkSession) -> None:
-    for name, parameters, result, body in SQL_FUNCTIONS:
+    """Again after a language has been added, which the functions take along."""
+    for name, parameters, result, body in sql_functions():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import ecma_facts, elixir_facts, go_facts, prolog_facts, python_facts, ruby_facts, rust_facts
 from .facts import COLUMNS, Facts
-from .registry import LANGUAGES, language_of
+from .registry import LANGUAGES, Language, language_of, own_languages, register_language, remove_language
 
 EXTRACT = {
     "python": python_facts.extract,
@@ -18,14 +18,17 @@ EXTRACT = {
 }
 
 
-def file_facts(code: str, language: str, path: str) -> list[dict]:
-    """The facts of one file; where a parser gives up, those found so far and one of predicate `error`."""
-    facts = Facts(path, language)
+def file_facts(code: str, language: str, path: str, own: dict[str, Language] | None = None) -> list[dict]:
+    """The facts of one file; where a parser gives up, those found so far and one of predicate `error`.
+
+    own: languages of users, by name, where this process may not have them registered."""
+    added = (own_languages() if own is None else own).get(language)
+    facts = Facts(path, language, added)
     try:
-        EXTRACT[language](code, facts)
+        (added.extract() if added else EXTRACT[language])(code, facts)
     except Exception as e:  # noqa: BLE001  the facts found so far stand
         facts.add("error", name=f"{type(e).__name__}: {e}"[:200], line=1)
     return facts.rows
 
 
-__all__ = ["COLUMNS", "LANGUAGES", "file_facts", "language_of"]
+__all__ = ["COLUMNS", "LANGUAGES", "Language", "file_facts", "language_of", "own_languages", "register_language", "remove_language"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .registry import module_of, normalize_id
+from .registry import Language, module_of, normalize_id
 
 #: Columns of a fact row besides provenance; a predicate uses those of its relation.
 COLUMNS = (
@@ -18,10 +18,10 @@ def clean_param(text: str) -> str:
 
 
 class Facts:
-    def __init__(self, path: str, language: str):
+    def __init__(self, path: str, language: str, own: Language | None = None):
         self.rows: list[dict] = []
         self.path, self.language = path, language
-        self.module_id, self.module_name = module_of(path, language)
+        self.module_id, self.module_name = module_of(path, language, own)
         self.module(self.module_id, self.module_name, path, 1)
 
     def add(self, predicate: str, **values) -> None:

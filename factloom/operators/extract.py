@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..lang import COLUMNS, file_facts
+from ..lang import COLUMNS, file_facts, own_languages
 from ..lang.registry import EXTENSIONS
 from ..functions.scalar import checksum, escape_text, loc
 
@@ -53,6 +53,7 @@ def extract_facts(files: DataFrame, predicates: list[str] | None = None) -> Data
     """
     wanted = frozenset(predicates) if predicates else None
     arrow = pa.schema([(f.name, pa.int64() if f.name in _LONGS else pa.string()) for f in FACTS])
+    own = own_languages()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: dict[str, list] = {f.name: [] for f in FACTS}
@@ -65,7 +66,7 @@ def extract_facts(files: DataFrame, predicates: list[str] | None = None) -> Data
 
         for batch in batches:
             for file in batch.to_pylist():
-                rows = file_facts(file["code"], file["language"], file["file_path"])
+                rows = file_facts(file["code"], file["language"], file["file_path"], own)
                 rows = [r for r in rows if r["predicate"] in wanted] if wanted else rows
                 for c in COLUMNS:
                     columns[c].extend([r.get(c) for r in rows])
@@ -76,7 +77,7 @@ def extract_facts(files: DataFrame, predicates: list[str] | None = None) -> Data
         if columns["predicate"]:
             yield full()
 
-    return files.select("repo_id", "commit_sha", "file_path", "language", "code").where(F.col("code").isNotNull() & F.col("language").isin(KNOWN)).mapInArrow(parse, FACTS)
+    return files.select("repo_id", "commit_sha", "file_path", "language", "code").where(F.col("code").isNotNull() & F.col("language").isin([*KNOWN, *own])).mapInArrow(parse, FACTS)
 
 
 def file_counts(files: DataFrame, carried: list[str] | None = None) -> DataFrame:
@@ -84,7 +85,8 @@ def file_counts(files: DataFrame, carried: list[str] | None = None) -> DataFrame
 
     A file without code has no checksum and counts of 0; one of an unknown language has its lines only.
     """
-    carried = carried or []
+    carried, own = carried or [], own_languages()
+    known = {*KNOWN, *own}
     given = files.select(*PROVENANCE, "language", *carried, checksum("code").alias("checksum"), F.coalesce(loc("code"), F.lit(0)).alias("loc"), "code")
     schema = T.StructType([*(f for f in given.schema if f.name not in ("code", "loc")), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
@@ -92,7 +94,7 @@ def file_counts(files: DataFrame, carried: list[str] | None = None) -> DataFrame
         for batch in batches:
             columns: dict[str, list] = {c: [] for c in COUNTED}
             for code, language, path in zip(*(batch.column(c).to_pylist() for c in ("code", "language", "file_path")), strict=True):
-                found = Counter(r["predicate"] for r in file_facts(code, language, path)) if code is not None and language in KNOWN else Counter()
+                found = Counter(r["predicate"] for r in file_facts(code, language, path, own)) if code is not None and language in known else Counter()
                 for c, predicate in COUNTED.items():
                     columns[c].append(found[predicate])
             kept = [batch.column(f.name) for f in schema if f.name not in COUNTS]

@@ -94,6 +94,7 @@ class ArrivalLog:
 class ArrivalsReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.options = options
+        self.own = json.loads(options.get("languages", "{}"))
         self.path = options["path"]
         self.log = ArrivalLog(options.get("log") or os.path.join(self.path, ".factloom-arrivals"))
         self.last: int | None = None
@@ -106,7 +107,7 @@ class ArrivalsReader(DataSourceStreamReader):
         ignored = [p for p in self.options.get("ignore_patterns", "").split(",") if p]
         found = {}
         for path in walk(self.path):
-            if language_of(path) and not any(fnmatch(path, p) or p in path for p in ignored):
+            if language_of(path, self.own) and not any(fnmatch(path, p) or p in path for p in ignored):
                 try:
                     stat = os.stat(path)
                 except OSError:
@@ -150,7 +151,7 @@ class ArrivalsReader(DataSourceStreamReader):
 
         repo, sha = self.options.get("repo_id", "unknown"), self.options.get("commit_sha", "HEAD")
         for path, size, changed, arrived in partition.files:
-            own = (repo, sha, path, language_of(path))
+            own = (repo, sha, path, language_of(path, self.own))
             at = d.datetime.fromtimestamp(arrived / 1e6, d.timezone.utc)
             if size is None:
                 yield *own, None, None, None, at

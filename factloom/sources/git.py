@@ -8,6 +8,7 @@ git process each; a task gets `partition_rows` changes at most, and there are `p
 
 from __future__ import annotations
 
+import json
 import os
 import subprocess
 from collections.abc import Iterator, Sequence
@@ -138,6 +139,7 @@ class DiffReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
         self.repo = options.get("path") or "."
+        self.own = json.loads(options.get("languages", "{}"))
 
     def partitions(self) -> Sequence[InputPartition]:
         found = changes(self.repo, self.options.get("spec"), self.options.get("merge_base") == "true")
@@ -155,7 +157,7 @@ class DiffReader(DataSourceReader):
                             text = f.read()
                     except (OSError, UnicodeDecodeError):
                         text = None
-                yield path, language_of(path), status, blobs.text(before), text
+                yield path, language_of(path, self.own), status, blobs.text(before), text
 
 
 class GitDiff(DataSource):

@@ -8,6 +8,7 @@ Results equal those of `source_tree`.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import subprocess
 from collections.abc import Iterator, Sequence
@@ -76,6 +77,7 @@ class Folders(InputPartition):
 class ListingReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
+        self.own = json.loads(options.get("languages", "{}"))
 
     def real(self, path: str) -> str:
         return os.path.join(self.options.get("cwd", ""), path)
@@ -103,7 +105,7 @@ class ListingReader(DataSourceReader):
 
         def row(path: str, size: int) -> Iterator[tuple]:
             if not any(fnmatch(path, p) or p in path for p in skipped):
-                yield repo, sha, path, language_of(path), size, self.real(path)
+                yield repo, sha, path, language_of(path, self.own), size, self.real(path)
 
         for path in partition.files:  # a file that is named is kept whatever its extension
             yield from row(path, os.path.getsize(self.real(path)))
@@ -113,7 +115,7 @@ class ListingReader(DataSourceReader):
                 try:
                     with os.scandir(os.path.join(real, folder)) as entries:
                         for e in entries:
-                            if not e.name.startswith(".") and language_of(e.name) and e.is_file(follow_symlinks=False):
+                            if not e.name.startswith(".") and language_of(e.name, self.own) and e.is_file(follow_symlinks=False):
                                 sizes[os.path.join(folder, e.name)] = e.stat(follow_symlinks=False).st_size
                 except OSError:
                     continue

@@ -9,6 +9,7 @@ row with an error and no code. Filters on language and path reach the listing.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import subprocess
 from collections.abc import Iterator, Sequence
@@ -58,6 +59,7 @@ class Chunk(InputPartition):
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
+        self.own = json.loads(options.get("languages", "{}"))
         self.languages: list[str] = []
         self.parts: list[str] = []
 
@@ -82,9 +84,9 @@ class TreeReader(DataSourceReader):
             if os.path.isfile(real):  # a file that is named is kept whatever its extension
                 paths = [top]
             else:
-                paths = [os.path.join(top, os.path.relpath(p, real)) for p in walk(real) if language_of(p)]
+                paths = [os.path.join(top, os.path.relpath(p, real)) for p in walk(real) if language_of(p, self.own)]
             for path in paths:
-                language = language_of(path)
+                language = language_of(path, self.own)
                 if any(fnmatch(path, p) or p in path for p in ignored) or any(x != language for x in self.languages) or not all(x in path for x in self.parts):
                     continue
                 found.append((os.path.getsize(self.real(path)), path, language))
