@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import callee_base
 from .extract import PROVENANCE, Relations
 from .intervals import overlaps
-from .store import cut
+from .store import cut, tidy
 
 REPO = ["repo_id", "commit_sha"]
 #: The end of a file's last function, as facts don't hold where files end.
@@ -113,13 +113,19 @@ def module_edges(r: Relations) -> DataFrame:
 
 
 def dependency_components(r: Relations) -> DataFrame:
+    """repo_id, commit_sha, component, module by components_of() the module graph."""
+    return components_of(module_edges(r))
+
+
+@tidy
+def components_of(module_edges: DataFrame) -> DataFrame:
     """component, module: modules that depend on each other, directly or through others (two at least).
 
     A component is named by its smallest module. Each round strips what lies on no cycle, gives every
     module the smallest one that leads to it, and takes as components those that lead back to theirs.
     """
     node = lambda c: F.struct(*REPO, F.col(c).alias("module"))
-    edges = cut(module_edges(r).select(node("src").alias("src"), node("dst").alias("dst")), "edges")
+    edges = cut(module_edges.select(node("src").alias("src"), node("dst").alias("dst")), "edges")
     found = None
     while True:
         while True:  # only what has edges in and out can be on a cycle
@@ -167,28 +173,52 @@ def id_collisions(r: Relations) -> DataFrame:
     return r.function.groupBy(*REPO, "func_id").agg(F.count("*").alias("functions")).where("functions > 1")
 
 
+def ways_back(edges: DataFrame, most: int) -> DataFrame:
+    """start, node, back: steps from a node back to a smaller start over nodes above it, if `most` or fewer."""
+    into = edges.select(*REPO, F.col("src").alias("before"), F.col("dst").alias("node"))
+    frontier = cut(edges.where("src > dst").select(*REPO, F.col("dst").alias("start"), F.col("src").alias("node"), F.lit(1).alias("back")), "back")
+    seen = frontier
+    for back in range(2, most + 1):
+        further = frontier.join(into, [*REPO, "node"]).where("before > start").select(*REPO, "start", F.col("before").alias("node")).distinct()
+        frontier = cut(further.join(seen, [*REPO, "start", "node"], "left_anti").withColumn("back", F.lit(back)), "back")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return cut(seen, "ways")
+
+
 def paths(edges: DataFrame, most: int) -> DataFrame:
-    """Simple paths that never go below their start, by length; a loop of joins, one for each step."""
+    """Simple cycles as paths from their smallest node on, by length; a loop of joins, one for each step.
+
+    A path goes on to a node only if the shortest way back from there, over nodes above the start, still
+    fits `most` nodes: so it stays inside the start's strongly connected component, and none is kept
+    that is too far out to return (one may still meet itself on its way back).
+    """
     step = cut(edges, "edges")
-    grown = step.where("src < dst").select(*REPO, F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
+    back = ways_back(step, most - 1)
+    step = step.select(*REPO, F.col("src").alias("last"), F.col("dst").alias("next"))
+    grown = step.where("last < next").select(*REPO, F.col("last").alias("start"), F.col("next").alias("node"), F.array("last", "next").alias("path"))
     found = None
-    for _ in range(most - 1):
-        grown = cut(grown, "paths")
-        following = grown.join(step.select(*REPO, F.col("src").alias("last"), F.col("dst").alias("next")), [*REPO, "last"])
-        closed = following.where("next = start").select(*REPO, F.col("path"))
+    for size in range(2, most + 1):
+        near = back.where(F.col("back") <= most - size + 1)
+        grown = cut(grown.join(near, [*REPO, "start", "node"]), "paths")
+        closed = grown.where("back = 1").select(*REPO, "path")
         found = closed if found is None else found.unionByName(closed)
-        grown = following.where("next > start and not array_contains(path, next)").select(
-            *REPO, "start", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path")
-        )
+        if grown.isEmpty():
+            break
+        following = grown.join(step.withColumnRenamed("last", "node"), [*REPO, "node"]).where("next > start and not array_contains(path, next)")
+        grown = following.select(*REPO, "start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
     return found
 
 
+@tidy
 def dependency_cycles(r: Relations, most: int = 6) -> DataFrame:
-    """Simple cycles of at most `most` modules, each from its smallest module on."""
-    found = paths(module_edges(r), most).distinct()
+    """Simple cycles of 2 to `most` modules, each from its smallest module on."""
+    found = paths(module_edges(r), most)
     return found.select(*REPO, F.size("path").cast("long").alias("length"), F.array_join("path", " > ").alias("cycle"))
 
 
+@tidy
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """node, depth: all that seeds lead to along edges (src, dst), or in at most `most` steps; semi-naive."""
     frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "reach")
@@ -202,14 +232,35 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
     return seen
 
 
+@tidy
 def blast_radius(r: Relations, changed: DataFrame, most: int | None = None) -> DataFrame:
-    """repo_id, commit_sha, name, depth: functions that, by name, call the changed ones (repo_id, name)
-    directly or through others, in each commit of that repository."""
-    node = lambda c: F.struct(*REPO, F.col(c).alias("name"))
-    names = r.function.select(*PROVENANCE, F.col("func_id").alias("caller_id"), F.col("name").alias("caller")).distinct()
-    edges = calls(r).join(names, [*PROVENANCE, "caller_id"]).select(node("base").alias("src"), node("caller").alias("dst"))
-    seeds = changed.select("repo_id", "name").distinct().join(r.files().select(*REPO).distinct(), "repo_id")
-    return reach(edges, seeds.select(node("name").alias("node")), most).select("node.*", "depth")
+    """repo_id, commit_sha, file_path, func_id, name, depth: functions that call the changed ones directly or
+    through others, in each commit of their repository.
+
+    changed: repo_id, name and, if at hand, file_path. Calls count by the function they resolve to, so
+    functions of one name in different files are told apart. A changed function that is gone has a name
+    only, and is called by those whose calls of that name mean no function any more.
+    """
+    calls_ = resolve_calls(r)
+    target = node_of(F.coalesce("target_path", F.lit("")), F.coalesce("target_id", "base"))
+    edges = calls_.select(target.alias("src"), node_of(F.col("file_path"), F.col("caller_id")).alias("dst"))
+    functions = r.function.select(*PROVENANCE, "func_id", "name").distinct()
+    by = [c for c in ("repo_id", "file_path", "name") if c in changed.columns]
+    changed = changed.select(*by).distinct()
+    there = functions.join(changed, by)
+    gone = changed.join(r.files().select(*REPO).distinct(), "repo_id").join(functions, [*REPO, *(c for c in by if c != "repo_id")], "left_anti")
+    gone = gone.join(functions, [*REPO, "name"], "left_anti").select(*REPO, "name").distinct()
+    seeds = there.select(node_of(F.col("file_path"), F.col("func_id")).alias("node")).unionByName(gone.select(node_of(F.lit(""), F.col("name")).alias("node")))
+    found = reach(edges, seeds, most).select("node.*", "depth")
+    named = found.join(functions.groupBy(*PROVENANCE, "func_id").agg(F.min("name").alias("name")), [*PROVENANCE, "func_id"], "left")
+    gone_path = F.col("file_path") == ""
+    return named.select(
+        *REPO, F.when(~gone_path, F.col("file_path")).alias("file_path"), F.when(~gone_path, F.col("func_id")).alias("func_id"), F.coalesce("name", "func_id").alias("name"), "depth"
+    )
+
+
+def node_of(path: Column, name: Column) -> Column:
+    return F.struct(*REPO, path.alias("file_path"), name.alias("func_id"))
 
 
 def fan_out(r: Relations) -> DataFrame:

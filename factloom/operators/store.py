@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +29,41 @@ def write_facts(facts: DataFrame, name: str, path: str | None = None) -> DataFra
     return spark.read.schema(facts.schema).parquet(path)
 
 
+#: Tables that the calls of tidy functions that are running have cut, innermost last.
+_cut: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, to end its lineage."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _cut:
+        _cut[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f with its result as a table; the tables that it cut on the way are deleted."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        _cut.append([])
+        try:
+            made = f(*args, **kwargs)
+            own, _cut[-1] = _cut[-1], []
+            found = cut(made, f.__name__)
+        finally:
+            kept = _cut.pop()
+        if _cut:
+            _cut[-1].extend(kept)
+        for path in own:
+            delete(found.sparkSession, path)
+        return found
+
+    return run
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

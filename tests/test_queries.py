@@ -1,6 +1,8 @@
 """Every registered query of the library against its SQL, on the smallest tables."""
 
 import decimal
+import os
+import random
 
 import duckdb
 import pytest
@@ -131,3 +133,77 @@ def test_methods_of_two_classes_collide(spark):
     files = spark.createDataFrame(rows, "repo_id string, commit_sha string, file_path string, language string, code string")
     found = q.id_collisions(Relations(extract_facts(files))).collect()
     assert [(r["commit_sha"], r["functions"]) for r in found] == [("c", 2)] and found[0]["func_id"].startswith("run")
+
+
+def cycles_of(edges, most):
+    """Simple cycles by depth-first search from their smallest node."""
+    ahead, found = {}, set()
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+
+    def walk(path):
+        for b in ahead.get(path[-1], ()):
+            if b == path[0] and len(path) > 1:
+                found.add(" > ".join(path))
+            elif b > path[0] and b not in path and len(path) < most:
+                walk([*path, b])
+
+    for a in ahead:
+        walk([a])
+    return found
+
+
+def edge_table(spark, edges):
+    return spark.createDataFrame([("r", "c", a, b) for a, b in edges], "repo_id string, commit_sha string, src string, dst string")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_are_those_of_a_search(spark, seed):
+    rng = random.Random(seed)
+    edges = sorted({(f"m{rng.randrange(14):02d}", f"m{rng.randrange(14):02d}") for _ in range(32)})
+    edges = [e for e in edges if e[0] != e[1]]
+    for most in (2, 4, 9):
+        found = [" > ".join(r["path"]) for r in q.paths(edge_table(spark, edges), most).collect()]
+        assert len(found) == len(set(found)) and set(found) == cycles_of(edges, most)
+
+
+def test_paths_that_cannot_return_are_not_made(spark, monkeypatch):
+    """A ring of twelve, and from each of its nodes a tree that leads nowhere and a far way round."""
+    ring = [(f"a{i:02d}", f"a{(i + 1) % 12:02d}") for i in range(12)]
+    trees = [(f"a{i:02d}", f"t{i:02d}_{j}") for i in range(12) for j in range(5)] + [(f"t{i:02d}_{j}", f"u{i:02d}_{j}_{k}") for i in range(12) for j in range(5) for k in range(5)]
+    made = []
+    monkeypatch.setattr(q, "cut", lambda df, name: (made.append(df.count()) if name == "paths" else None, store.cut(df, name))[1])
+    found = q.paths(edge_table(spark, ring + trees), 12).collect()
+    assert [len(r["path"]) for r in found] == [12]
+    assert sum(made) == 11  # one path of each length, from the smallest node
+    made.clear()
+    assert q.paths(edge_table(spark, ring + trees), 11).collect() == [] and sum(made) == 0
+
+
+def test_functions_of_one_name_are_kept_apart(spark):
+    rows = [
+        ("r", "c", "a.py", "def low(x):\n    pass\n\ndef top_a():\n    low(1)\n"),
+        ("r", "c", "b.py", "def low(x):\n    pass\n\ndef top_b():\n    low(1)\n\ndef far():\n    top_b()\n"),
+        ("r", "c", "d.py", "def other():\n    far()\n    lost()\n"),
+    ]
+    r = python_files(spark, rows)
+    radius = lambda rows, schema: {(x["file_path"], x["name"], x["depth"]) for x in q.blast_radius(r, spark.createDataFrame(rows, schema)).collect()}
+    named = "repo_id string, file_path string, name string"
+    assert radius([("r", "a.py", "low")], named) == {("a.py", "low", 0), ("a.py", "top_a", 1)}
+    assert radius([("r", "b.py", "low")], named) == {("b.py", "low", 0), ("b.py", "top_b", 1), ("b.py", "far", 2), ("d.py", "other", 3)}
+    assert len(radius([("r", "low")], "repo_id string, name string")) == 6
+    assert radius([("r", "gone.py", "lost")], named) == {(None, "lost", 0), ("d.py", "other", 1)}  # gone, but still called
+    assert radius([("r", "gone.py", "low")], named) == set()  # moved away: calls mean the functions that are there
+
+
+def test_loops_leave_one_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "work_dir", lambda spark: str(tmp_path))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "src string, dst string")
+    found = q.reach(edges, spark.createDataFrame([("n0",)], "node string"))
+    assert found.count() == 7 and len(os.listdir(tmp_path)) == 1
+    r = python_files(spark, [("r", "c", "a.py", "import b\n"), ("r", "c", "b.py", "import a\n")])
+    assert q.dependency_cycles(r).count() == 1 and q.dependency_components(r).count() == 2
+    assert len(os.listdir(tmp_path)) == 3
+    with pytest.raises(ZeroDivisionError):
+        store.tidy(lambda: 1 / 0)()
+    assert store._cut == []
