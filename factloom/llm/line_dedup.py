@@ -3,9 +3,15 @@
 Lines are split into tokens at white space; tokens with a digit are variable fields (`<*>`). The
 tree has a fixed depth: the token count, then the first `DEPTH` tokens. In a leaf, a line joins the
 template it shares the most positions with, if these are at least `SIMILAR` of its tokens, and the
-template keeps `<*>` wherever they differ. Leaves are parsed on salted shares of about `SHARE` lines
-and the templates of all shares are then parsed again as lines, in fewer shares and by another salt,
-for as long as that merges some of them (`SHRINKS`); so no task ever has a leaf of many lines whole. A template is recurring if it stands in at least `MIN_DOCS` different
+template keeps `<*>` wherever they differ. A leaf of more than `SHARE` lines is parsed in shares by a
+salt, and the templates of all shares again as lines by another one, for as long as that merges a
+tenth of them. What is left then holds few similar lines for its size, which random shares would keep
+apart. So it is dealt by tokens: lines that differ in d places at most agree in one of any d + 1, hence
+for each of the d + 1 places where the leaf varies most, lines with the same token there are parsed
+together (again in this way, if they are many). No task ever has a leaf of many lines whole, and
+lines that are similar always meet.
+
+A template is recurring if it stands in at least `MIN_DOCS` different
 documents; each of its lines goes, but for those of the document that has it first (smallest id).
 
 Passages also recur inside lines that differ. So each text is cut into overlapping stretches as well,
@@ -21,8 +27,8 @@ lines of leaves that hold several different lines, told by a table of fixed size
 Defined cases: null texts stay null; lines under `MIN_TOKENS` tokens stay unless a recurring stretch
 covers them, blank lines always; a line whose tokens all go is cut with its end; a
 document that has no text left but white space, as lines of it went, is dropped with its row
-(`keep_empty=True` keeps it); texts without lines stay; rows of equal id count as one document, null
-ids together as the last one (the largest long is no id);
+(`keep_empty=True` keeps it); texts without lines stay; rows of equal id count as one document;
+rows without an id are documents by their text, equal texts one, with a number from 2^62 on;
 other columns, whatever their names, pass through;
 n_chars, where there is such a column, follows the text; an empty table gives an empty result.
 """
@@ -59,6 +65,10 @@ FEW = 64
 #: The hash that stands for a variable field, and cells of the table of leaves.
 FIELD = -1
 CELLS = 1 << 20
+#: Documents without an id are numbered from here on.
+NO_ID = 1 << 62
+#: Hashes of a document's lines that go, at most, in one row.
+HEAVY = 200_000
 
 
 def parse(lines: list[np.ndarray], weights: list[int], names: list[int]) -> list[int]:
@@ -240,9 +250,9 @@ def doc_keys(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return textops.mix(hashes.view(np.uint64) + textops.mix(doc.astype(np.uint64) + np.uint64(1)))
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
+def line_hashes(docs: DataFrame, kind_of_doc: str = "long") -> DataFrame:
     """doc, leaf, masked of each long enough line, and of each stretch without a leaf (kind 1); equal
-    ones of a row count once."""
+    ones of a row count once. kind_of_doc: the type of doc."""
 
     @frugal
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +272,9 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
     def batch_of(doc: np.ndarray, leaf: pa.Array, masked: np.ndarray, kind: int) -> pa.RecordBatch:
         kinds = pa.array(np.full(len(masked), kind, dtype=np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(doc), leaf, pa.array(masked), kinds], names=["doc", "leaf", "masked", "kind"])
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.string() if kind_of_doc == "string" else pa.int64()), leaf, pa.array(masked), kinds], names=["doc", "leaf", "masked", "kind"])
 
-    return docs.select("doc", "text").mapInArrow(split, "doc long, leaf long, masked long, kind int")
+    return docs.select("doc", "text").mapInArrow(split, f"doc {kind_of_doc}, leaf long, masked long, kind int")
 
 
 def marked_cells(leaves: DataFrame) -> np.ndarray:
@@ -299,19 +309,33 @@ def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(lines.leaf[at]), pa.array(lines.masked[at]), pa.array(words, pa.binary())], names=["leaf", "masked", "tokens"])
 
     spelled = docs.select("text").mapInArrow(spell, "leaf long, masked long, tokens binary").dropDuplicates(["leaf", "masked"])
-    worded = spelled.join(shared, ["leaf", "masked"]).withColumn("shares", F.ceil(F.col("n") / SHARE)).withColumn("share", F.pmod("masked", "shares"))
+    worded = spelled.join(shared, ["leaf", "masked"]).select(F.col("leaf").alias("group"), "masked", "tokens", "weight", "n")
+    return resolved(worded).select("masked", "template")
+
+
+_PARSED = "group long, masked long, template long, tokens binary, weight long, n long"
+
+
+def parse_shares(rows: DataFrame, salt: int) -> DataFrame:
+    """Templates of the lines of each share of each group; rows: group, masked, tokens, weight, n (lines of the group).
+
+    Returns group, masked, template, tokens (of a template, at its own row), weight and n.
+    """
+    shares = F.ceil(F.col("n") / SHARE)
+    share = F.when(shares == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("masked", F.lit(salt)), shares))
+    arrow = pa.schema([(name, pa.binary() if kind == "binary" else pa.int64()) for name, kind in (c.split() for c in _PARSED.split(", "))])
 
     @frugal
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (leaf, share); many leaves have few lines, so they are taken from a stream."""
+        """Rows come sorted by (group, share); many groups have few lines, so they are taken from a stream."""
         key, held = None, []
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch[c].to_pylist() for c in ("leaf", "share", "masked", "tokens", "weight", "shares")]
-            for leaf, share, *row in zip(*columns, strict=True):
-                if (leaf, share) != key:
+            columns = [batch[c].to_pylist() for c in ("group", "share", "masked", "tokens", "weight", "n")]
+            for group, share, *row in zip(*columns, strict=True):
+                if (group, share) != key:
                     out += parsed(key, held)
-                    key, held = (leaf, share), []
+                    key, held = (group, share), []
                 held.append(row)
             yield rows_of(out)
         yield rows_of(parsed(key, held))
@@ -337,28 +361,105 @@ def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [()] * len(arrow)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    arrow = pa.schema([("leaf", pa.int64()), ("masked", pa.int64()), ("template", pa.int64()), ("tokens", pa.binary()), ("weight", pa.int64()), ("shares", pa.int64())])
+    dealt = rows.select("group", share.cast("long").alias("share"), "masked", "tokens", "weight", "n")
+    return dealt.repartition("group", "share").sortWithinPartitions("group", "share").mapInArrow(local, _PARSED)
+
+
+def followed(merged: DataFrame, further: DataFrame) -> DataFrame:
+    """masked, template of both steps: further says of some templates which they have joined."""
+    up = further.select(F.col("masked").alias("template"), F.col("template").alias("upper"))
+    return merged.join(up, "template", "left").select("masked", F.coalesce("upper", "template").alias("template"))
 
-    def by_leaf(rows: DataFrame) -> DataFrame:
-        rows = rows.select("leaf", F.col("share").cast("long").alias("share"), "masked", "tokens", "weight", "shares")
-        return rows.repartition("leaf", "share").sortWithinPartitions("leaf", "share").mapInArrow(local, schema)
 
-    schema = "leaf long, masked long, template long, tokens binary, weight long, shares long"
-    first = written(by_leaf(worded), "templates")
-    # templates of the shares of one leaf are lines once more, until they fit one share or don't merge
-    merged = first.select("masked", "template")
-    last = first
+def resolved(rows: DataFrame) -> DataFrame:
+    """masked, template of the lines of groups of any size; rows: group, masked, tokens, weight, n."""
+    last = written(parse_shares(rows, 0), "templates")
+    merged, stuck = last.select("masked", "template"), None
     for salt in itertools.count(1):
-        many = last.where("shares > 1")
-        left = many.groupBy("leaf").agg(F.count("*").alias("before"), F.count_if(F.col("template") == F.col("masked")).alias("n")).where(F.col("n") <= SHRINKS * F.col("before"))
-        left = written(left.select("leaf", F.ceil(F.col("n") / SHARE).alias("shares")), "left")
-        if left.isEmpty():
-            return merged
-        again = many.where("template = masked").drop("shares").join(left, "leaf")
-        share = F.pmod(F.xxhash64("masked", F.lit(salt)), "shares")
-        last = written(by_leaf(again.withColumn("share", share)), "templates")
-        up = last.select(F.col("masked").alias("template"), F.col("template").alias("upper"))
-        merged = merged.join(up, "template", "left").select("masked", F.coalesce("upper", "template").alias("template"))
+        many = last.where(F.col("n") > SHARE)
+        after = F.count_if(F.col("template") == F.col("masked"))
+        left = written(many.groupBy("group").agg(F.count("*").alias("before"), after.alias("after")), "left")
+        tops = many.where("template = masked").select("group", "masked", "tokens", "weight")
+        # many groups of few lines are the rule: nothing more to do for them
+        slow = left.where((F.col("after") > SHRINKS * F.col("before")) & (F.col("after") > SHARE))
+        if not slow.isEmpty():
+            own = tops.join(slow.select("group", F.col("after").alias("n")), "group")
+            stuck = own if stuck is None else stuck.unionByName(own)
+        again = left.where((F.col("after") <= SHRINKS * F.col("before")) | (F.col("after") <= SHARE))
+        if again.isEmpty():
+            return merged if stuck is None else followed(merged, by_places(stuck))
+        last = written(parse_shares(tops.join(again.select("group", F.col("after").alias("n")), "group"), salt), "templates")
+        merged = followed(merged, last)
+
+
+def varied_places(rows: DataFrame) -> DataFrame:
+    """group, places: of each group's lines the d + 1 places with most different tokens, all that vary if these are fewer."""
+
+    @frugal
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lines = [np.frombuffer(t, dtype=np.int64) for t in pdf["tokens"]]
+            size = np.array([len(x) for x in lines])
+            place = np.concatenate([np.arange(n) for n in size]) if len(size) else size
+            yield pd.DataFrame({"group": np.repeat(pdf["group"].to_numpy(), size), "size": np.repeat(size, size), "place": place, "token": np.concatenate([*lines, np.empty(0, dtype=np.int64)])}).drop_duplicates()
+
+    told = rows.select("group", "tokens").mapInPandas(tokens, "group long, size long, place long, token long")
+    kinds = told.groupBy("group", "size", "place").agg(F.countDistinct("token").alias("kinds")).where("kinds > 1")
+    most = (F.col("size") - F.ceil(SIMILAR * F.col("size")) + 1).cast("int")
+    ranked = kinds.groupBy("group", "size").agg(F.sort_array(F.collect_list(F.struct((-F.col("kinds")).alias("k"), "place"))).alias("p"))
+    return ranked.select("group", F.slice(F.transform("p", lambda x: x["place"]), F.lit(1), most).alias("places"))
+
+
+def by_places(rows: DataFrame) -> DataFrame:
+    """masked, template of groups of many lines that are seldom similar: place after place, lines of one token there meet."""
+    rows = written(rows, "stuck")
+    places = written(varied_places(rows), "places")
+    merged = rows.select("masked", F.col("masked").alias("template"))
+    passes = places.agg(F.max(F.size("places")).alias("n")).first()["n"] or 0
+
+    for k in range(passes):
+
+        @frugal
+        def dealt(batches: Iterator[pd.DataFrame], k: int = k) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                token = [np.frombuffer(t, dtype=np.int64)[p] for t, p in zip(pdf["tokens"], pdf["place"], strict=True)]
+                key = pdf["group"].to_numpy().view(np.uint64) * np.uint64(textops.BASE) + np.uint64(k)
+                sub = textops.mix(textops.mix(key) + np.array(token, dtype=np.int64).view(np.uint64)).view(np.int64)
+                yield pdf[["masked", "tokens", "weight"]].assign(group=sub)
+
+        own = rows.join(places.where(F.size("places") > k).select("group", F.get("places", F.lit(k)).alias("place")), "group")
+        subs = written(own.select("group", "masked", "tokens", "weight", "place").mapInPandas(dealt, "masked long, tokens binary, weight long, group long"), "subs")
+        shared = subs.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+        met = subs.join(shared, "group").select("group", "masked", "tokens", "weight", "n")
+        found = written(resolved_whole(met), "met")
+        merged = followed(merged, found.select("masked", "template"))
+        changed = found.select("masked", "template", F.col("tokens").alias("new"), F.col("weight").alias("sum"))
+        kept = rows.join(changed, "masked", "left").where("template is null or template = masked")
+        rows = written(kept.select("group", "masked", F.coalesce("new", "tokens").alias("tokens"), F.coalesce("sum", "weight").alias("weight")), "stuck")
+    return merged
+
+
+def resolved_whole(rows: DataFrame) -> DataFrame:
+    """masked, template, tokens, weight as of resolved(): tokens and weight of each template, at its own row."""
+    found = written(resolved(rows), "whole")
+    members = rows.join(found, "masked").select("template", "masked", "tokens", "weight")
+
+    @frugal
+    def common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What the lines of a template agree in, over the templates of a batch."""
+        for pdf in batches:
+            out = []
+            for template, own in pdf.groupby("template"):
+                words = np.stack([np.frombuffer(t, dtype=np.int64) for t in own["tokens"]])
+                out.append((template, np.where((words == words[0]).all(axis=0), words[0], FIELD).tobytes(), int(own["weight"].sum())))
+            yield pd.DataFrame(out, columns=["template", "tokens", "weight"])
+
+    schema = "template long, tokens binary, weight long"
+    # combined where the lines are, then once more by template
+    partial = members.select("template", "tokens", "weight").mapInPandas(common, schema)
+    summed = partial.groupBy("template").applyInPandas(lambda pdf: next(common(iter([pdf]))), schema)
+    up = summed.select(F.col("template").alias("masked"), "tokens", "weight")
+    return found.join(up, "masked", "left").select("masked", "template", "tokens", "weight")
 
 
 def gone_stretches(stretches: DataFrame, min_docs: int) -> DataFrame:
@@ -370,9 +471,27 @@ def gone_stretches(stretches: DataFrame, min_docs: int) -> DataFrame:
     return stretches.join(seen.select("masked", "first"), "masked").where("doc <> first").select("doc", "masked")
 
 
+def by_text(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc, masks: the set of each document's hashes that go, for its texts.
+
+    An id that very many rows share may have any number of them; where there are more than `HEAVY`,
+    each of its texts, by a hash in `own`, has those that stand in it instead.
+    """
+    sets = lambda df, by: df.groupBy(*by).agg(F.collect_set("masked").alias("masks"))
+    gone = written(gone, "gone")
+    heavy = written(gone.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("doc"), "heavy")
+    if heavy.isEmpty():
+        return sets(gone, ["doc"])
+    texts = keyed.join(heavy, "doc", "left_semi").select(F.struct("doc", F.xxhash64("text").alias("own")).alias("doc"), "text").where("text is not null")
+    own = line_hashes(texts.select(F.to_json("doc").alias("doc"), "text"), "string").select(F.from_json("doc", "doc long, own long").alias("d"), "masked").select("d.doc", "d.own", "masked")
+    found = own.join(gone, ["doc", "masked"], "left_semi").distinct()
+    light = sets(gone.join(heavy, "doc", "left_anti"), ["doc"]).select("doc", F.lit(None).cast("long").alias("own"), "masks")
+    return light.unionByName(sets(found, ["doc", "own"]))
+
+
 def dedup_lines(docs: DataFrame, keep_empty: bool = False, min_docs: int = MIN_DOCS) -> DataFrame:
     """The columns of docs (doc_id, text among them), with recurring lines and stretches dropped from text."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)))
     keyed = docs.select(doc.alias("doc"), "text").where("text is not null")
     both = written(line_hashes(keyed), "lines", partition="kind")
     lines = both.where("kind = 0").select("doc", "leaf", "masked")
@@ -387,11 +506,17 @@ def dedup_lines(docs: DataFrame, keep_empty: bool = False, min_docs: int = MIN_D
         recurring = recurring.join(members.groupBy("template").count().where(F.col("count") >= min_docs).select("template"), "template")
     marked = by_line.select("masked", "template").join(recurring.select("template", "first"), "template").select("masked", "first")
     gone = lines.join(marked, "masked").where("doc <> first").select("doc", "masked").unionByName(gone_stretches(stretches, min_docs))
-    gone = gone.groupBy("doc").agg(F.collect_set("masked").alias("masks"))
+    gone = by_text(docs.select(doc.alias("doc"), "text"), gone)
 
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     whole = docs.select(doc.alias("doc"), F.struct(*docs.columns).alias("row"))
-    joined = whole.join(gone, "doc", "left")
+    if "own" in gone.columns:
+        whole = whole.withColumn("own", F.xxhash64("row.text"))
+        joined = whole.join(gone.where("own is null").drop("own"), "doc", "left")
+        heavy = gone.where("own is not null").withColumnRenamed("masks", "heavy_masks")
+        joined = joined.join(heavy, ["doc", "own"], "left").withColumn("masks", F.coalesce("heavy_masks", "masks")).drop("heavy_masks", "own")
+    else:
+        joined = whole.join(gone, "doc", "left")
 
     @F.pandas_udf("string")
     @frugal

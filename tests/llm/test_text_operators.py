@@ -8,12 +8,13 @@ import random
 import re
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from factloom.llm import fingerprint, packing
+from factloom.llm import fingerprint, line_dedup, packing
 from factloom.llm.fingerprint import digest, edited_pairs, fit_rarity, levels, likeness, of_text, op3_fingerprints
 from factloom.llm.html_text import extract, op2_html_text
 from factloom.llm.line_dedup import FIELD, Lines, dedup_lines, op6_line_dedup, parse
@@ -296,6 +297,98 @@ def test_similar_lines_share_a_template_across_shares(spark, monkeypatch):
     assert 0 in found and not found & set(range(1, 20)) and 50 in found
 
 
+def lines_table(spark, lines):
+    """One leaf of lines of token hashes, all of weight 1."""
+    rows = pd.DataFrame({"group": 7, "masked": np.arange(len(lines)), "tokens": [x.tobytes() for x in lines], "weight": 1, "n": len(lines)})
+    return spark.createDataFrame(rows, "group long, masked long, tokens binary, weight long, n long").repartition(8)
+
+
+def pairs_of_lines(rng, n, size=12, tokens=10**9):
+    """n lines of one leaf: line i + n / 2 differs from line i in one or two places."""
+    first = rng.integers(10, tokens, (n // 2, size))
+    first[:, :3] = 5
+    second = first.copy()
+    for k in (3, 8):
+        at = rng.integers(3, size, n // 2) if k == 3 else rng.integers(3, size, n // 2)
+        second[np.arange(n // 2), at] = rng.integers(10, tokens, n // 2)
+    return np.concatenate([first, second]).astype(np.int64)
+
+
+@pytest.mark.parametrize("n,share,tokens", [(2_000, 2_000, 10**9), (20_000, 2_000, 10**9), (2_000, 200, 60)])
+def test_pairs_in_a_large_leaf_meet(spark, monkeypatch, n, share, tokens):
+    monkeypatch.setattr(line_dedup, "SHARE", share)
+    lines = pairs_of_lines(np.random.default_rng(n), n, tokens=tokens)
+    found = {r["masked"]: r["template"] for r in line_dedup.resolved(lines_table(spark, lines)).collect()}
+    assert len(found) == n
+    assert sum(found[i] == found[i + n // 2] for i in range(n // 2)) == n // 2
+    if tokens > 10**6:
+        assert len(set(found.values())) == n // 2  # and nothing else was merged
+
+
+def test_groups_pairs_and_lines_of_their_own_in_a_large_leaf(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARE", 100)
+    rng = np.random.default_rng(3)
+    own = rng.integers(10, 10**9, (1_000, 12))
+    group = np.tile(rng.integers(10, 10**9, 12), (700, 1))
+    group[:, 7] = rng.integers(10, 10**9, 700)
+    fields = np.tile(rng.integers(10, 10**9, 12), (300, 1))
+    fields[:, 4:6] = rng.integers(10, 10**9, (300, 2))
+    lines = np.concatenate([own, group, fields, pairs_of_lines(rng, 600)]).astype(np.int64)
+    lines[:, :3] = 5
+    found = {r["masked"]: r["template"] for r in line_dedup.resolved(lines_table(spark, lines)).collect()}
+    assert len({found[i] for i in range(1_000, 1_700)}) == len({found[i] for i in range(1_700, 2_000)}) == 1
+    assert len({found[i] for i in range(1_000)}) == 1_000
+    assert all(found[2_000 + i] == found[2_300 + i] for i in range(300))
+    assert len(set(found.values())) == 1_000 + 2 + 300
+
+
+def test_an_id_of_very_many_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HEAVY", 30)
+    rng = random.Random(2)
+    lines = [prose(rng, 8) for _ in range(60)]
+    rows = [(1, "\n".join(lines))] + [(5, f"{lines[i]}\nmine {prose(rng, 7)} {i}") for i in range(60)] + [(6, lines[3] + "\n" + prose(rng, 9)), (None, lines[4]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    light = sorted(map(str, dedup_lines(docs, keep_empty=True).collect()))
+    monkeypatch.setattr(line_dedup, "HEAVY", 10**6)
+    assert sorted(map(str, dedup_lines(docs, keep_empty=True).collect())) == light
+    kept = [r["text"] for r in dedup_lines(docs, keep_empty=True).where("doc_id = 5").collect()]
+    assert len(kept) == 60 and all(t.startswith("mine ") and "\n" not in t for t in kept)
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    line = "a line of more than five words"
+    docs = spark.createDataFrame([(None, line + "\nx"), (None, line + "\ny"), ((1 << 63) - 1, line + "\nz")], "doc_id long, text string")
+    found = sorted(r["text"] for r in dedup_lines(docs, keep_empty=True).collect())
+    assert sum(line in t for t in found) == 1
+
+
+def test_whole_results_match_brute_force(spark):
+    """Leaves hold clusters of lines that are alike within, and far apart between: the templates are the clusters whatever the order."""
+    rng = random.Random(8)
+    bases = [prose(rng, rng.randint(6, 14)).split() for _ in range(40)]
+    texts = []
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(bases))
+            words = list(bases[k])
+            if rng.random() < 0.5:
+                words[len(words) - 1 - k % 2] = rng.choice([f"n{rng.randrange(99)}", prose(rng, 1)])
+            lines.append((k, " ".join(words)))
+        lines += [(None, prose(rng, 7)) for _ in range(rng.randint(0, 2))] + [(None, "too short")]
+        rng.shuffle(lines)
+        texts.append((rng.randrange(10_000), lines))
+    first, members = {}, defaultdict(set)
+    for doc, lines in texts:
+        for k, line in lines:
+            if k is not None:
+                members[k].add(doc)
+                first[k] = min(first.get(k, doc), doc)
+    want = sorted((doc, "\n".join(line for k, line in lines if k is None or len(members[k]) < 2 or first[k] == doc)) for doc, lines in texts)
+    docs = spark.createDataFrame([(doc, "\n".join(line for _, line in lines)) for doc, lines in texts], "doc_id long, text string").repartition(4)
+    assert sorted((r["doc_id"], r["text"]) for r in dedup_lines(docs, keep_empty=True).collect()) == want
+
+
 def prose(rng, n):
     parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it st".split()
     return " ".join("".join(rng.choices(parts, k=rng.randint(2, 4))) for _ in range(n))
