@@ -34,6 +34,8 @@ TWICE = 2
 FACTOR = 10
 ONE_IN = 31
 CELLS = 2_000_000
+#: Words whose neighbourhoods a task makes, about.
+WORDS_A_TASK = 50_000
 BITS_A_WORD, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 29
 PROBES = 4
 #: The bit array reaches the driver in pieces of so many bits.
@@ -174,7 +176,8 @@ def vocabulary_filter(words: DataFrame, count: int) -> np.ndarray:
 def near_words(words: DataFrame) -> DataFrame:
     """word, near, n: every pair of words of the vocabulary (word, n) at one edit, both ways, n that of `near`."""
     spark = words.sparkSession
-    known = spark.sparkContext.broadcast(vocabulary_filter(words, words.count()))
+    count = words.count()
+    known = spark.sparkContext.broadcast(vocabulary_filter(words, count))
     letters = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct()
     alphabet = "".join(sorted(r["c"] for r in letters.collect()))  # of the class of RUN, so it is bounded
 
@@ -189,7 +192,8 @@ def near_words(words: DataFrame) -> DataFrame:
                     rows, size = [], 0
             yield pd.DataFrame(rows, columns=["word", "near"])
 
-    made = words.select("word").mapInPandas(frugal(candidates), "word string, near string")
+    dealt = words.select("word").repartition(max(1, -(-count // WORDS_A_TASK)), "word")
+    made = dealt.mapInPandas(frugal(candidates), "word string, near string")
     return made.join(words.select(F.col("word").alias("near"), "n"), "near").select("word", "near", "n")
 
 

@@ -32,6 +32,8 @@ BOUND = 12_000
 FEATURES = 4_000
 THRESHOLD = 0.3
 CHUNKS = 16
+#: Tasks that count n-grams of the labelled rows, at most.
+FIT_TASKS = 12
 _GROUP = 1 << 18
 
 
@@ -140,10 +142,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, n_featu
             label = pdf["label"].to_numpy()
             for doc, bucket in _present(pdf["text"].tolist(), everything, buckets):
                 for k in (0, 1):
-                    total[k] += np.bincount(bucket[label[doc] == k], minlength=buckets).astype(np.int32)
+                    cells, n = np.unique(bucket[label[doc] == k], return_counts=True)
+                    total[k, cells] += n.astype(np.int32)
         yield pack_arrays(TaskContext.get().partitionId(), total, CHUNKS)
 
-    counted = tree_sum(sample.mapInPandas(counts, ARRAYS), (2, buckets), "int32", CHUNKS).astype(float)
+    # a task's counts are a table of a fixed size, so a bounded sample is counted in few tasks
+    counted = tree_sum(sample.coalesce(FIT_TASKS).mapInPandas(counts, ARRAYS), (2, buckets), "int32", CHUNKS).astype(float)
     sizes = dict(sample.groupBy("label").count().collect())
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     chosen = np.full(buckets, -1, dtype=np.int32)
