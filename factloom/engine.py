@@ -130,4 +130,5 @@ class Engine:
         return {"changes": changed, "alignment": compare.alignment(changed, goal), "concerns": compare.concerns(before, after, goal)}
 
     def review(self, diffs: DataFrame, goal: str = "", queries: tuple[str, ...] = ("orphans", "test_gaps")) -> dict[str, DataFrame]:
-        return compare.review(diffs, goal, queries)
+        """The parts of a review as tables; those that fail are rows of `errors`."""
+        return compare.settled_review(self.spark, compare.review_parts(diffs, goal, queries))

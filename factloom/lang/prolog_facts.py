@@ -32,10 +32,18 @@ PREFIX = {
 CONTROL = frozenset((",", ";", "|", "->", "*->"))
 
 
+#: Terms within terms, at most; a clause with more is left out, and an `error` fact says so.
+DEEPEST = 250
+
+
 class Malformed(Exception):
     pass
 
 
+class TooDeep(Malformed):
+    pass
+
+
 @dataclass
 class Term:
     kind: str  # compound, atom, operator_atom, infix, prefix, cut, list, curly, paren, other
@@ -60,6 +68,7 @@ class Reader:
             at = max(found.end(), at + 1)
         self.i = 0
         self.depth = 0
+        self.too_deep: list[int] = []  # where clauses start that are left out
 
     def peek(self) -> tuple[str, str, int, int]:
         return self.tokens[self.i] if self.i < len(self.tokens) else ("eof", "", len(self.code), len(self.code))
@@ -74,7 +83,9 @@ class Reader:
                     raise Malformed
                 self.i += 1
                 yield term
-            except (Malformed, RecursionError):
+            except (Malformed, RecursionError) as e:
+                if not isinstance(e, Malformed) or isinstance(e, TooDeep):
+                    self.too_deep.append(self.tokens[start][2])
                 self.i = max(self.i, start)
                 while self.peek()[0] not in ("end", "eof"):
                     self.i += 1
@@ -89,8 +100,8 @@ class Reader:
 
     def term(self, most: int) -> Term:
         self.depth += 1
-        if self.depth > 250:
-            raise Malformed
+        if self.depth > DEEPEST:
+            raise TooDeep
         left, level = self.primary(most)
         while True:
             kind, text, start, end = self.peek()
@@ -186,7 +197,8 @@ class Extractor:
         return bisect_right(self.starts, at)
 
     def run(self) -> None:
-        clauses = list(Reader(self.code).clauses())
+        reader = Reader(self.code)
+        clauses = list(reader.clauses())
         exported: set[str] = set()
         private = False
         for term in clauses:
@@ -196,6 +208,8 @@ class Extractor:
         for term in clauses:
             if not (term.kind == "prefix" and term.name in (":-", "?-")):
                 self.clause(term, seen, exported, private)
+        for at in reader.too_deep:
+            self.facts.add("error", name=f"a clause is nested over {DEEPEST} deep", line=self.line(at))
 
     def directive(self, goal: Term, exported: set[str]) -> bool:
         """Whether it declares a module, which makes what isn't exported private."""
@@ -207,7 +221,10 @@ class Extractor:
                 for e in goal.args[1].args:
                     if e.kind == "infix" and e.name == "/":
                         a, b = (self.code[x.start : x.end] for x in e.args)
-                        exported.add(normalize_id(f"{unquoted(a)}_{b}"))
+                        func_id = normalize_id(f"{unquoted(a)}_{b}")
+                        exported.add(func_id)
+                        if b.isdecimal():
+                            self.facts.add("export", module_id=self.facts.module_id, func_id=func_id, name=unquoted(a), arity=int(b), line=self.line(e.start))
             return True
         if name in ("use_module", "ensure_loaded", "consult") and goal.args:
             first = goal.args[0]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import callee_base
 from .extract import PROVENANCE, Relations, extract_facts
 from .queries import SECURITY_RULES, calls, hits, orphans, test_gaps
+from .store import cut
 
 FUNCTION = ["repo_id", "file_path", "module_id", "name"]
 
@@ -91,14 +95,34 @@ def diff_facts(diffs: DataFrame, language: str | None = None) -> tuple[Relations
     return Relations(extract_facts(side("before"))), Relations(extract_facts(side("after")))
 
 
-def review(diffs: DataFrame, goal: str = "", queries: tuple[str, ...] = ("orphans", "test_gaps")) -> dict[str, DataFrame]:
-    """The parts of a review: changes, alignment, concerns, and named queries over the after side."""
+def review_parts(diffs: DataFrame, goal: str = "", queries: tuple[str, ...] = ("orphans", "test_gaps")) -> dict[str, Callable[[], DataFrame]]:
+    """What makes each part of a review: changes, alignment, concerns, and named queries over the after side."""
     named = {"orphans": orphans, "test_gaps": test_gaps}
     if unknown := set(queries) - named.keys():
         raise ValueError(f"unknown queries {sorted(unknown)}; there are {sorted(named)}")
     before, after = diff_facts(diffs)
-    changes = function_diff(before, after)
-    return {"changes": changes, "alignment": alignment(changes, goal), "concerns": concerns(before, after, goal)} | {q: named[q](after) for q in queries}
+    parts = {
+        "changes": lambda: function_diff(before, after),
+        "alignment": lambda: alignment(function_diff(before, after), goal),
+        "concerns": lambda: concerns(before, after, goal),
+    }
+    return parts | {name: partial(named[name], after) for name in queries}
+
+
+def review(diffs: DataFrame, goal: str = "", queries: tuple[str, ...] = ("orphans", "test_gaps")) -> dict[str, DataFrame]:
+    """The parts of a review, not run yet."""
+    return {name: make() for name, make in review_parts(diffs, goal, queries).items()}
+
+
+def settled_review(spark: SparkSession, parts: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """The parts as tables, and `errors` (part, kind, message): a part that fails is reported there, and the others stand."""
+    found, errors = {}, []
+    for name, make in parts.items():
+        try:
+            found[name] = cut(make(), f"review-{name}")
+        except Exception as e:  # noqa: BLE001  whatever fails is a row
+            errors.append((name, type(e).__name__, str(e)[:1_000]))
+    return found | {"errors": spark.createDataFrame(errors, "part string, kind string, message string")}
 
 
-__all__ = ["alignment", "callee_base", "concerns", "described", "diff_facts", "edge_diff", "function_diff", "review", "score_band", "tokens"]
+__all__ = ["alignment", "callee_base", "concerns", "described", "diff_facts", "edge_diff", "function_diff", "review", "review_parts", "score_band", "settled_review", "tokens"]

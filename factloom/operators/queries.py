@@ -20,6 +20,7 @@ REPO = ["repo_id", "commit_sha"]
 LAST_LINE = (1 << 31) - 1
 TEST_NAME = r"^test|_test\z"
 TEST_PATH = r"(^|/)(tests?|spec)/|_test\.|\.test\.|\.spec\.|(^|/)test_"
+#: Samples of rules, to be replaced by a team's own: each of these is an argument of its query.
 #: prefix of a name, pattern of forbidden callees (null: it must call something that matches the next), pattern required, message
 INTENT_RULES = (
     ("get_", r"^(save|delete|write|update|insert|remove)", None, "a getter changes state"),
@@ -65,6 +66,16 @@ def orphans(r: Relations, ignore_self: bool = False) -> DataFrame:
     return joined.where(alone).drop("callers", "one")
 
 
+def exported_functions(r: Relations) -> DataFrame:
+    """Functions that their module's declaration lists."""
+    return r.function.join(r.export, [*PROVENANCE, "module_id", "func_id"], "left_semi")
+
+
+def missing_exports(r: Relations) -> DataFrame:
+    """Exports that their file doesn't define."""
+    return r.export.join(r.function, [*PROVENANCE, "module_id", "func_id"], "left_anti")
+
+
 def is_test(name="name", path="file_path"):
     return F.col(name).rlike(TEST_NAME) | F.col(path).rlike(TEST_PATH)
 
@@ -270,7 +281,9 @@ def fan_out(r: Relations) -> DataFrame:
 def fan_in(r: Relations) -> DataFrame:
     """Calls by name of the callee, with its rank."""
     counted = calls(r).groupBy(*REPO, F.col("base").alias("name")).agg(F.count("*").alias("fan_in"))
-    return counted.withColumn("rank", F.dense_rank().over(Window.partitionBy(*REPO).orderBy(F.desc("fan_in"))).cast("long"))
+    # only the distinct counts of a repository are sorted, not its names
+    ranks = counted.select(*REPO, "fan_in").distinct().withColumn("rank", F.dense_rank().over(Window.partitionBy(*REPO).orderBy(F.desc("fan_in"))).cast("long"))
+    return counted.join(ranks, [*REPO, "fan_in"]).select(*REPO, "name", "fan_in", "rank")
 
 
 def line_spans(r: Relations) -> DataFrame:
@@ -336,16 +349,25 @@ def time_machine(r: Relations, order: dict[str, int] | DataFrame) -> DataFrame:
 
 def hotspots(now: Relations, past: Relations, order: dict[str, int] | DataFrame, top: int = 20) -> DataFrame:
     """Functions that are complex and often change: the product of both percent ranks, best first."""
+    return rated_functions(now, past, order, top).orderBy(F.desc("score"), "name", "file_path")
+
+
+@tidy
+def rated_functions(now: Relations, past: Relations, order: dict[str, int] | DataFrame, top: int) -> DataFrame:
     changes = time_machine(past, order).select("repo_id", "file_path", "name", "changes")
     rated = complexity(now).join(changes, ["repo_id", "file_path", "name"], "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
+    rated = cut(rated.select("file_path", "name", "complexity", "changes"), "rated")  # read by its own ranks
+    n = rated.count()
+    score = F.lit(1.0)
+    ranked = rated
     # ranks from counts of distinct values, so no task sorts all functions
     for c in ("complexity", "changes"):
         counts = rated.groupBy(c).agg(F.count("*").alias("k"))
-        below = counts.withColumn("below", F.coalesce(F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(c, "below")
-        total = counts.agg(F.sum("k").alias("n"))
-        rated = rated.join(below, c).crossJoin(F.broadcast(total)).withColumn(f"{c}_rank", F.coalesce(F.try_divide(F.col("below"), F.col("n") - 1), F.lit(0.0))).drop("below", "n")
-    score = F.round(F.col("complexity_rank") * F.col("changes_rank"), 9)
-    return rated.select("file_path", "name", "complexity", "changes", score.alias("score")).orderBy(F.desc("score"), "name", "file_path").limit(top)
+        below = counts.withColumn("below", F.coalesce(F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(c, F.col("below").alias(f"{c}_below"))
+        ranked = ranked.join(below, c)
+        score = score * F.coalesce(F.try_divide(F.col(f"{c}_below"), F.lit(n - 1)), F.lit(0.0))
+    scored = ranked.select("file_path", "name", "complexity", "changes", F.round(score, 9).alias("score"))
+    return scored.orderBy(F.desc("score"), "name", "file_path").limit(top)
 
 
 def intent_mismatches(r: Relations, rules=INTENT_RULES) -> DataFrame:

@@ -386,6 +386,87 @@ def security_imports(spark, sf):
     return q.security_imports(_risky(spark, sf)).select("file_path", "dep_name", "type")
 
 
+@query("""SELECT 'f' || s_suppkey || '.py' AS file_path, name, message FROM supplier JOIN (VALUES (0, 'get_it', 'a getter changes state'), (2, 'delete_it', 'nothing is removed'),
+  (4, 'validate_it', 'nothing is checked')) t(m, name, message) ON s_suppkey % 6 = m""")
+def intent_defaults(spark, sf):
+    """A function for each supplier, named and calling by its number."""
+    kinds = [("get_it", "save_all"), ("is_it", "looks"), ("delete_it", "looks"), ("delete_it", "drop_table"), ("validate_it", None), ("find_it", "looks")]
+    code = F.get(F.array(*(F.lit(f"def {n}(x):\n    {f'{c}(x)' if c else 'pass'}\n") for n, c in kinds)), (F.col("s_suppkey") % 6).cast("int"))
+    files = table(spark, sf, "supplier").select(F.lit("r").alias("repo_id"), F.lit("c").alias("commit_sha"), F.concat(F.lit("f"), "s_suppkey", F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("code"))
+    return q.intent_mismatches(Relations(extract_facts(files))).select("file_path", "name", "message")
+
+
+STATEMENT = """CASE event_id % 6 WHEN 0 THEN 'import ' || event_type || '.m as x' WHEN 1 THEN 'from a.' || event_type || ' import y' WHEN 2 THEN 'import' WHEN 3 THEN 'from ' || event_type
+  WHEN 4 THEN 'x = ' || user_id ELSE 'import ' || user_id || ', b' END"""
+
+
+@query(f"""SELECT event_id, CASE WHEN s LIKE 'import %' OR s LIKE 'from %' THEN [string_split(s, ' ')[2]] ELSE [] END AS names FROM (SELECT event_id, {STATEMENT} AS s FROM events)""")
+def import_names(spark, sf):
+    scalar.register_functions(spark)
+    said = table(spark, sf, "events").select("event_id", F.expr(STATEMENT).alias("s"))
+    return said.select("event_id", F.expr("fl_import_names(s, 'python')").alias("names"))
+
+
+def _exporting(spark, sf) -> Relations:
+    """A Prolog module for each supplier, whose exports go by its number: one of a/1, all, one that isn't there, none."""
+    key = F.col("s_suppkey")
+    exports = F.get(F.array(*map(F.lit, ["a/1", "a/1, b/0", "c/2", ""])), (key % 4).cast("int"))
+    code = F.concat(F.lit(":- module(m, ["), exports, F.lit("]).\na(X) :- b, d(X).\nb.\n"))
+    files = table(spark, sf, "supplier").select(F.lit("r").alias("repo_id"), F.lit("c").alias("commit_sha"), F.concat(F.lit("f"), key, F.lit(".pl")).alias("file_path"), F.lit("prolog").alias("language"), code.alias("code"))
+    return Relations(extract_facts(files))
+
+
+@query("""SELECT 'f' || s_suppkey || '.pl' AS file_path, name, CAST(arity AS BIGINT) AS arity, 'public' AS visibility FROM supplier JOIN (VALUES (0, 'a', 1), (1, 'a', 1), (1, 'b', 0)) t(m, name, arity) ON s_suppkey % 4 = m""")
+def exported_functions(spark, sf):
+    return q.exported_functions(_exporting(spark, sf)).select("file_path", "name", "arity", "visibility")
+
+
+@query("SELECT 'f' || s_suppkey || '.pl' AS file_path, 'c' AS name, CAST(2 AS BIGINT) AS arity FROM supplier WHERE s_suppkey % 4 = 2")
+def missing_exports(spark, sf):
+    return q.missing_exports(_exporting(spark, sf)).select("file_path", "name", "arity")
+
+
+def _changed_risks(spark, sf) -> tuple[Relations, Relations]:
+    """A file for each supplier before and after a change, by its number: a function loses visibility, calls what it shouldn't, or changes with or without a word of the goal."""
+    key, kinds = F.col("s_suppkey"), [
+        ("def retry_send(x):\n    print(x)\n", "def retry_send(x):\n    eval(x)\n"),
+        ("def paint(x):\n    print(x)\n", "def paint(x, y):\n    print(x)\n"),
+        ("def retrying(x):\n    print(x)\n", "def retrying():\n    print(x)\n"),
+        ("def same(x):\n    eval(x)\n", "def same(x):\n    eval(x)\n"),
+    ]
+    sides = []
+    for side in (0, 1):
+        code = F.get(F.array(*(F.lit(k[side]) for k in kinds)), (key % 4).cast("int"))
+        files = table(spark, sf, "supplier").select(F.lit("r").alias("repo_id"), F.lit(f"c{side}").alias("commit_sha"), F.concat(F.lit("f"), key, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("code"))
+        sides.append(Relations(extract_facts(files)))
+    return sides[0], sides[1]
+
+
+@query("""SELECT 'f' || s_suppkey || '.py' AS file_path, name, severity, type FROM supplier
+  JOIN (VALUES (0, 'eval', 'critical', 'new_code_execution'), (1, 'paint', 'low', 'unexpected_change')) t(m, name, severity, type) ON s_suppkey % 4 = m""")
+def diff_risks(spark, sf):
+    """Calls that match a default rule and weren't there before, and changes that share no word with the goal."""
+    before, after = _changed_risks(spark, sf)
+    return diff.concerns(before, after, "retry what is sent")
+
+
+def _narrowed(language: str, before: str, after: str):
+    def run(spark, sf):
+        sides = []
+        for sha, code in (("c0", before), ("c1", after)):
+            text = F.replace(F.lit(code), F.lit("#"), F.col("s_suppkey").cast("string"))
+            files = table(spark, sf, "supplier").select(F.lit("r").alias("repo_id"), F.lit(sha).alias("commit_sha"), F.concat(F.lit("f"), "s_suppkey", F.lit(".x")).alias("file_path"), F.lit(language).alias("language"), text.alias("code"))
+            sides.append(Relations(extract_facts(files)))
+        return diff.concerns(*sides)
+
+    return run
+
+
+query("SELECT 'f' || s_suppkey || '.x' AS file_path, 'run' || s_suppkey AS name, 'medium' AS severity, 'visibility_narrowed' AS type FROM supplier", "diff_narrowed")(
+    _narrowed("rust", "pub fn run#(a: i64) {}\npub fn stay#() {}\n", "fn run#(a: i64) {}\npub fn stay#() {}\n")
+)
+
+
 EDGES = "ed AS (SELECT replace(stem, '/', '_') AS src, replace(dep, '.', '_') AS dst FROM im)"
 
 

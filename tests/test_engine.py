@@ -247,3 +247,27 @@ def test_plans(spark, tmp_path):
     plan = q.orphans(r)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "PartitionFilters" in plan
     assert "LeftAnti" in plan
+
+
+def test_a_part_of_a_review_that_fails_is_reported(spark, repo, monkeypatch):
+    from factloom.operators import diff
+
+    engine = Engine(spark)
+    diffs = engine.diffs("HEAD", str(repo))
+    parts = diff.review_parts(diffs, "use x")
+    parts["concerns"] = lambda: 1 / 0
+    parts["test_gaps"] = lambda: spark.range(3).select(F.raise_error(F.lit("broken while it runs")))
+    found = diff.settled_review(spark, parts)
+    assert found.keys() == {"changes", "alignment", "orphans", "errors"} and found["changes"].count() == 3
+    errors = {r["part"]: (r["kind"], r["message"]) for r in found["errors"].collect()}
+    assert errors.keys() == {"concerns", "test_gaps"} and errors["concerns"][0] == "ZeroDivisionError" and "broken while it runs" in errors["test_gaps"][1]
+    assert engine.review(diffs)["errors"].count() == 0
+
+
+def test_clauses_nested_too_deep_are_reported(spark):
+    from factloom.lang import file_facts
+
+    code = "p(X) :- q(" + "f(" * 300 + "X" + ")" * 300 + ").\nr(X) :- s(X).\n"
+    rows = file_facts(code, "prolog", "a.pl")
+    assert [r["name"] for r in rows if r["predicate"] == "function"] == ["r"]
+    assert [(r["line"], "nested" in r["name"]) for r in rows if r["predicate"] == "error"] == [(1, True)]
