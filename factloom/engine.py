@@ -33,7 +33,7 @@ VERSION = "3"
 
 class Engine:
     """store: a folder for facts; beside it lie `<store>.manifest` (which files, by checksum and last
-    commit, the facts stand for) and `<store>.sketches`."""
+    commit, the facts stand for), `<store>.sketches` and `<store>.changes`."""
 
     def __init__(self, spark: SparkSession, store: str | None = None, repo_id: str | None = None):
         self.spark, self.store, self.repo_id = spark, store, repo_id
@@ -67,6 +67,7 @@ class Engine:
         if prune:
             replaced = replaced.unionByName(self.gone(paths, signed))
         facts = cut(extract_facts(listing.read_code(changed)), "facts")
+        self.log_changes(changed, replaced, facts)
         upsert(facts, self.store, files=replaced)
         upsert(file_sketches(Relations(facts)), f"{self.store}.sketches", files=replaced)
         # last, so that a run that fails before is done again
@@ -74,6 +75,26 @@ class Engine:
         upsert(seen.where("checksum is not null"), f"{self.store}.manifest", files=signed.select(*KEY).unionByName(replaced))
         return self.facts()
 
+    def log_changes(self, changed: DataFrame, replaced: DataFrame, facts: DataFrame) -> None:
+        """Adds to `<store>.changes` the functions of these files that differ from those that the store has.
+
+        A run is named by the files it found, so one that failed and is done again writes the same folder.
+        """
+        if not exists(self.spark, self.store):
+            return
+        own = changed.agg(F.coalesce(F.sum(F.xxhash64(*KEY, "checksum").cast("decimal(38,0)")), F.lit(0)).cast("string")).first()[0]
+        before = Relations(self.facts().join(replaced.distinct(), KEY, "left_semi"))
+        found = compare.function_diff(before, Relations(facts)).select("repo_id", "file_path", "name", "change")
+        sha = changed.select("repo_id", "commit_sha").distinct()
+        found.join(sha, "repo_id", "left").write.mode("overwrite").parquet(f"{self.store}.changes/run={own}")
+
+    def changes(self) -> DataFrame:
+        """repo_id, file_path, name, changes: how often lens() has found a function's signature or calls modified."""
+        if not exists(self.spark, f"{self.store}.changes"):
+            return self.facts().select("repo_id", "file_path", "name", F.lit(0).cast("long").alias("changes")).limit(0)
+        log = self.spark.read.schema("repo_id string, file_path string, name string, change string, commit_sha string").parquet(f"{self.store}.changes")
+        return log.where("change = 'modified'").groupBy("repo_id", "file_path", "name").agg(F.count("*").alias("changes"))
+
     def gone(self, paths: list[str], found: DataFrame) -> DataFrame:
         """Files of the manifest below these paths that the listing no longer has."""
         manifest = f"{self.store}.manifest"
@@ -100,10 +121,12 @@ class Engine:
         return estimates(merged(self.spark.read.parquet(f"{self.store}.sketches"), by))
 
     def query(self, name: str, commit: str | None = None, facts: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
-        """history: the stored commits in order (commit_sha, ordinal), by which hotspots rates change;
-        without it they are rated by complexity alone."""
+        """history: stored commits in order (commit_sha, ordinal), by which hotspots rates change; without it by
+        the changes that the store has logged, and without a store by complexity alone."""
         if name == "hotspots" and history is not None:
             return q.hotspots(Relations(self.facts(commit) if facts is None else facts), Relations(self.facts()), history)
+        if name == "hotspots" and self.store and facts is None:
+            return q.hotspots_by(Relations(self.facts(commit)), self.changes())
         if name not in QUERIES:
             raise ValueError(f"unknown query {name!r}; there are {sorted(QUERIES)}")
         return QUERIES[name](Relations(self.facts(commit) if facts is None else facts))

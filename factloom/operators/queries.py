@@ -339,22 +339,28 @@ def function_history(r: Relations, order: dict[str, int] | DataFrame) -> DataFra
 
 
 def time_machine(r: Relations, order: dict[str, int] | DataFrame) -> DataFrame:
-    """First and last commit, number of commits and of changes of the signature of each function."""
+    """First and last commit, number of commits and of changes of the signature of each function; lifespan is
+    the number of commits from the first to the last, those in between where it is missing included."""
     h = function_history(r, order)
     changed = F.count_if(F.col("signature_before") != F.col("signature"))
     return h.groupBy("repo_id", "file_path", "name").agg(
-        F.min("ordinal").alias("first_seen"), F.max("ordinal").alias("last_seen"), F.count("*").alias("commits"), changed.alias("changes")
+        F.min("ordinal").alias("first_seen"), F.max("ordinal").alias("last_seen"), F.count("*").alias("commits"), changed.alias("changes"),
+        (F.max("ordinal") - F.min("ordinal") + 1).alias("lifespan"),
     )
 
 
 def hotspots(now: Relations, past: Relations, order: dict[str, int] | DataFrame, top: int = 20) -> DataFrame:
     """Functions that are complex and often change: the product of both percent ranks, best first."""
-    return rated_functions(now, past, order, top).orderBy(F.desc("score"), "name", "file_path")
+    return hotspots_by(now, time_machine(past, order), top)
+
+
+def hotspots_by(now: Relations, changes: DataFrame, top: int = 20) -> DataFrame:
+    """The same by given numbers of changes: repo_id, file_path, name, changes."""
+    return rated_functions(now, changes.select("repo_id", "file_path", "name", "changes"), top).orderBy(F.desc("score"), "name", "file_path")
 
 
 @tidy
-def rated_functions(now: Relations, past: Relations, order: dict[str, int] | DataFrame, top: int) -> DataFrame:
-    changes = time_machine(past, order).select("repo_id", "file_path", "name", "changes")
+def rated_functions(now: Relations, changes: DataFrame, top: int) -> DataFrame:
     rated = complexity(now).join(changes, ["repo_id", "file_path", "name"], "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
     rated = cut(rated.select("file_path", "name", "complexity", "changes"), "rated")  # read by its own ranks
     n = rated.count()

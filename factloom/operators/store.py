@@ -15,8 +15,9 @@ def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one on a local master where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        found = tempfile.mkdtemp(prefix="factloom-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/factloom-work"
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 

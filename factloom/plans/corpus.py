@@ -7,7 +7,11 @@ come, go and change their arity.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import os
+import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extract import extract_facts
@@ -119,3 +123,20 @@ def stored_facts(spark: SparkSession, sf_dir: str, which: str = "python") -> Dat
         files = history(spark, sf_dir) if which == "history" else corpus(spark, sf_dir, which)
         _stored[key] = write_facts(extract_facts(files), f"facts-{which}")
     return _stored[key]
+
+
+def planted(files: DataFrame, top: str | None = None) -> str:
+    """Writes files (file_path, code) below a folder that tasks see as one of their own, and returns it."""
+    from ..operators.store import work_dir
+
+    top = top or f"{work_dir(files.sparkSession).removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+
+    def write(rows: Iterator[Row]) -> None:
+        for row in rows:
+            path = os.path.join(top, row["file_path"])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w", encoding="utf-8", newline="") as f:
+                f.write(row["code"])
+
+    files.select("file_path", "code").foreachPartition(write)
+    return top

@@ -6,17 +6,19 @@ tables directly, so no parser takes part in the expected rows.
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import scalar
 from ..operators import diff, queries as q, sketches, store
 from ..operators.extract import Relations, extract_facts, file_summary, render, run_totals
 from ..streaming import late, running, windows
-from ..sources import patch
-from .corpus import COMMITS, REPO, TEMPLATES, corpus, history, stored_facts, table
+from ..sources import arrivals, listing, patch, tree
+from .corpus import COMMITS, REPO, TEMPLATES, corpus, history, planted, stored_facts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -543,7 +545,7 @@ def fan_in_rank(spark, sf):
 # history and differences
 
 
-@query(with_base("SELECT path AS file_path, name, min(i) AS first_seen, max(i) AS last_seen, count(*) AS commits, CAST(sum(CASE WHEN before <> arity THEN 1 ELSE 0 END) AS BIGINT) AS changes FROM (SELECT *, lag(arity) OVER (PARTITION BY path, name ORDER BY i) AS before FROM h) GROUP BY path, name", HIST))
+@query(with_base("SELECT path AS file_path, name, min(i) AS first_seen, max(i) AS last_seen, count(*) AS commits, CAST(sum(CASE WHEN before <> arity THEN 1 ELSE 0 END) AS BIGINT) AS changes, max(i) - min(i) + 1 AS lifespan FROM (SELECT *, lag(arity) OVER (PARTITION BY path, name ORDER BY i) AS before FROM h) GROUP BY path, name", HIST))
 def time_machine(spark, sf):
     return q.time_machine(facts(spark, sf, "history"), ORDER).drop("repo_id")
 
@@ -782,3 +784,119 @@ def stream_windows_late(spark, sf):
     events = table(spark, sf, "events").withColumn("part", (F.col("event_id") % 3).cast("int"))
     found = late.accounted(spark, events, ["event_type"], "1 day", "6 hours", ["event_id", "ts"])
     return found.groupBy("event_type", F.col("start").cast("timestamp_ntz").alias("start")).agg(F.sum("changes").alias("changes"))
+
+
+# trees of files on disk
+
+
+CODE = """code AS (SELECT path, i, 'import lib_' || ((CAST(regexp_extract(path, 's([0-9]+)[.]py$', 1) AS BIGINT) + i) // 2) || chr(10) || body || chr(10) AS text
+  FROM (SELECT path, i, string_agg('def ' || name || '(' || array_to_string(list_transform(range(arity), lambda p: 'a' || p), ', ') || '):' || chr(10) || '    ' || callee || '()', chr(10) ORDER BY k) AS body
+    FROM h GROUP BY path, i))"""
+
+
+def _tree(spark: SparkSession, sf: str, sha: str, top: str | None = None) -> str:
+    return planted(history(spark, sf).where(F.col("commit_sha") == sha), top)
+
+
+def _below(top: str) -> Column:
+    return F.replace("file_path", F.lit(f"{top}/"), F.lit("")).alias("file_path")
+
+
+@query(with_base("SELECT path AS file_path, 'python' AS language, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS checksum FROM code WHERE i = 0", HIST + ", " + CODE))
+def tree_listing(spark, sf):
+    """Files on disk, listed and hashed in tasks."""
+    top = _tree(spark, sf, "c0")
+    found = listing.checksums(Engine(spark).listing([top]))
+    return found.select(_below(top), "language", "bytes", "checksum")
+
+
+@query(with_base("SELECT path AS file_path, text AS code FROM code WHERE i = 0 AND contains(path, '_1')", HIST + ", " + CODE))
+def tree_source(spark, sf):
+    """The same files by the source of one phase, with filters that reach its listing."""
+    top = _tree(spark, sf, "c0")
+    tree.register(spark)
+    found = spark.read.format("source_tree").option("path", top).load().where("language = 'python'")
+    return found.select(_below(top), "code").where(F.contains("file_path", F.lit("_1")))
+
+
+@query(with_base("SELECT path AS file_path, name, arity, vis AS visibility FROM h WHERE i = 0", HIST))
+def tree_lens(spark, sf):
+    top = _tree(spark, sf, "c0")
+    return Relations(Engine(spark).lens([top])).function.select(_below(top), "name", "arity", "visibility")
+
+
+@query(with_base("SELECT path AS file_path, name, arity FROM h JOIN (SELECT path, max(i) AS last FROM h WHERE i <= 1 GROUP BY path) USING (path) WHERE i = last", HIST))
+def tree_lens_again(spark, sf):
+    """A store's facts after files of the next commit have replaced those on disk: only what changed is parsed."""
+    top = _tree(spark, sf, "c0")
+    engine = Engine(spark, f"{top}.store/facts")
+    engine.lens([top])
+    _tree(spark, sf, "c1", top)
+    return Relations(engine.lens([top])).function.select(_below(top), "name", "arity")
+
+
+@query(with_base("SELECT path AS file_path, name, count(*) AS changes FROM (SELECT path, name, arity, callee, lag(arity) OVER w AS a, lag(i) OVER w AS j, i FROM h WHERE i <= 1 WINDOW w AS (PARTITION BY path, name ORDER BY i)) WHERE j = i - 1 AND a <> arity GROUP BY ALL", HIST))
+def tree_changes(spark, sf):
+    """How often a store has seen functions modified."""
+    top = _tree(spark, sf, "c0")
+    engine = Engine(spark, f"{top}.store/facts")
+    engine.lens([top])
+    _tree(spark, sf, "c1", top)
+    engine.lens([top])
+    return engine.changes().select(_below(top), "name", "changes")
+
+
+@query(with_base("""SELECT 'tables' AS repo_id, 'python' AS language, count(DISTINCT path) AS files, count(*) AS functions, CAST(count(DISTINCT path) + 2 * count(*) AS BIGINT) AS loc
+  FROM h JOIN (SELECT path, max(i) AS last FROM h WHERE i <= 1 GROUP BY path) USING (path) WHERE i = last""", HIST))
+def stream_tree_totals(spark, sf):
+    """Running totals of files that arrive in a folder, of which a later commit replaces some."""
+    top = _tree(spark, sf, "c0")
+    arrivals.register(spark)
+    stream = spark.readStream.format("source_arrivals").option("path", top).option("repo_id", REPO).load()
+    for sha in ("c0", "c1"):
+        _tree(spark, sf, sha, top)
+        running.keep_totals(stream, f"{top}.totals", f"{top}.state").awaitTermination()
+    return running.totals(spark, f"{top}.totals").select("repo_id", "language", "files", "functions", "loc")
+
+
+def _committed(spark: SparkSession, sf: str) -> str:
+    """A git repository whose two commits hold the trees of the first and the last commit of the history."""
+    top = _tree(spark, sf, "c0")
+    run = lambda *args: subprocess.run(["git", "-c", "user.name=f", "-c", "user.email=f@f", "-C", top, *args], check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    for sha in ("c0", "c3"):
+        if sha != "c0":
+            run("rm", "-rq", ".")
+            _tree(spark, sf, sha, top)
+        run("add", "-A")
+        run("commit", "-qm", sha)
+    return top
+
+
+BOTH = "two AS (SELECT a.path, a.text AS before, b.text AS after FROM code a JOIN code b ON a.path = b.path WHERE a.i = 0 AND b.i = 3 AND a.text <> b.text)"
+
+
+@query(with_base("SELECT path, 'python' AS language, sha256(before) AS before, sha256(after) AS after FROM two", HIST + ", " + CODE + ", " + BOTH))
+def git_modified_files(spark, sf):
+    """Both sides of the files that a commit modifies, read from git's objects in tasks."""
+    diffs = Engine(spark).diffs("HEAD~1..HEAD", _committed(spark, sf)).where("status = 'modified'")
+    return diffs.select("path", "language", F.sha2(F.col("before").cast("binary"), 256).alias("before"), F.sha2(F.col("after").cast("binary"), 256).alias("after"))
+
+
+@query(with_base("""SELECT path AS file_path, name, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM (
+  SELECT path, name, max(arity) FILTER (WHERE i = 0) AS a, max(arity) FILTER (WHERE i = 3) AS b FROM h JOIN two USING (path) WHERE i IN (0, 3) GROUP BY path, name) WHERE a IS DISTINCT FROM b""", HIST + ", " + CODE + ", " + BOTH))
+def git_function_changes(spark, sf):
+    """Functions that a commit adds, deletes and modifies in the files that it modifies."""
+    engine = Engine(spark)
+    diffs = engine.diffs("HEAD~1..HEAD", _committed(spark, sf)).where("status = 'modified'")
+    return engine.diff(diffs)["changes"].select("file_path", "name", "change")
+
+
+@query(with_base("SELECT path AS file_path, count(*) AS functions FROM h WHERE i = 3 GROUP BY path", HIST))
+def tree_language_filter(spark, sf):
+    """A lens of one language with patterns that are ignored, in a repository that ignores more."""
+    top = _committed(spark, sf)
+    extra = spark.createDataFrame([("ignored/x.py", "def no(): pass\n"), ("src/vendor_x.py", "def no(): pass\n"), ("src/y.rs", "fn no() {}\n"), (".gitignore", "ignored/\n")], "file_path string, code string")
+    planted(extra, top)
+    r = Relations(Engine(spark).lens([top], "Python", ["vendor_*", "*vendor_*"]))
+    return r.function.groupBy(_below(top)).agg(F.count("*").alias("functions"))

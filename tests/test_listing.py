@@ -152,6 +152,22 @@ def test_facts_of_a_commit_hold_unchanged_files(spark, tmp_path):
     assert sorted(r["name"] for r in engine.query("orphans", sha).collect()) == ["a", "b2"]
 
 
+def test_hotspots_by_the_changes_that_were_seen(spark, tmp_path):
+    top = tmp_path / "src"
+    top.mkdir()
+    engine = Engine(spark, str(tmp_path / "store/facts"))
+    small = "def small(x):\n    pass\n"
+    for n in range(4):
+        (top / "a.py").write_text(small + "def busy(" + ", ".join(f"p{i}" for i in range(n)) + "):\n" + "    g()\n" * 9 + "def calm():\n" + "    g()\n" * 9 + "def last():\n    pass\n")
+        engine.lens([str(top)])
+    (top / "a.py").write_text((top / "a.py").read_text())
+    engine.lens([str(top)])  # nothing new
+    assert {r["name"]: r["changes"] for r in engine.changes().collect()} == {"busy": 3}
+    best = engine.query("hotspots").collect()
+    assert (best[0]["name"], best[0]["changes"]) == ("busy", 3) and best[0]["score"] > 0 and {r["score"] for r in best[1:]} == {0.0}
+    assert {r["name"] for r in best} == {"small", "busy", "calm", "last"}
+
+
 # sketches
 
 
