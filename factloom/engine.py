@@ -13,7 +13,7 @@ from .operators import diff as compare
 from .operators import queries as q
 from .operators.extract import FACTS, Relations, extract_facts
 from .operators.sketches import estimates, file_sketches, merged
-from .operators.store import KEY, cut, exists, unknown_files, upsert
+from .operators.store import KEY, cut, exists, read_manifest, unknown_files, upsert
 from .sources import git, listing, patch, tree
 
 QUERIES: dict[str, Callable[[Relations], DataFrame]] = {
@@ -29,6 +29,8 @@ QUERIES: dict[str, Callable[[Relations], DataFrame]] = {
 
 #: Of the parsers; facts of another version are extracted anew.
 VERSION = "3"
+#: Folders of a store that files are dealt to; a lens rewrites those of changed files. Fixed for all stores.
+BUCKETS = 64
 
 
 class Engine:
@@ -68,11 +70,11 @@ class Engine:
             replaced = replaced.unionByName(self.gone(paths, signed))
         facts = cut(extract_facts(listing.read_code(changed)), "facts")
         self.log_changes(changed, replaced, facts)
-        upsert(facts, self.store, files=replaced)
-        upsert(file_sketches(Relations(facts)), f"{self.store}.sketches", files=replaced)
+        upsert(facts, self.store, BUCKETS, replaced)
+        upsert(file_sketches(Relations(facts)), f"{self.store}.sketches", BUCKETS, replaced)
         # last, so that a run that fails before is done again
         seen = signed.select(*KEY, "commit_sha", "checksum", F.lit(VERSION).alias("version"))
-        upsert(seen.where("checksum is not null"), f"{self.store}.manifest", files=signed.select(*KEY).unionByName(replaced))
+        upsert(seen.where("checksum is not null"), f"{self.store}.manifest", BUCKETS, signed.select(*KEY).unionByName(replaced))
         return self.facts()
 
     def log_changes(self, changed: DataFrame, replaced: DataFrame, facts: DataFrame) -> None:
@@ -104,16 +106,16 @@ class Engine:
         for path in paths or ["."]:
             below = below | (F.col("file_path") == path) | F.startswith("file_path", F.lit(os.path.join(path, "")))
         repo = found.select("repo_id").distinct()
-        return self.spark.read.parquet(manifest).where(below).select(*KEY).join(repo, "repo_id", "left_semi").join(found.select(*KEY), KEY, "left_anti")
+        return read_manifest(self.spark, manifest).where(below).select(*KEY).join(repo, "repo_id", "left_semi").join(found.select(*KEY), KEY, "left_anti")
 
     def facts(self, commit: str | None = None) -> DataFrame:
         """Stored facts; of a commit, those of the files that were last seen in it, whenever they were parsed."""
-        stored = self.spark.read.parquet(self.store).select(*FACTS.names)
+        stored = self.spark.read.schema(FACTS).parquet(self.store)
         if commit is None:
             return stored
         if not exists(self.spark, f"{self.store}.manifest"):
             return stored.where(F.col("commit_sha") == commit)
-        seen = self.spark.read.parquet(f"{self.store}.manifest").where(F.col("commit_sha") == commit).select(*KEY)
+        seen = read_manifest(self.spark, f"{self.store}.manifest").where(F.col("commit_sha") == commit).select(*KEY)
         return stored.join(seen, KEY, "left_semi").withColumn("commit_sha", F.lit(commit)).select(*FACTS.names)
 
     def sketches(self, by: list[str]) -> DataFrame:

@@ -94,12 +94,16 @@ def replace_files(stored: DataFrame, fresh: DataFrame, files: DataFrame) -> Data
     return stored.join(files.select(*KEY).distinct(), KEY, "left_anti").unionByName(fresh)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("repo_id string, file_path string, commit_sha string, checksum string, version string").parquet(path)
+
+
 def unknown_files(signed: DataFrame, path: str, version: str) -> DataFrame:
     """Files (KEY, checksum) that the manifest at path doesn't hold by checksum and version of the parsers."""
     spark = signed.sparkSession
     if not exists(spark, path):
         return signed
-    known = spark.read.parquet(path).where(F.col("version") == version).select(*KEY, "checksum")
+    known = read_manifest(spark, path).where(F.col("version") == version).select(*KEY, "checksum")
     return signed.join(known, [*KEY, "checksum"], "left_anti")
 
 
@@ -116,12 +120,13 @@ def upsert(fresh: DataFrame, path: str, buckets: int = 64, files: DataFrame | No
     jvm = spark._jvm.org.apache.hadoop.fs
     folder = jvm.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        fresh.write.partitionBy("bucket").parquet(path)
+        fresh.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
         return
     hit = [r["bucket"] for r in files.select("bucket").distinct().collect()]  # at most `buckets`
-    stored = spark.read.parquet(path).where(F.col("bucket").isin(hit))
+    stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(hit))
     merged = cut(replace_files(stored, fresh.select(*stored.columns), files), "upsert")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # few files a bucket, and large buckets over several tasks
+    merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     for bucket in set(hit) - {r["bucket"] for r in merged.select("bucket").distinct().collect()}:  # an overwrite leaves these as they were
         empty = jvm.Path(f"{path}/bucket={bucket}")
         empty.getFileSystem(spark._jsc.hadoopConfiguration()).delete(empty, True)

@@ -16,6 +16,11 @@ from factloom.sources.tree import walk
 FILES = "repo_id string, commit_sha string, file_path string, language string, code string"
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr("factloom.engine.BUCKETS", 2)
+
+
 def git(folder, *args):
     subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", "-C", str(folder), *args], check=True, capture_output=True)
 
@@ -126,13 +131,22 @@ def test_a_failed_run_is_done_again(spark, tmp_path, hundred, monkeypatch):
     engine = Engine(spark, str(tmp_path / "store/facts"))
     engine.lens([str(hundred)])
     (hundred / "m5.py").write_text("def changed():\n    pass\n")
-    monkeypatch.setattr("factloom.engine.file_sketches", lambda r: 1 / 0)
-    with pytest.raises(ZeroDivisionError):
-        engine.lens([str(hundred)])
-    monkeypatch.undo()
+    with monkeypatch.context() as broken:
+        broken.setattr("factloom.engine.file_sketches", lambda r: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            engine.lens([str(hundred)])
     assert "changed" in names(engine.lens([str(hundred)])) and engine.parsed == 1
 
 
+def test_a_store_of_nothing(spark, tmp_path):
+    top = tmp_path / "src"
+    top.mkdir()
+    engine = Engine(spark, str(tmp_path / "store/facts"))
+    assert engine.lens([str(top)]).count() == 0 and engine.parsed == 0
+    (top / "a.py").write_text("def a(): pass\n")
+    assert names(engine.lens([str(top)])) == ["a"]
+
+
 def test_facts_of_a_commit_hold_unchanged_files(spark, tmp_path):
     top = tmp_path / "repo"
     top.mkdir()
