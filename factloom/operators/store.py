@@ -5,12 +5,17 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Predicates of facts, with room for those of languages of one's own; beyond that a task sorts again.
+PREDICATES = 16
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one on a local master where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,10 +31,22 @@ def write_facts(facts: DataFrame, name: str, path: str | None = None) -> DataFra
     """Facts as Parquet by predicate, so a relation reads its own files only."""
     spark = facts.sparkSession
     path = path or f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    facts.write.partitionBy("predicate").parquet(path)
+    with unsorted(spark):
+        facts.write.partitionBy("predicate").parquet(path)
     return spark.read.schema(facts.schema).parquet(path)
 
 
+@contextmanager
+def unsorted(spark: SparkSession) -> Iterator[None]:
+    """Tasks that write by predicate keep a file open for each of them, so none sorts all of its facts first."""
+    key, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    spark.conf.set(key, max(int(before), PREDICATES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Tables that the calls of tidy functions that are running have cut, innermost last.
 _cut: list[list[str]] = []
 

@@ -6,9 +6,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 from factloom.operators import diff, queries as q, store
-from factloom.operators.extract import Relations, extract_facts
+from factloom.operators.extract import RELATIONS, Relations, extract_facts
 from factloom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -207,3 +208,25 @@ def test_loops_leave_one_table(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         store.tidy(lambda: 1 / 0)()
     assert store._cut == []
+
+
+def test_tasks_of_a_corpus_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    """Tasks hold a number of line items, whatever bytes they are packed into, and facts are written without being sorted first."""
+    from factloom.operators import store
+    from factloom.plans import corpus as plans
+
+    monkeypatch.setattr(plans, "TASK_ROWS", 500)
+    items = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert plans.corpus(spark, SF).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-items // 500))
+    sorts = []
+
+    def write(df, path):
+        sorts.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        return kept(df, path)
+
+    kept = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: write(self, path))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    written = store.write_facts(extract_facts(plans.corpus(spark, SF)), "facts", str(tmp_path / "facts"))
+    assert written.where("predicate = 'calls_external'").count() == items
+    assert int(sorts[0]) >= len(RELATIONS) + 1 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
