@@ -7,8 +7,9 @@ done, and so are bins over half full beyond the number of those that could join
 until one partition is left. Rounds move bins (id, length), never pieces or texts; in the end every
 piece learns its sequence and its place there through the chain of merges.
 
-`packed_along` keeps an order of documents instead: each stretch of `STRETCH` documents is packed for
-itself and sequences are numbered along the order, so that their prefixes hold what its prefixes hold.
+`packed_along` keeps an order of documents as well: pieces are dealt by stretches of `STRETCH` documents
+instead of by hash, the rounds pack what `FAN_IN` neighbours left over, and sequences are numbered along the
+order, so that their prefixes hold what its prefixes hold but for the few bins that no neighbour filled.
 
 Defined cases: null texts count as empty, and an empty text is the one token END; repeated ids and
 rows are packed each; an empty `documents` gives an empty result; no piece is dropped.
@@ -47,6 +48,8 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
+MERGES = "item long, bin long, offset long, filled long, done boolean"
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -150,24 +153,24 @@ def best_fit(lengths: np.ndarray, size: int = SEQUENCE) -> np.ndarray:
     return bins
 
 
-def pack(items: DataFrame, size: int = SEQUENCE, partitions: int | None = None) -> DataFrame:
+def pack(items: DataFrame, size: int = SEQUENCE, partitions: int | None = None, stretch: int | None = None) -> DataFrame:
     """items: item (long, unique), length (1 to size). Returns item, sequence_id, offset.
 
     Each round writes its merges (item, bin, offset in the bin); a bin's id is the id of its first
     item, so ids stay unique in all rounds.
+
+    stretch: so many item ids are packed together, and what neighbouring stretches leave over after
+    them; `partitions` is then the number of stretches. A bin's items stand in the order of their ids,
+    and its id is the least of them.
     """
     spark = items.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def round_of(fewer: np.ndarray):
-        @frugal
-        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pdf = pd.concat([*batches, pd.DataFrame({"item": [], "length": []}, dtype="int64")])
-            if not len(pdf):
-                return
+        def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["length", "item"], ascending=[False, True], ignore_index=True)
             pdf["bin"] = best_fit(pdf["length"].to_numpy(), size)
-            pdf = pdf.sort_values("bin", kind="stable", ignore_index=True)
+            pdf = pdf.sort_values(["bin", "item"], ignore_index=True) if stretch else pdf.sort_values("bin", kind="stable", ignore_index=True)
             grouped = pdf.groupby("bin")
             pdf["offset"] = grouped["length"].cumsum() - pdf["length"]
             pdf["filled"] = grouped["length"].transform("sum")
@@ -179,9 +182,15 @@ def pack(items: DataFrame, size: int = SEQUENCE, partitions: int | None = None)
             place = half.groupby("filled").cumcount().to_numpy()
             over = half["item"][place >= fewer[size - half["filled"].to_numpy()]]
             pdf["done"] |= pdf["bin"].isin(over)
-            yield pdf[["item", "bin", "offset", "filled", "done"]]
+            return pdf[["item", "bin", "offset", "filled", "done"]]
+
+        @frugal
+        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat([*batches, pd.DataFrame({"item": [], "length": []}, dtype="int64")])
+            if len(pdf):
+                yield fit_group(pdf)
 
-        return fit
+        return fit_group if stretch else fit
 
     chain, left = [], items.select("item", "length")
     while True:
@@ -190,8 +199,13 @@ def pack(items: DataFrame, size: int = SEQUENCE, partitions: int | None = None)
         for length, n in left.groupBy("length").count().collect():  # at most `size` rows
             fewer[length] = n
         fewer = np.cumsum(fewer)
-        dealt = left.repartition(partitions, F.xxhash64("item", F.lit(partitions)))
-        merged = written(dealt.mapInPandas(round_of(fewer), "item long, bin long, offset long, filled long, done boolean"), "merged")
+        if stretch:
+            merged = left.groupBy(F.expr(f"item div {stretch}L")).applyInPandas(round_of(fewer), MERGES)
+            stretch *= FAN_IN
+        else:
+            dealt = left.repartition(partitions, F.xxhash64("item", F.lit(partitions)))
+            merged = dealt.mapInPandas(round_of(fewer), MERGES)
+        merged = written(merged, "merged")
         chain.append(merged)
         if partitions == 1:
             break
@@ -244,25 +258,17 @@ def _listed(seq) -> list:
 def packed_along(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, stretch: int = STRETCH) -> DataFrame:
     """Every piece of every document with sequence_id and offset, along the order of docs as written.
 
-    A sequence holds pieces of one stretch of documents, in their order; its id is that of its first
-    piece, so ids ascend along the order.
+    Stretches of documents are packed for themselves, then what neighbours leave over, in rounds as pack()
+    does. A sequence's id is that of its first piece, so ids ascend along the order.
     """
     cut = written(pieces(in_order(docs), path, size, position="position"), "pieces")
     whole = cut.where(F.col("length") == size).withColumns({"sequence_id": F.col("item"), "offset": F.lit(0).cast("long")})
-
-    columns = whole.columns
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "item"], ascending=[False, True], ignore_index=True)
-        pdf["bin"] = best_fit(pdf["length"].to_numpy(), size)
-        pdf = pdf.sort_values(["bin", "item"], ignore_index=True)
-        grouped = pdf.groupby("bin")
-        pdf["sequence_id"] = grouped["item"].transform("first")
-        pdf["offset"] = grouped["length"].cumsum() - pdf["length"]
-        return pdf[columns]
-
-    partial = cut.where(F.col("length") < size).withColumn("stretch", F.floor(F.shiftright("item", PIECE_BITS) / stretch))
-    return whole.unionByName(partial.groupBy("stretch").applyInPandas(fit, whole.schema))
+    partial = cut.where(F.col("length") < size)
+    last = partial.agg(F.max("item")).first()[0]
+    if last is None:
+        return whole
+    items = stretch << PIECE_BITS
+    return whole.unionByName(partial.join(pack(partial, size, last // items + 1, items), "item"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

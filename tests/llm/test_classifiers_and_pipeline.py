@@ -233,6 +233,23 @@ def test_sequences_follow_the_mix(spark):
     assert {sources[r[2]] for r in found[1400:]} == {"hot"}
 
 
+def test_what_stretches_leave_over_is_packed_with_their_neighbours(spark):
+    """Four documents of a third of a sequence leave one over; stretches packed for themselves only gave 60 sequences."""
+    rows = [(i, " ".join(["word"] * 330)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    found = sorted(packed_along(written(docs, "thirds"), stretch=4).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    assert sorted(r["doc_id"] for r in found) == [*range(120)] and {r["length"] for r in found} == {331}
+    filled, first = Counter(), {}
+    for r in found:
+        assert r["offset"] == filled[r["sequence_id"]]
+        filled[r["sequence_id"]] += r["length"]
+        first.setdefault(r["sequence_id"], r["item"])
+    assert max(filled.values()) <= 1024 and len(filled) <= 42
+    assert all(i == item for i, item in first.items()) and [i for i in first] == sorted(first)
+    places = [r["doc_id"] for r in found]
+    assert max(abs(i - place) for i, place in enumerate(places)) <= 4 * 8
+
+
 def test_packing_reads_the_order_as_written(spark, docs):
     table = written(docs.orderBy("text", "doc_id"), "sorted")
     ids = [r["doc_id"] for r in in_order(table).orderBy("position").collect()]
