@@ -18,12 +18,13 @@ EXTRACT = {
 }
 
 
-def file_facts(code: str, language: str, path: str, own: dict[str, Language] | None = None) -> list[dict]:
+def file_facts(code: str, language: str, path: str, own: dict[str, Language] | None = None, with_calls: bool = True) -> list[dict]:
     """The facts of one file; where a parser gives up, those found so far and one of predicate `error`.
 
-    own: languages of users, by name, where this process may not have them registered."""
+    own: languages of users, by name, where this process may not have them registered. with_calls: whether
+    calls are wanted; the places of the others among the facts (seq) leave no room for them otherwise."""
     added = (own_languages() if own is None else own).get(language)
-    facts = Facts(path, language, added)
+    facts = Facts(path, language, added, with_calls)
     try:
         (added.extract() if added else EXTRACT[language])(code, facts)
     except Exception as e:  # noqa: BLE001  the facts found so far stand

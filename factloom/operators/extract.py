@@ -56,28 +56,39 @@ def extract_facts(files: DataFrame, predicates: list[str] | None = None) -> Data
     wanted = frozenset(predicates) if predicates else None
     arrow = pa.schema([(f.name, pa.int64() if f.name in _LONGS else pa.string()) for f in FACTS])
     own = own_languages()
+    with_calls = not wanted or "calls_external" in wanted
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: dict[str, list] = {f.name: [] for f in FACTS}
-
-        def full() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
-            for values in columns.values():
-                values.clear()
-            return batch
+        # rows of equal columns together: those that they lack are filled at once
+        held: dict[tuple[str, ...], dict[str, list]] = {}
+        size = 0
+
+        def full() -> Iterator[pa.RecordBatch]:
+            for columns in held.values():
+                n = len(columns["predicate"])
+                for a in range(0, n, FLUSH):
+                    b = min(a + FLUSH, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name][a:b], f.type) if f.name in columns else pa.nulls(b - a, f.type) for f in arrow], schema=arrow)
+            held.clear()
 
         for batch in batches:
-            for file in batch.to_pylist():
-                rows = file_facts(file["code"], file["language"], file["file_path"], own)
-                rows = [r for r in rows if r["predicate"] in wanted] if wanted else rows
-                for c in COLUMNS:
-                    columns[c].extend([r.get(c) for r in rows])
-                for c in (*PROVENANCE, "language"):
-                    columns[c].extend([file[c]] * len(rows))
-                if len(columns["predicate"]) >= FLUSH:
-                    yield full()
-        if columns["predicate"]:
-            yield full()
+            for i in range(batch.num_rows):
+                file = {c: batch[c][i].as_py() for c in batch.schema.names}
+                groups: dict[tuple[str, ...], list[dict]] = {}
+                for r in file_facts(file["code"], file["language"], file["file_path"], own, with_calls):
+                    if not wanted or r["predicate"] in wanted:
+                        groups.setdefault(tuple(r), []).append(r)
+                for names, rows in groups.items():
+                    columns = held.setdefault(names, {c: [] for c in (*PROVENANCE, "language", *names)})
+                    for c, values in zip(names, zip(*map(dict.values, rows), strict=True), strict=True):
+                        columns[c].extend(values)
+                    for c in (*PROVENANCE, "language"):
+                        columns[c].extend([file[c]] * len(rows))
+                    size += len(rows)
+                if size >= FLUSH:
+                    yield from full()
+                    size = 0
+        yield from full()
 
     return files.select("repo_id", "commit_sha", "file_path", "language", "code").where(F.col("code").isNotNull() & F.col("language").isin([*KNOWN, *own])).mapInArrow(parse, FACTS)
 

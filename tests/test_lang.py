@@ -213,6 +213,16 @@ def test_long_files_take_time_in_proportion(language):
     assert Counter(r["predicate"] for r in rows)["calls_external"] == 256 * 32
 
 
+def test_calls_are_looked_for_only_where_wanted(monkeypatch):
+    code = "import os\n\nclass A:\n    def f(self, x: int):\n        g(x).h()\n\ndef _k():\n    return f(1)\n"
+    plain = lambda rows: [{k: v for k, v in r.items() if k != "seq"} for r in rows if r["predicate"] != "calls_external"]
+    found = file_facts(code, "python", "a.py")
+    assert any(r["predicate"] == "calls_external" for r in found)
+    monkeypatch.setattr("factloom.lang.python_facts.CALLS.sites", None)
+    fewer = file_facts(code, "python", "a.py", None, False)
+    assert fewer and plain(fewer) == plain(found) and len(fewer) == len(plain(found))
+
+
 @pytest.mark.parametrize("language", LANGUAGES)
 def test_empty_files_have_a_module(language):
     assert [r["predicate"] for r in facts("", language)] == ["module"]

@@ -10,6 +10,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 from factloom.operators import diff, queries as q, store
 from factloom.operators.extract import RELATIONS, Relations, extract_facts
+from factloom.plans import corpus, registry
 from factloom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -230,3 +231,12 @@ def test_tasks_of_a_corpus_grow_with_its_rows(spark, tmp_path, monkeypatch):
     written = store.write_facts(extract_facts(plans.corpus(spark, SF)), "facts", str(tmp_path / "facts"))
     assert written.where("predicate = 'calls_external'").count() == items
     assert int(sorts[0]) >= len(RELATIONS) + 1 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_calls_are_stored_only_where_wanted(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "_stored", {})
+    fewer = corpus.stored_facts(spark, SF, with_calls=False)
+    assert {r["predicate"] for r in fewer.select("predicate").distinct().collect()} == {"module", "function", "function_line", "function_visibility", "function_param", "depends_on"}
+    everything = corpus.stored_facts(spark, SF)
+    assert everything.where("predicate = 'calls_external'").count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert corpus.stored_facts(spark, SF, with_calls=False) is everything
