@@ -155,7 +155,7 @@ def tree_sum(parts: DataFrame, shape: tuple[int, ...], dtype: str, chunks: int,
     """Adds equally shaped arrays, one from each partition, fan_in at a time; returns the sum.
 
     parts: rows of pack_arrays() with the same dtype. What reaches the driver is one array of the
-    given shape, however large the input.
+    given shape, however large the input. Sums of an unsigned dtype stop at its largest number.
     """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,6 +163,8 @@ def tree_sum(parts: DataFrame, shape: tuple[int, ...], dtype: str, chunks: int,
         for data in pdf["data"]:
             piece = np.frombuffer(zlib.decompress(data), dtype=dtype)
             total = piece.copy() if total is None else total + piece
+            if total.dtype.kind == "u":
+                total[total < piece] = np.iinfo(dtype).max  # unsigned sums stop at the largest number
         return pd.DataFrame(
             {"part": [int(pdf["part"].min()) // fan_in], "chunk": [int(pdf["chunk"].iloc[0])], "data": [zlib.compress(total.tobytes(), 1)]}
         )

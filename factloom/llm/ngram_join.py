@@ -3,7 +3,7 @@
 A document's set holds its distinct word shingles, as 64-bit hashes. Equal sets are collapsed first:
 one representative (the smallest doc_id) stands for its class, and only representatives are joined.
 Each of `ORDERS` global orders ranks shingles by how often their hashed cell occurs in the corpus
-(rare first; one table of fixed size), then by a hash of its own. Two sets with Jaccard similarity
+(rare first; one table, as large as the corpus asks for up to a bound), then by a hash of its own. Two sets with Jaccard similarity
 of at least num/den must share a token among the first |x| - ceil(|x| num/den) + 1 tokens under
 every order, so a pair is verified only if it passes the filters of all orders.
 
@@ -34,8 +34,12 @@ from .common import ARRAYS, frugal, pack_arrays, table, tree_sum, written
 from .graph import components
 
 ORDERS = 3
+#: Cells of the table of counts, at least and at most, those of a piece of it, and the largest count of a cell. Tokens
+#: of a cell rank alike: with many more tokens than cells, those of hundreds of sets would pass for rare ones.
 CELLS = 1 << 20
-CHUNKS = 32
+MOST_CELLS = 1 << 26
+CHUNK = 1 << 18
+MOST = (1 << 16) - 1
 #: A token in more prefixes than this goes to tiles.
 FEW = 64
 #: Tokens of all sets in a tile, or in each of its two sides.
@@ -54,7 +58,7 @@ def least_shared(n: int, num: int, den: int) -> int:
 
 def ranked(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
     """A key for each token, by which the given global order ranks."""
-    cell = (tokens >> np.uint64(44)).astype(np.int64)
+    cell = cell_of(tokens, len(classes)).astype(np.int64)
     return (classes[cell].astype(np.uint64) << np.uint64(58)) | (textops.mix(tokens ^ SEEDS[order]) >> np.uint64(6))
 
 
@@ -103,26 +107,52 @@ def heads(docs: DataFrame, width: int, num: int, den: int, classes) -> DataFrame
 
 
 def rarity_classes(docs: DataFrame, width: int) -> np.ndarray:
-    """For each hashed cell, the magnitude (log2) of how many documents' sets hit it."""
+    """For each hashed cell, the magnitude (log2) of how many documents' sets hit it.
+
+    Counts stop at `MOST`, in a task's table and in sums of them. What a task sends is about as large as
+    the tokens that it has, as a table's empty stretches pack to nothing.
+    """
+    cells = cells_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    chunks = cells // CHUNK
 
     @frugal
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS, dtype=np.int32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, dtype=np.uint16)
+        waiting, size = [], 0
+
+        def add() -> None:
+            at, n = np.unique(np.concatenate(waiting), return_counts=True)
+            total[at] = np.minimum(total[at] + n, MOST)
+
         for batch in batches:
-            waiting, size = [], 0
             for tokens in textops.shingle_sets(batch["text"].to_pylist(), width):
-                waiting.append((tokens >> np.uint64(44)).astype(np.int64))
+                waiting.append(cell_of(tokens, cells).astype(np.uint32))
                 size += len(tokens)
                 if size > CELLS:
-                    total += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.int32)
+                    add()
                     waiting, size = [], 0
-            if waiting:
-                total += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.int32)
-        rows = pack_arrays(TaskContext.get().partitionId(), total.astype(np.int64), CHUNKS)
-        yield pa.RecordBatch.from_pandas(rows.astype({"part": "int32", "chunk": "int32"}), preserve_index=False)
+        if waiting:
+            add()
+        part = TaskContext.get().partitionId()
+        for k, piece in enumerate(np.split(total, chunks)):
+            if piece.any():
+                rows = pack_arrays(part, piece, 1).assign(chunk=k)
+                yield pa.RecordBatch.from_pandas(rows.astype({"part": "int32", "chunk": "int32"}), preserve_index=False)
+
+    seen = tree_sum(docs.select("text").mapInArrow(count, ARRAYS), (cells,), "uint16", chunks)
+    classes = np.empty(cells, dtype=np.uint8)
+    for a in range(0, cells, CHUNK):
+        classes[a : a + CHUNK] = np.log2(seen[a : a + CHUNK].astype(np.float32) + 1)
+    return classes
+
+
+def cells_for(size: int) -> int:
+    """Cells for texts of so many bytes: a power of two, one for every 128 bytes or more up to MOST_CELLS."""
+    return min(MOST_CELLS, max(CELLS, 1 << (size // 128).bit_length()))
+
 
-    seen = tree_sum(docs.select("text").mapInArrow(count, ARRAYS), (CELLS,), "int64", CHUNKS)
-    return np.minimum(np.floor(np.log2(seen + 1)), 63).astype(np.uint8)
+def cell_of(tokens: np.ndarray, cells: int) -> np.ndarray:
+    return tokens >> np.uint64(65 - int(cells).bit_length())
 
 
 class Postings:

@@ -180,6 +180,18 @@ def test_tree_sum(spark):
     assert tree_sum(df, (10,), "int64", 3, fan_in=4).tolist() == [sum(range(k, 1000, 10)) for k in range(10)]
 
 
+def test_tree_sum_of_unsigned_counts_stops_at_the_largest(spark):
+    def arrays(batches):
+        for _ in batches:
+            pass
+        yield pack_arrays(TaskContext.get().partitionId(), np.array([60_000, 3], dtype=np.uint16), 1)
+
+    from pyspark import TaskContext
+
+    parts = spark.range(0, 6, 1, 6).mapInPandas(arrays, "part int, chunk int, data binary")
+    assert tree_sum(parts, (2,), "uint16", 1, fan_in=2).tolist() == [65_535, 18]
+
+
 def test_shared_folder_is_the_named_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 

@@ -67,6 +67,17 @@ def test_a_large_group_of_near_copies_is_not_compared_unit_by_unit(spark, monkey
     assert len(met) == 1 and met[0] <= 40
 
 
+def test_common_shingles_rank_last_in_a_corpus_of_many_more_than_the_least_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELLS", 1 << 10)
+    monkeypatch.setattr(ngram_join, "CHUNK", 1 << 10, raising=False)
+    rows = [(i, " ".join([*(f"w{i}x{k}" for k in range(300)), *(f"common{k}" for k in range(20))])) for i in range(400)]
+    classes = ngram_join.rarity_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 1)
+    common = next(ngram_join.textops.shingle_sets([" ".join(f"common{k}" for k in range(20))], 1))
+    for tokens in ngram_join.textops.shingle_sets([text for _, text in rows[:20]], 1):
+        assert not np.isin(ngram_join.prefix(tokens, classes, 0, 9, 10), common).any()
+    assert len(classes) >= 400 * 300 * 6 // 128
+
+
 def test_query_is_the_contract(spark, sf, rows):
     found = op9_ngram_join(spark, sf)
     assert found.columns == ["doc_id", "n_shingles", "component_id"]
