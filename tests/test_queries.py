@@ -254,3 +254,17 @@ def test_history_is_made_in_tasks_of_a_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(corpus, "TASK_ROWS", 50)
     functions = spark.read.parquet(f"{SF}/part.parquet").count()
     assert corpus.history(spark, SF).rdd.getNumPartitions() == -(-8 * functions // 50)
+
+
+def test_calls_move_once_to_the_rules_of_intent(spark):
+    code = "def fn_1():\n    fn_2()\n    fn_2()\n    fn_2()\n\ndef _fn_1():\n    other()\n    other()\n"
+    files = spark.createDataFrame([("r", "c", "a.py", "python", code)], "repo_id string, commit_sha string, file_path string, language string, code string")
+    rules = [("fn_1", "^fn_2", None, "calls its own kind"), ("_fn_1", None, "^fn", "calls nothing")]
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        found = q.intent_mismatches(Relations(extract_facts(files)), rules)
+        assert str(found._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 2
+        assert sorted((r["name"], r["message"]) for r in found.collect()) == [("_fn_1", "calls nothing"), ("fn_1", "calls its own kind")]
+    finally:
+        spark.conf.set(key, before)
