@@ -5,12 +5,13 @@ at most `POSTINGS` postings and writes a shard as one row of flat arrays. Within
 stand in order of the common term they use most, in blocks of `DOCS`, and every term, common or rare,
 has the largest impact of each block that it occurs in.
 
-Queries are evaluated in batches, block by block. The sum of a query's block maxima bounds what any
-document of a block can score. Blocks whose bound is under the query's threshold (the k-th best score
-that the task has seen, in any of its shards) are never pivots: their postings aren't touched. The
-best few blocks of each query are scored first, so that the threshold is high when the rest is asked.
-Common terms are scored as dense rows of live blocks, rare ones by the postings that stand in these.
-Results are those of scoring every document.
+Queries are evaluated in batches of those that share their commonest term. Rare terms are scored first,
+by their postings. What a block's documents reach by these, and the query's block maxima of common terms,
+bound what any document of the block can score. Blocks whose bound is under the query's threshold (a score
+that k documents reach which the task has seen, in any of its shards) are never asked. Common terms are
+dense rows: those that a batch uses are multiplied for the blocks that any of its queries asks, in single
+precision with a bound of its error, and only documents that may be among the best are scored again in
+double precision. Results are those of scoring every document.
 
 Document frequencies, the number of documents and their mean length are counted over all documents
 before any score, so scores don't depend on shards and the tasks' top k merge exactly. Queries are
@@ -42,14 +43,16 @@ POSTINGS = 1 << 21
 MOST_DOCS = 1 << 13
 DOCS = 64
 #: A term in more than this share of a shard's documents is common.
-COMMON = 0.04
-#: Blocks of a query that are scored before its threshold is raised, round by round; then all that are left.
-ROUNDS = (8,)
+COMMON = 0.06
 #: Queries that are evaluated together, and terms of queries that are broadcast together.
 TOGETHER = 256
 ASKED = 2_000_000
 #: Scores that differ by less may be equal.
 CLOSE = 1e-9
+#: The idf of a term in about a third of all documents.
+SOME = 1.0
+#: Documents that are scored again together.
+AGAIN = 2_048
 EVERY = 50
 
 ARRAYS = {"ids": np.int64, "named": np.bool_, "lengths": np.int64, "terms": np.uint64, "df": np.int32, "docs": np.int32, "tf": np.int32}
@@ -92,73 +95,77 @@ class Shard:
         self.ids, self.named, self.terms, self.docs = (arrays[x] for x in ("ids", "named", "terms", "docs"))
         tf, df = arrays["tf"].astype(float), arrays["df"]
         self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["lengths"][self.docs] / mean))
-        first = np.cumsum(df) - df
+        self.df, self.first = df, np.cumsum(df) - df
         self.blocks = -(-len(self.ids) // DOCS)
         self.row = np.full(len(df), -1)
         common = np.flatnonzero(df > max(8, COMMON * len(self.ids)))
         self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((self.blocks, len(common), DOCS))
+        self.dense = np.zeros((len(common), self.blocks * DOCS))
         for r, t in enumerate(common):
-            at = self.docs[first[t] : first[t] + df[t]]
-            self.dense[at // DOCS, r, at % DOCS] = self.impacts[first[t] : first[t] + df[t]]
-        self.most = np.ascontiguousarray(self.dense.max(axis=2).T)
-        # of each term the blocks that it stands in, where its postings there begin, and the largest impact
-        term = np.repeat(np.arange(len(df)), df)
-        block = self.docs // DOCS
-        self.begin = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.size = np.diff(np.append(self.begin, len(term)))
-        self.block, self.top_impact = block[self.begin], np.maximum.reduceat(self.impacts, self.begin)
-        self.entry = np.searchsorted(term[self.begin], np.arange(len(df) + 1))
+            span = slice(self.first[t], self.first[t] + df[t])
+            self.dense[r, self.docs[span]] = self.impacts[span]
+        self.single = self.dense.astype(np.float32)
+        self.most = self.dense.reshape(len(common), self.blocks, DOCS).max(axis=2)
         self.scored = self.possible = 0  # blocks
 
-    def scores(self, owner: np.ndarray, terms: np.ndarray, idf: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of some queries, the scores of all documents that may be among the best (0 for some others), and thresholds.
+    def scores(self, start: np.ndarray, terms: np.ndarray, idf: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some queries, those documents that may be among the best: query, document and score, by query.
 
-        owner: the query of each of terms. best: of each query the k best scores so far, in any order.
+        start: where the terms of each query begin, and the end of the last. best: of each query the k
+        best scores so far, in any order.
         """
         n, k = best.shape
+        width = self.blocks * DOCS
+        owner = np.repeat(np.arange(n), np.diff(start))
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         here = self.terms[at] == terms
         at, owner, idf = at[here], owner[here], idf[here]
-        dense = self.row[at] >= 0
-        weights = np.zeros((n, len(self.most)))
-        weights[owner[dense], self.row[at[dense]]] = idf[dense]
-        rare, own, worth = at[~dense], owner[~dense], idf[~dense]
-        size = self.entry[rare + 1] - self.entry[rare]
-        entry = spread(self.entry[rare], size)
-        own, worth = np.repeat(own, size), np.repeat(worth, size)
-        bound = np.bincount(own * self.blocks + self.block[entry], weights=worth * self.top_impact[entry], minlength=n * self.blocks).reshape(n, -1)
-        bound = (bound + weights @ self.most) * (1 + 1e-12)
-
-        score = np.zeros((n, self.blocks, DOCS))
-        done = np.zeros(bound.shape, dtype=bool)
-        least = best.min(axis=1)
-        for most in (*ROUNDS, self.blocks):
-            live = (bound >= least[:, None] - CLOSE) & (bound > 0) & ~done
-            if not live.any():
-                break
-            if most < self.blocks:
-                ahead = np.argpartition(np.where(live, -bound, 0), most, axis=1)[:, :most]
-                chosen = np.zeros_like(live)
-                np.put_along_axis(chosen, ahead, True, axis=1)
-                live &= chosen
-            for b in np.flatnonzero(live.any(axis=0)):
-                asking = np.flatnonzero(live[:, b])
-                score[asking, b] = weights[asking] @ self.dense[b]
-            touched = live[own, self.block[entry]]
-            hit, times = entry[touched], self.size[entry[touched]]
-            posting = spread(self.begin[hit], times)
-            cell = np.repeat(own[touched], times) * (self.blocks * DOCS) + self.docs[posting]
-            score += np.bincount(cell, weights=np.repeat(worth[touched], times) * self.impacts[posting], minlength=score.size).reshape(score.shape)
-            done |= live
-            if most >= self.blocks:
-                break
-            fresh = np.take_along_axis(score, ahead[:, :, None], axis=1) * np.take_along_axis(live, ahead, axis=1)[:, :, None]
-            seen = np.concatenate([best, fresh.reshape(n, -1)], axis=1)
-            best = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k :]
-            least = best[:, 0]
-        self.scored, self.possible = self.scored + int(done.sum()), self.possible + done.size
-        return score.reshape(n, -1)[:, : len(self.ids)], least
+        row = self.row[at]
+        common = row >= 0
+        used, column = np.unique(row[common], return_inverse=True)
+        weights = np.zeros((n, len(used)))
+        weights[owner[common], column] = idf[common]
+
+        # the share of rare terms in all scores, a query at a time: its documents fit the processor's cache
+        score = np.zeros((n, width))
+        rare, worth = at[~common], idf[~common]
+        first, size = self.first[rare], self.df[rare].astype(np.int64)
+        edges = np.searchsorted(owner[~common], np.arange(n + 1))
+        for q in range(n):
+            own = slice(edges[q], edges[q + 1])
+            posting = spread(first[own], size[own])
+            score[q] = np.bincount(self.docs[posting], weights=np.repeat(worth[own], size[own]) * self.impacts[posting], minlength=width)
+
+        def least(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of each block the most of score, and a score that the k best reach; score holds no more than documents have."""
+            top = score.reshape(n, self.blocks, DOCS).max(axis=2)
+            return top, np.partition(np.concatenate([best, top], axis=1), self.blocks, axis=1)[:, self.blocks]
+
+        top, reached = least(score)
+        bound = (top + weights @ self.most[used]) * (1 + 1e-12)
+        live = (bound >= reached[:, None] - CLOSE) & (bound > 0)
+        self.scored, self.possible = self.scored + int(live.sum()), self.possible + live.size
+        # common terms in single precision, all of no sign, so that a sum's error is a share of it; what may be among the best is scored again
+        near, rows, single = score.copy(), self.single[used], weights.astype(np.float32)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], live.any(axis=0), [False]]).view(np.int8))) * DOCS
+        off = np.zeros(n)
+        for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
+            part = single @ rows[:, a:b]
+            near[:, a:b] += part
+            off = np.maximum(off, part.max(axis=1))
+        off *= (len(used) + 8) * 2.0**-23
+        near -= off[:, None]
+        _, reached = least(near)
+        query, doc = np.nonzero((near >= (reached - 2 * off - CLOSE)[:, None]) & np.repeat(live, DOCS, axis=1))
+        found, held = score[query, doc], np.searchsorted(owner[common], np.arange(n + 1))
+        for a in range(0, len(query), AGAIN):
+            own = slice(a, a + AGAIN)
+            many = held[query[own] + 1] - held[query[own]]
+            term = spread(held[query[own]], many)
+            pair = np.repeat(np.arange(len(many)), many)
+            found[own] += np.bincount(pair, weights=idf[common][term] * self.dense[row[common][term], doc[own][pair]], minlength=len(many))
+        keep = (found > 0) & (found >= best.min(axis=1)[query] - CLOSE)
+        return query[keep], doc[keep], found[keep]
 
 
 class Asked:
@@ -176,14 +183,13 @@ class Asked:
         for a in range(0, len(self.queries), TOGETHER):
             b = min(a + TOGETHER, len(self.queries))
             span = slice(self.start[a], self.start[b])
-            owner = np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1]))
-            score, least = shard.scores(owner, self.terms[span], self.idf[span], self.score[a:b])
-            row, doc = np.nonzero((score > 0) & (score >= least[:, None] - CLOSE))
+            row, doc, score = shard.scores(self.start[a : b + 1] - self.start[a], self.terms[span], self.idf[span], self.score[a:b])
             edges = np.searchsorted(row, np.arange(b - a + 1))
             for q in np.flatnonzero(np.diff(edges)):
-                found = doc[edges[q] : edges[q + 1]]
+                these = slice(edges[q], edges[q + 1])
+                found = doc[these]
                 old = self.score[a + q] > 0
-                s = np.concatenate([self.score[a + q, old], np.round(score[q, found], 9)])
+                s = np.concatenate([self.score[a + q, old], np.round(score[these], 9)])
                 ids = np.concatenate([self.ids[a + q, old], shard.ids[found]])
                 named = np.concatenate([self.named[a + q, old], shard.named[found]])
                 keep = np.lexsort((ids, ~named, -s))[: self.k]  # equal scores: the smallest ids
@@ -274,7 +280,10 @@ def found_by(index: DataFrame, asked: DataFrame, k: int, mean: float) -> DataFra
     """query_id, best, written: for one block of queries (query_id, terms, idf) the k best of each task's shards, in a row."""
     block = asked.toArrow()  # about ASKED terms
     held = [block["query_id"].to_pylist(), *([np.asarray(x.values) for x in block[c]] for c in ("terms", "idf"))]
-    shared = index.sparkSession.sparkContext.broadcast(held)
+    # queries with the same commonest term, of those that most documents lack, stand together: they tend to ask the same blocks
+    usual = [int(t[np.argmin(np.where(i < SOME, np.inf, i))]) for t, i in zip(*held[1:], strict=True)]
+    order = sorted(range(len(usual)), key=usual.__getitem__)
+    shared = index.sparkSession.sparkContext.broadcast([[x[i] for i in order] for x in held])
 
     @frugal
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

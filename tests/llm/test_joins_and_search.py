@@ -168,6 +168,28 @@ def test_blocks_under_the_threshold_are_skipped(monkeypatch):
         assert np.allclose(asked.score[k], scores[want])
 
 
+def test_few_documents_are_scored_in_double_precision():
+    rng = np.random.default_rng(4)
+    # words of one language: no block can be skipped, and scores differ by less than single precision tells
+    counts = [((np.flatnonzero(rng.random(300) < 0.3) + 1).astype(np.uint64), None) for _ in range(1_500)]
+    counts = [(words, rng.integers(1, 4, len(words))) for words, _ in counts]
+    counts += [(words, tf) for words, tf in counts[:20]]
+    shard = bm25.Shard(bm25.flat(list(range(len(counts))), counts), 180.0)
+    whole = np.zeros((len(counts), 301))
+    for i, (words, tf) in enumerate(counts):
+        whole[i, words.astype(int)] = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * tf.sum() / 180.0))
+    terms = [counts[i][0] for i in range(0, 100, 5)]
+    idf = [1 + 1e-7 * rng.random(len(t)) for t in terms]
+    start = np.cumsum([0, *(len(t) for t in terms)])
+    query, doc, score = shard.scores(start, np.concatenate(terms), np.concatenate(idf), np.zeros((len(terms), 5)))
+    assert len(query) < 4 * 5 * len(terms)
+    for q, t in enumerate(terms):
+        want = whole[:, t.astype(int)] @ idf[q]
+        found = dict(zip(shard.ids[doc[query == q]].tolist(), score[query == q].tolist(), strict=True))
+        assert set(np.flatnonzero(want >= np.sort(want)[-5] - 1e-9).tolist()) <= found.keys()
+        assert np.allclose([want[i] for i in found], list(found.values()), rtol=0, atol=1e-9)
+
+
 def test_largest_id_is_an_id(spark):
     rows = [((1 << 63) - 1, "same words here"), (None, "same words here"), (50, "same words here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
