@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import ARRAYS, frugal, pack_arrays, table, tree_sum, written
+from .common import ARRAYS, bound_batches, frugal, pack_arrays, table, tree_sum, written
 
 DEPTH = 3
 SIMILAR = 0.8
@@ -491,6 +491,7 @@ def by_text(keyed: DataFrame, gone: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, keep_empty: bool = False, min_docs: int = MIN_DOCS) -> DataFrame:
     """The columns of docs (doc_id, text among them), with recurring lines and stretches dropped from text."""
+    bound_batches(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)))
     keyed = docs.select(doc.alias("doc"), "text").where("text is not null")
     both = written(line_hashes(keyed), "lines", partition="kind")

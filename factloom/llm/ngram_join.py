@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import ARRAYS, frugal, pack_arrays, table, tree_sum, written
+from .common import ARRAYS, bound_batches, frugal, pack_arrays, table, tree_sum, written
 from .graph import components
 
 ORDERS = 3
@@ -365,6 +365,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
 
     component_id is the smallest doc_id that links of at least num/den lead to.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = docs.sparkSession.sparkContext.broadcast(rarity_classes(docs, width))
     key = ["n_shingles", "s1", "s2"]

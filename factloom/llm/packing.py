@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, table, written
+from .common import bound_batches, frugal, table, written
 
 SEQUENCE = 1024
 END = 2
@@ -98,6 +98,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, ids:
 
     position: a column with the unique place of each document; items are then numbered along it.
     """
+    bound_batches(docs.sparkSession)
 
     @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

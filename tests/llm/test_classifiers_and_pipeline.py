@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import quality, toxicity
-from factloom.llm.common import bounded_sample, pack_arrays, shared_dir, tree_sum, written
+from factloom.llm.common import BATCH_ROWS, bounded_sample, pack_arrays, shared_dir, tree_sum, written
+from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.mixing import mixed
-from factloom.llm.packing import in_order, packed_along
+from factloom.llm.ngram_join import one_of_each
+from factloom.llm.packing import in_order, packed_along, pieces
 from factloom.llm.quality import fit_quality, op1_quality, pool, tokens
 from factloom.llm.toxicity import BITS, ToxicityModel, _present, drop_toxic, fit_toxicity, op10_toxicity
 
@@ -304,3 +306,15 @@ def test_ratios_are_those_of_counted_grams(spark):
     for gram, sign in (("vile", 1), ("kind", -1)):
         held = [k for k, (t, _) in enumerate(texts) if gram in t]
         assert all(np.sign(np.log(scores[k] / (1 - scores[k]))) == sign for k in held)
+
+
+@pytest.mark.parametrize("stage", [dedup_lines, one_of_each, pieces])
+def test_a_stage_that_runs_alone_bounds_its_batches(spark, docs, stage):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        stage(docs.limit(20))
+        assert int(spark.conf.get(key)) <= BATCH_ROWS
+    finally:
+        spark.conf.set(key, before)
